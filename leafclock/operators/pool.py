@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from leafclock.functions import stats
 from leafclock.functions.geodesy import RadiusGrid, distance_km
 from leafclock.params import Params
+from leafclock.sources.scratch import staged
 
 CELL = ["t_row", "t_col", "t_elev"]
 PLACE = ["lat", "lon", "elev"]
@@ -160,11 +161,13 @@ def _spread_moved(keys: DataFrame, rows: DataFrame, roll, payload, p: Params) ->
 
 
 def _reach(keys: DataFrame, rows: DataFrame, roll, payload, p: Params) -> DataFrame:
-    out = _spread(keys, rows.where("NOT moved"), roll, payload, p)
-    if p.moved_sites:
-        moved = _spread_moved(keys, rows.where("moved"), roll, payload, p)
-        out = out.unionByName(moved)
-    return out
+    rows = rows.where("elev IS NOT NULL")
+    moved = rows.where("moved")
+    # Rare, so look before planning the extra joins.
+    if not p.moved_sites or moved.isEmpty():
+        return _spread(keys, rows, roll, payload, p)
+    still = _spread(keys, rows.where("NOT moved"), roll, payload, p)
+    return still.unionByName(_spread_moved(keys, moved, roll, payload, p))
 
 
 def _day_counts(prior: DataFrame, p: Params) -> DataFrame:
@@ -173,27 +176,24 @@ def _day_counts(prior: DataFrame, p: Params) -> DataFrame:
     years = p.prior_years
     words = stats.year_bits(F.col("year"), years)
     counted = (
-        prior.where(F.col("elev").isNotNull())
-        .select(*by, *words)
+        prior.select(*by, *words)
         .groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n"), *stats.or_years(years))
     )
     return _mark_moved(counted, p)
 
 
-def pool_summary(cur: DataFrame, prior: DataFrame, p: Params, individuals: bool = False):
-    """Per pool key: records, years, minimum and quantiles (and individuals) of its pool."""
+def _summarize(keys: DataFrame, counts: DataFrame, p: Params) -> DataFrame:
     years = p.prior_years
     words = stats.year_words(years)
-    keys = _pool_keys(cur, p)
 
     def roll(df, by):
         return df.groupBy(*by, "first_yes").agg(F.sum("n").alias("n"), *stats.or_years(years))
 
     pool_key = [*p.group_keys, *PLACE]
-    days = _reach(keys, _day_counts(prior, p), roll, ["first_yes", "n", *words], p)
+    days = _reach(keys, counts, roll, ["first_yes", "n", *words], p)
     q = stats.quantiles("first_yes", [p.lowerq, 0.25, 0.75], F.col("n"))
-    out = (
+    return (
         days.groupBy(*pool_key)
         .agg(
             F.sum("n").alias("n_obs_r"),
@@ -206,9 +206,12 @@ def pool_summary(cur: DataFrame, prior: DataFrame, p: Params, individuals: bool
             F.col("q")[0].alias("qearly"), F.col("q")[1].alias("q25"), F.col("q")[2].alias("q75"),
         )
     )
-    if individuals:
-        out = out.join(_pool_individuals(keys, prior, p), pool_key, "left")
-    return out
+
+
+def pool_summary(cur: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
+    """Per pool key: records, years, minimum and quantiles of its pool."""
+    keys = staged(_pool_keys(cur, p), "pool-keys")
+    return _summarize(keys, staged(_day_counts(prior, p), "day-counts"), p)
 
 
 def _pool_individuals(keys: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
@@ -224,12 +227,13 @@ def _pool_individuals(keys: DataFrame, prior: DataFrame, p: Params) -> DataFrame
         .select(*on, F.col("site_id"), *PLACE, F.col(p.unit).alias("unit"))
         .distinct()
     )
-    homes = _mark_moved(homes, p)
+    homes = staged(_mark_moved(homes, p), "homes")
     single = homes.groupBy(*on, "unit").agg(
         F.count(F.lit(1)).alias("n_homes"),
         F.bool_or("moved").alias("any_moved"),
         F.min(F.struct("site_id", *PLACE)).alias("home"),
     )
+    single = staged(single, "individuals")
     alone = (F.col("n_homes") == 1) & ~F.col("any_moved")
     counts = (
         single.where(alone)
@@ -265,12 +269,18 @@ def pool_sizes(cur: DataFrame, prior: DataFrame, p: Params, individuals: bool =
     """Current rows with their pool's sizes and distribution.
 
     Sizes are missing if the species and phase have no prior record at all, and 0
-    if none of its records qualifies.
+    if none of its records qualifies. The pool keys and the day counts feed
+    several joins, so each is written once.
     """
     pool_key = [*p.group_keys, *PLACE]
-    known = prior.select(*p.group_keys).distinct().withColumn("known", F.lit(True))
-    summary = pool_summary(cur, prior, p, individuals)
-    sizes = ["n_obs_r", "n_yrs_r"] + (["n_indiv_r"] if individuals else [])
+    keys = staged(_pool_keys(cur, p), "pool-keys")
+    counts = staged(_day_counts(prior, p), "day-counts")
+    known = counts.select(*p.group_keys).distinct().withColumn("known", F.lit(True))
+    summary = _summarize(keys, counts, p)
+    sizes = ["n_obs_r", "n_yrs_r"]
+    if individuals:
+        summary = summary.join(_pool_individuals(keys, prior, p), pool_key, "left")
+        sizes.append("n_indiv_r")
     return (
         cur.join(summary, pool_key, "left")
         .join(known, p.group_keys, "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from leafclock.operators import anomaly, clean, fill, pool, state, summary
 from leafclock.params import Params
+from leafclock.sources.scratch import staged
 
 
 def prepare(
@@ -18,7 +19,7 @@ def prepare(
 
 def split(df: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
     """Current rows, and prior rows of the species and phases seen this year."""
-    cur = clean.current_of(df, p)
+    cur = staged(clean.current_of(df, p), "current")
     return cur, pool.restrict_to_current(clean.prior_of(df, p), cur, p.group_keys)
 
 
@@ -34,7 +35,7 @@ def radius_report(cur: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
 
 def radius_histograms(flags: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
     """Histogram data behind each flagged row."""
-    panels = anomaly.panel_pool(flags, prior, p)
+    panels = anomaly.panel_pool(staged(flags, "flags"), prior, p)
     return summary.histogram(panels, "first_yes", p.bins, [p.phase_key, "panel"])
 
 

@@ -242,8 +242,9 @@ def _bilinear_sql(source: str, name: str, grid=COARSE, target=GRID) -> str:
   sum(v * wx * wy) / sum(wx * wy) AS "value" FROM (
   SELECT s."index", s."year", t.*, s."value" AS v, 1 - abs(t.lon - s.lon) / {grid.res!r} AS wx,
     1 - abs(t.lat - s.lat) / {grid.res!r} AS wy
-  FROM {source} s JOIN (SELECT r AS "row", c AS col, {target.x0!r} + (c + 0.5) * {target.res!r}
-      AS lon, {target.y0!r} - (r + 0.5) * {target.res!r} AS lat
+  FROM {source} s JOIN (SELECT r AS "row", c AS col, 
+      CAST({target.x0!r} + (c + 0.5) * {target.res!r} AS DOUBLE) AS lon,
+      CAST({target.y0!r} - (r + 0.5) * {target.res!r} AS DOUBLE) AS lat
     FROM (SELECT CAST(unnest(range({target.rows})) AS INT) AS r) a,
       (SELECT CAST(unnest(range({target.cols})) AS INT) AS c) b) t
   ON abs(t.lon - s.lon) < {grid.res!r} AND abs(t.lat - s.lat) < {grid.res!r}) w

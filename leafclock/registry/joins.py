@@ -11,6 +11,7 @@ from leafclock.registry.standin import (
     inside_sql, lambert_sql, nation_years, observations, raw, site_elevation, table, vertices,
 )
 from leafclock.operators import county
+from leafclock.sources.scratch import staged
 
 GAPS = chain(CLEAN_SQL, OBS_SQL, gaps=True)
 FILLED_SQL = f"""{EDGE_SQL},
@@ -42,9 +43,8 @@ def polygon_vertices(spark, sf_dir):
     f"""WITH {EDGE_SQL},
 pts AS (SELECT DISTINCT -100 + (l_orderkey * 61 % 4999) * CAST(0.001 AS DOUBLE) AS x,
   30 + (l_partkey * 37 % 4999) * CAST(0.001 AS DOUBLE) AS y FROM lineitem),
-{inside_sql("pts", "1", "located")} SELECT x, y, poly_id FROM located""".replace(
-        "SELECT 1, x", "SELECT x"
-    ).replace("GROUP BY 1, x", "GROUP BY x"),
+{inside_sql("pts", "x AS px, y AS py").replace("BY x AS px, y AS py, x", "BY x")}
+SELECT round(x, 6) AS x, round(y, 6) AS y, poly_id FROM located""",
 )
 def locate_(spark, sf_dir):
     pts = table(spark, sf_dir, "lineitem").select(
@@ -194,7 +194,8 @@ def compared(spark, sf_dir):
 
 def flags_and_prior(spark, sf_dir):
     cur, prior = cur_prior(spark, sf_dir)
-    return anomaly.flagged_rows(anomaly.compare_with_pool(cur, prior, P)), prior
+    flags = anomaly.flagged_rows(anomaly.compare_with_pool(cur, prior, P))
+    return staged(flags, "flags"), prior
 
 
 @query(

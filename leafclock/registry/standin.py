@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafclock.functions.geodesy import WGS84_A, WGS84_F
-from leafclock.operators.clean import clean_observations, current_of, prior_of
-from leafclock.operators.pool import restrict_to_current
+from leafclock.operators.clean import clean_observations
 from leafclock.operators.raster import CellGrid
 from leafclock.params import Params
+from leafclock.plans.anomalies import split
 from leafclock.sources.grids import polygon_edges
 
 STATES = tuple(f"S{i}" for i in range(25))
@@ -125,9 +125,7 @@ def observations(spark, sf_dir, p: Params = P, gaps: bool = False, kind: str = "
 
 
 def cur_prior(spark, sf_dir, p: Params = P, kind: str = "plants"):
-    obs = observations(spark, sf_dir, p, kind=kind)
-    cur = current_of(obs, p)
-    return cur, restrict_to_current(prior_of(obs, p), cur, p.group_keys)
+    return split(observations(spark, sf_dir, p, kind=kind), p)
 
 
 def site_elevation(spark, sf_dir) -> DataFrame:
@@ -445,8 +443,8 @@ def inside_sql(source: str, keys: str, name: str = "located") -> str:
 
 
 def cells_sql(name: str, value: str, grid: CellGrid = GRID, where: str = "TRUE") -> str:
-    return f"""{name} AS (SELECT *, {grid.x0!r} + (col + 0.5) * {grid.res!r} AS lon,
-  {grid.y0!r} - ("row" + 0.5) * {grid.res!r} AS lat FROM (
+    return f"""{name} AS (SELECT *, CAST({grid.x0!r} + (col + 0.5) * {grid.res!r} AS DOUBLE) AS lon,
+  CAST({grid.y0!r} - ("row" + 0.5) * {grid.res!r} AS DOUBLE) AS lat FROM (
   SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'leaf' ELSE 'bloom' END AS "index",
     CAST(year(l_shipdate) AS INT) AS "year", CAST(l_partkey % {grid.rows} AS INT) AS "row",
     CAST(l_orderkey % {grid.cols} AS INT) AS col, avg({value}) AS "value"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str = "run") -> str:
@@ -19,3 +19,14 @@ def scratch_dir(spark: SparkSession, name: str = "run") -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         return tempfile.mkdtemp(prefix=f"leafclock-{name}-")
     return f"{base.rstrip('/')}/leafclock-{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once as a table in a fresh working folder, and read back.
+
+    Used where a result feeds several branches: it is computed once, survives the
+    loss of executors, and its true size is known when joins are planned.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
