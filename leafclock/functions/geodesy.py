@@ -16,34 +16,56 @@ MEAN_RADIUS = 6371.0088
 MARGIN = 0.01
 
 
-def _hav(angle: Column) -> Column:
-    half = F.sin(angle / 2)
-    return half * half
+# Expressions are kept short on purpose: the JVM does not compile a generated
+# method above 8,000 bytecodes, and a join condition with long trigonometry passes that.
 
 
-def sphere_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    h = _hav(F.radians(lat2 - lat1)) + F.cos(F.radians(lat1)) * F.cos(
-        F.radians(lat2)
-    ) * _hav(F.radians(lon2 - lon1))
-    return 2 * MEAN_RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+def _sq(column: Column) -> Column:
+    return F.pow(column, F.lit(2.0))
 
 
-def ellipsoid_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Lambert's long-line formula on WGS84 (metres of error at these ranges)."""
-    b1 = F.atan((1 - WGS84_F) * F.tan(F.radians(lat1)))
-    b2 = F.atan((1 - WGS84_F) * F.tan(F.radians(lat2)))
-    h = _hav(b2 - b1) + F.cos(b1) * F.cos(b2) * _hav(F.radians(lon2 - lon1))
-    s = 2 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
-    p, q = (b1 + b2) / 2, (b2 - b1) / 2
-    x = (s - F.sin(s)) * F.pow(F.sin(p) * F.cos(q) / F.cos(s / 2), F.lit(2.0))
-    y = (s + F.sin(s)) * F.pow(F.cos(p) * F.sin(q) / F.sin(s / 2), F.lit(2.0))
-    return F.when(s == 0, F.lit(0.0)).otherwise(WGS84_A * (s - WGS84_F / 2 * (x + y)))
+def _hav(angle: Column) -> Column:
+    return _sq(F.sin(angle / 2))
 
 
-def distance_km(lat1, lon1, lat2, lon2, method: str = "ellipsoid") -> Column:
+def prepared(lat: Column, lon: Column, method: str = "ellipsoid") -> tuple[Column, Column]:
+    """What a distance needs of one location: latitude (reduced, on the ellipsoid)
+    and longitude in radians. Computed once per location, not once per pair."""
     if method not in ("ellipsoid", "sphere"):
         raise ValueError(f"unknown distance method {method!r}")
-    return (ellipsoid_km if method == "ellipsoid" else sphere_km)(lat1, lon1, lat2, lon2)
+    phi = F.radians(lat)
+    if method == "ellipsoid":
+        phi = F.atan((1 - WGS84_F) * F.tan(phi))
+    return phi, F.radians(lon)
+
+
+def haversine(b1: Column, l1: Column, b2: Column, l2: Column) -> Column:
+    """Haversine of the central angle between prepared locations."""
+    return _hav(b2 - b1) + F.cos(b1) * F.cos(b2) * _hav(l2 - l1)
+
+
+def km_of(h: Column, b1: Column, b2: Column, method: str = "ellipsoid") -> Column:
+    """Distance from the haversine ``h``; on the ellipsoid by Lambert's long-line
+    formula (metres of error at these ranges)."""
+    h = F.least(F.lit(1.0), h)
+    s = 2 * F.asin(F.sqrt(h))
+    if method == "sphere":
+        return MEAN_RADIUS * s
+    sin_s = 2 * F.sqrt(h * (1 - h))
+    p, q = _hav(b1 + b2), _hav(b2 - b1)
+    x = (s - sin_s) * p * (1 - q) / (1 - h)
+    y = (s + sin_s) * (1 - p) * q / h
+    return F.when(h == 0, F.lit(0.0)).otherwise(WGS84_A * (s - WGS84_F / 2 * (x + y)))
+
+
+def distance_km(lat1, lon1, lat2, lon2, method: str = "ellipsoid") -> Column:
+    (b1, l1), (b2, l2) = prepared(lat1, lon1, method), prepared(lat2, lon2, method)
+    return km_of(haversine(b1, l1, b2, l2), b1, b2, method)
+
+
+def hav_of_km(km: float) -> float:
+    """Haversine of a distance on the sphere."""
+    return math.sin(min(math.pi, km / MEAN_RADIUS) / 2) ** 2
 
 
 @dataclass(frozen=True)
@@ -128,36 +150,34 @@ class RadiusGrid:
             .drop("b_step")
         )
 
-    def bounds_km(self, t_row, t_col, u_row, u_col) -> tuple[Column, Column]:
-        """Lower and upper bound of the distance between points of two tiles."""
-        high, wide = 180.0 / self.tile_rows, 360.0 / self.tile_cols
-        rows = F.abs(u_row - t_row)
-        across = F.abs(u_col - t_col)
-        across = F.least(across, F.lit(self.tile_cols) - across)
-
-        def edges(r):
-            return r * high - 90.0, (r + 1) * high - 90.0
-
-        ends = [F.abs(e) for r in (t_row, u_row) for e in edges(r)]
-        # Highest and lowest absolute latitude of the two tiles.
-        top = F.greatest(*ends)
-        crosses = (F.least(*edges(t_row), *edges(u_row)) < 0) & (
-            F.greatest(*edges(t_row), *edges(u_row)) > 0
-        )
-        low = F.when(crosses, F.lit(0.0)).otherwise(F.least(*ends))
-
-        def km(dlat, dlon, lat):
-            c = F.cos(F.radians(lat))
-            h = _hav(F.radians(dlat)) + c * c * _hav(F.radians(dlon))
-            return 2 * MEAN_RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
-
-        zero, half_turn = F.lit(0), F.lit(180.0)
-        lower = km(
-            F.greatest(rows - 1, zero) * high,
-            F.least(F.greatest(across - 1, zero) * wide, half_turn),
-            top,
-        )
-        upper = km(
-            F.least((rows + 1) * high, half_turn), F.least((across + 1) * wide, half_turn), low
-        )
-        return lower * (1 - MARGIN), upper * (1 + MARGIN)
+    def tile_cosines(self, row: Column) -> tuple[Column, Column]:
+        """Smallest and largest cosine of latitude within a tile."""
+        high = 180.0 / self.tile_rows
+        south, north = F.cos(F.radians(row * high - 90.0)), F.cos(F.radians((row + 1) * high - 90.0))
+        over_equator = (row * high < 90.0) & ((row + 1) * high > 90.0)
+        largest = F.when(over_equator, F.lit(1.0)).otherwise(F.greatest(south, north))
+        return F.greatest(F.lit(0.0), F.least(south, north)), largest
+
+    def nearest(self, rows: Column, cols: Column, cosines: Column) -> Column:
+        """Lower bound of the haversine between points of tiles that many rows and
+        columns apart; ``cosines`` is the product of the smallest cosines."""
+        return self._hav_apart(F.greatest(rows - 1, F.lit(0)), F.greatest(cols - 1, F.lit(0)), cosines)
+
+    def farthest(self, rows: Column, cols: Column, cosines: Column) -> Column:
+        """Upper bound likewise; ``cosines`` is the product of the largest cosines."""
+        half = F.lit(self.tile_cols / 2.0)
+        return self._hav_apart(rows + 1, F.least(cols + 1, half), cosines)
+
+    def _hav_apart(self, rows: Column, cols: Column, cosines: Column) -> Column:
+        high, wide = math.pi / self.tile_rows, 2 * math.pi / self.tile_cols
+        return _hav(rows * high) + cosines * _hav(cols * wide)
+
+    @property
+    def hav_maybe(self) -> float:
+        """Above this lower bound no point is within the radius."""
+        return hav_of_km(self.radius_km / (1 - MARGIN))
+
+    @property
+    def hav_surely(self) -> float:
+        """Up to this upper bound every point is within the radius."""
+        return hav_of_km(self.radius_km / (1 + MARGIN))

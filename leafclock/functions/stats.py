@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Years held by one bit set word.
@@ -58,3 +58,38 @@ def strict_mean(column: str) -> Column:
 
 def strict_median(column: str) -> Column:
     return F.when(F.count(column) == F.count(F.lit(1)), F.percentile(column, F.lit(0.5)))
+
+
+def count_quantiles(
+    df: DataFrame, keys, value: str, weight: str, probs: dict, extra=()
+) -> DataFrame:
+    """Type 7 quantiles per group of values that carry a count.
+
+    Needs one row per group and value (days of year: at most 366 per group), which
+    running sums then rank. Everything stays in generated code; the percentile
+    aggregate would build and ship an object map per group and task. ``extra`` are
+    further aggregates.
+    """
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = df.withColumns(
+        {"q_upto": F.sum(weight).over(upto), "q_total": F.sum(weight).over(group)}
+    )
+
+    def at(prob):
+        return (F.col("q_total") - 1) * F.lit(float(prob))
+
+    picks = []
+    for name, prob in probs.items():
+        low = F.floor(at(prob))
+        picks.append(F.min(F.when(F.col("q_upto") > low, F.col(value))).alias(f"{name}_low"))
+        picks.append(F.min(F.when(F.col("q_upto") > low + 1, F.col(value))).alias(f"{name}_high"))
+    out = ranked.groupBy(*keys).agg(F.max("q_total").alias("q_total"), *picks, *extra)
+
+    def between(name, prob):
+        low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+        share = at(prob) - F.floor(at(prob))
+        return low + share * (F.coalesce(high, low) - low)
+
+    out = out.withColumns({name: between(name, prob) for name, prob in probs.items()})
+    return out.drop("q_total", *[f"{n}_{e}" for n in probs for e in ("low", "high")])

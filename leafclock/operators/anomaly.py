@@ -12,16 +12,15 @@ from leafclock.params import FUNC_TYPE_CODES, Params
 
 
 def distribution(df: DataFrame, keys, lowerq: float = 0.05, value: str = "first_yes"):
-    """Minimum and exact quantiles per group."""
-    q = stats.quantiles(value, [lowerq, 0.25, 0.75])
-    return (
-        df.groupBy(*keys)
-        .agg(F.min(value).alias("min"), q.alias("q"))
-        .select(
-            *keys, "min",
-            F.col("q")[0].alias("qearly"), F.col("q")[1].alias("q25"), F.col("q")[2].alias("q75"),
-        )
+    """Minimum and exact quantiles per group, from counts per value."""
+    counts = (
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(F.count(F.lit(1)).alias("q_n"))
     )
+    probs = {"qearly": lowerq, "q25": 0.25, "q75": 0.75}
+    out = stats.count_quantiles(counts, keys, value, "q_n", probs, [F.min(value).alias("min")])
+    return out.select(*keys, "min", *probs)
 
 
 def tukey_low(q25="q25", iqr="iqr") -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafclock.functions import stats
-from leafclock.functions.geodesy import RadiusGrid, distance_km
+from leafclock.functions.geodesy import RadiusGrid, haversine, km_of, prepared
 from leafclock.params import Params
 from leafclock.sources.scratch import staged
 
@@ -34,8 +34,13 @@ def _grid(p: Params) -> RadiusGrid:
 
 
 def _with_tile(df: DataFrame, p: Params) -> DataFrame:
+    """Tile of each row, and what distances and tile bounds need per location."""
     g = _grid(p)
-    return df.withColumns({"t_row": g.tile_row(F.col("lat")), "t_col": g.tile_col(F.col("lon"))})
+    beta, lam = prepared(F.col("lat"), F.col("lon"), p.distance)
+    return df.withColumns(
+        {"t_row": g.tile_row(F.col("lat")), "t_col": g.tile_col(F.col("lon")),
+         "beta": beta, "lam": lam}
+    )
 
 
 def _with_cell(df: DataFrame, p: Params) -> DataFrame:
@@ -54,28 +59,43 @@ def _in_band(p: Params) -> Column:
     return (other > elev - p.elev_buffer) & (other < elev + p.elev_buffer)
 
 
-def _in_radius(p: Params) -> Column:
-    d = distance_km(F.col("lat"), F.col("lon"), F.col("u_lat"), F.col("u_lon"), p.distance)
-    # Latitude alone rules out most; only the rest needs the formula.
-    far = F.abs(F.col("lat") - F.col("u_lat")) > _grid(p).reach_deg
-    return F.when(far, F.lit(False)).otherwise(d <= p.radius_km)
+def _in_radius(df: DataFrame, p: Params) -> DataFrame:
+    """Pairs of locations within the radius. The haversine settles nearly all pairs;
+    the full formula decides only those close to the radius."""
+    b1, b2 = F.col("beta"), F.col("u_beta")
+    g = _grid(p)
+    h = haversine(b1, F.col("lam"), b2, F.col("u_lam"))
+    # Exploding a one-element array keeps the value a column of its own; as a plain
+    # alias it would be copied into every place of the formula that uses it.
+    near = df.where(h <= g.hav_maybe).withColumn("hav", F.explode(F.array(h)))
+    hav = F.col("hav")
+    exact = km_of(hav, b1, b2, p.distance) <= p.radius_km
+    return near.where((hav <= g.hav_surely) | exact).drop("hav")
 
 
 def _near_tiles(left: DataFrame, right: DataFrame, on, p: Params) -> DataFrame:
     """Rows of ``left`` (``t_row, t_col``) and ``right`` (``u_t_row, u_t_col``) equal
     in ``on`` whose tiles may hold points within the radius; ``all_in`` if all do."""
     g = _grid(p)
-    blocked = g.near_blocks(left).repartition(*on, "b_row", "b_col")
-    right = right.withColumns(
+
+    def with_cosines(df, row, prefix):
+        low, high = g.tile_cosines(F.col(row))
+        return df.withColumns({f"{prefix}low": low, f"{prefix}high": high})
+
+    blocked = with_cosines(g.near_blocks(left), "t_row", "t_").repartition(*on, "b_row", "b_col")
+    right = with_cosines(right, "u_t_row", "u_").withColumns(
         {"b_row": g.block_row(F.col("u_t_row")), "b_col": g.block_col(F.col("u_t_col"))}
     )
-    lower, upper = g.bounds_km(*[F.col(c) for c in ("t_row", "t_col", "u_t_row", "u_t_col")])
+    across = F.abs(F.col("u_t_col") - F.col("t_col"))
+    rows = F.abs(F.col("u_t_row") - F.col("t_row"))
+    cols = F.least(across, F.lit(g.tile_cols) - across)
+    nearest = g.nearest(rows, cols, F.col("t_low") * F.col("u_low"))
+    farthest = g.farthest(rows, cols, F.col("t_high") * F.col("u_high"))
     return (
         blocked.join(right, [*on, "b_row", "b_col"])
-        .drop("b_row", "b_col")
-        .withColumns({"lower_km": lower, "all_in": upper <= p.radius_km})
-        .where(F.col("lower_km") <= p.radius_km)
-        .drop("lower_km")
+        .where(nearest <= g.hav_maybe)
+        .withColumn("all_in", farthest <= g.hav_surely)
+        .drop("b_row", "b_col", "t_low", "t_high", "u_low", "u_high")
     )
 
 
@@ -123,9 +143,10 @@ def _spread(keys: DataFrame, rows: DataFrame, roll, payload, p: Params) -> DataF
     inside = keys.join(roll(inside, [*on, *CELL]), [*on, *CELL])
     rim = (
         keys.join(near.where("NOT whole").select(*on, *CELL, *u_cell), [*on, *CELL])
-        .join(_as_other(places, [*CELL, *PLACE]), [*on, *u_cell])
-        .where(_in_band(p) & _in_radius(p))
+        .join(_as_other(places, [*CELL, *PLACE, "beta", "lam"]), [*on, *u_cell])
+        .where(_in_band(p))
     )
+    rim = _in_radius(rim, p)
     columns = [*pool_key, *payload]
     return inside.select(*columns).unionByName(rim.select(*columns))
 
@@ -134,11 +155,10 @@ def _near_sites(keys: DataFrame, sites: DataFrame, p: Params) -> DataFrame:
     """Pool locations and the sites with any location within the radius."""
     on = p.group_keys
     sites = _with_tile(sites.select(*on, "site_id", "lat", "lon").dropna().distinct(), p)
-    right = _as_other(sites, ["lat", "lon", "t_row", "t_col"])
-    left = keys.select(*on, "lat", "lon", "t_row", "t_col").distinct()
+    right = _as_other(sites, ["lat", "lon", "t_row", "t_col", "beta", "lam"])
+    left = keys.select(*on, "lat", "lon", "t_row", "t_col", "beta", "lam").distinct()
     return (
-        _near_tiles(left, right, on, p)
-        .where(_in_radius(p))
+        _in_radius(_near_tiles(left, right, on, p), p)
         .select(*on, "lat", "lon", "site_id")
         .distinct()
     )
@@ -191,20 +211,12 @@ def _summarize(keys: DataFrame, counts: DataFrame, p: Params) -> DataFrame:
         return df.groupBy(*by, "first_yes").agg(F.sum("n").alias("n"), *stats.or_years(years))
 
     pool_key = [*p.group_keys, *PLACE]
-    days = _reach(keys, counts, roll, ["first_yes", "n", *words], p)
-    q = stats.quantiles("first_yes", [p.lowerq, 0.25, 0.75], F.col("n"))
-    return (
-        days.groupBy(*pool_key)
-        .agg(
-            F.sum("n").alias("n_obs_r"),
-            *stats.or_years(years),
-            F.min("first_yes").alias("min"),
-            q.alias("q"),
-        )
-        .select(
-            *pool_key, "n_obs_r", stats.count_years(years).alias("n_yrs_r"), "min",
-            F.col("q")[0].alias("qearly"), F.col("q")[1].alias("q25"), F.col("q")[2].alias("q75"),
-        )
+    days = roll(_reach(keys, counts, roll, ["first_yes", "n", *words], p), pool_key)
+    extra = [F.sum("n").alias("n_obs_r"), *stats.or_years(years), F.min("first_yes").alias("min")]
+    probs = {"qearly": p.lowerq, "q25": 0.25, "q75": 0.75}
+    out = stats.count_quantiles(days, pool_key, "first_yes", "n", probs, extra)
+    return out.select(
+        *pool_key, "n_obs_r", stats.count_years(years).alias("n_yrs_r"), "min", *probs
     )
 
 
