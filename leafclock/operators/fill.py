@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafclock.operators.clean import restrict_states
 from leafclock.operators.locate import locate_points
 from leafclock.params import Params
+from leafclock.sources.scratch import staged
 
 
 def fill_state(df: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
@@ -24,6 +25,8 @@ def fill_state(df: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
         .groupBy("site_id")
         .agg(F.min("poly_id").alias("state_new"))
     )
+    # Written first, so that a short list is broadcast and the rows stay in place.
+    found = staged(found, "states-found")
     filled = (
         df.join(found, "site_id", "left")
         .withColumn("state", F.coalesce("state", "state_new"))

@@ -17,7 +17,7 @@ Only cells on the rim of the radius or band are compared location by location.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafclock.functions import stats
@@ -100,17 +100,33 @@ def _near_tiles(left: DataFrame, right: DataFrame, on, p: Params) -> DataFrame:
 
 
 def _pool_keys(cur: DataFrame, p: Params) -> DataFrame:
-    keys = [*p.group_keys, *PLACE]
-    return _with_cell(cur.select(*keys).dropna().distinct(), p)
+    """The distinct pool keys of the current rows, numbered.
+
+    Pairs then carry one number instead of five columns. The table is written, so
+    the numbers stay the same for every branch that reads it.
+    """
+    keys = cur.select(*p.group_keys, *PLACE).dropna().distinct()
+    keys = _with_cell(keys, p).withColumn("pool", F.monotonically_increasing_id())
+    return staged(keys, "pool-keys")
 
 
-def _mark_moved(rows: DataFrame, p: Params) -> DataFrame:
-    """Mark sites with several coordinates within a species and phase."""
+def _moved_sites(rows: DataFrame, p: Params) -> DataFrame | None:
+    """Sites with several coordinates within a species and phase; none if there are none.
+
+    Such sites are rare, so the (tiny) list is written and looked at before any join
+    is planned for it.
+    """
     if not p.moved_sites:
-        return rows.withColumn("moved", F.lit(False))
-    w = Window.partitionBy(*p.group_keys, "site_id")
-    moved = [F.min(c).over(w) != F.max(c).over(w) for c in ("lat", "lon")]
-    return rows.withColumn("moved", F.coalesce(moved[0] | moved[1], F.lit(False)))
+        return None
+    several = [F.min(c) != F.max(c) for c in ("lat", "lon")]
+    moved = (
+        rows.groupBy(*p.group_keys, "site_id")
+        .agg((several[0] | several[1]).alias("moved"))
+        .where("moved")
+        .drop("moved")
+    )
+    moved = staged(moved, "moved-sites")
+    return None if moved.isEmpty() else moved
 
 
 def _spread(keys: DataFrame, rows: DataFrame, roll, payload, p: Params) -> DataFrame:
@@ -119,8 +135,7 @@ def _spread(keys: DataFrame, rows: DataFrame, roll, payload, p: Params) -> DataF
     ``roll(df, by)`` combines payload rows that agree in ``by``.
     """
     on = p.group_keys
-    pool_key = [*on, *PLACE]
-    places = _with_cell(roll(rows, pool_key), p)
+    places = _with_cell(roll(rows, [*on, *PLACE]), p)
     cells = roll(places, [*on, *CELL])
     u_cell = [f"u_{c}" for c in CELL]
 
@@ -140,14 +155,16 @@ def _spread(keys: DataFrame, rows: DataFrame, roll, payload, p: Params) -> DataF
         .select(*on, *CELL, *u_cell)
         .join(_as_other(cells, CELL), [*on, *u_cell])
     )
-    inside = keys.join(roll(inside, [*on, *CELL]), [*on, *CELL])
+    by_cell = keys.select("pool", *on, *CELL)
+    inside = by_cell.join(roll(inside, [*on, *CELL]), [*on, *CELL])
+    places_of = keys.select("pool", *on, *CELL, *PLACE, "beta", "lam")
     rim = (
-        keys.join(near.where("NOT whole").select(*on, *CELL, *u_cell), [*on, *CELL])
+        places_of.join(near.where("NOT whole").select(*on, *CELL, *u_cell), [*on, *CELL])
         .join(_as_other(places, [*CELL, *PLACE, "beta", "lam"]), [*on, *u_cell])
         .where(_in_band(p))
     )
     rim = _in_radius(rim, p)
-    columns = [*pool_key, *payload]
+    columns = ["pool", *payload]
     return inside.select(*columns).unionByName(rim.select(*columns))
 
 
@@ -168,26 +185,27 @@ def _spread_moved(keys: DataFrame, rows: DataFrame, roll, payload, p: Params) ->
     """As ``_spread`` for sites with several coordinates: a site whose any location
     is within the radius brings all its rows, once."""
     on = p.group_keys
-    pool_key = [*on, *PLACE]
     by_site = roll(rows, [*on, "site_id", "elev"]).withColumnRenamed("elev", "u_elev")
     near = _near_sites(keys, rows, p)
     return (
-        keys.select(*pool_key)
+        keys.select("pool", *on, *PLACE)
         .join(near, [*on, "lat", "lon"])
         .join(by_site, [*on, "site_id"])
         .where(_in_band(p))
-        .select(*pool_key, *payload)
+        .select("pool", *payload)
     )
 
 
-def _reach(keys: DataFrame, rows: DataFrame, roll, payload, p: Params) -> DataFrame:
+def _reach(
+    keys: DataFrame, rows: DataFrame, moved: DataFrame | None, roll, payload, p: Params
+) -> DataFrame:
     rows = rows.where("elev IS NOT NULL")
-    moved = rows.where("moved")
-    # Rare, so look before planning the extra joins.
-    if not p.moved_sites or moved.isEmpty():
+    if moved is None:
         return _spread(keys, rows, roll, payload, p)
-    still = _spread(keys, rows.where("NOT moved"), roll, payload, p)
-    return still.unionByName(_spread_moved(keys, moved, roll, payload, p))
+    by = [*p.group_keys, "site_id"]
+    still = _spread(keys, rows.join(moved, by, "left_anti"), roll, payload, p)
+    some = rows.join(moved, by, "left_semi")
+    return still.unionByName(_spread_moved(keys, some, roll, payload, p))
 
 
 def _day_counts(prior: DataFrame, p: Params) -> DataFrame:
@@ -195,12 +213,11 @@ def _day_counts(prior: DataFrame, p: Params) -> DataFrame:
     by = [*p.group_keys, "site_id", *PLACE, "first_yes"]
     years = p.prior_years
     words = stats.year_bits(F.col("year"), years)
-    counted = (
+    return (
         prior.select(*by, *words)
         .groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n"), *stats.or_years(years))
     )
-    return _mark_moved(counted, p)
 
 
 def _summarize(keys: DataFrame, counts: DataFrame, p: Params) -> DataFrame:
@@ -210,20 +227,19 @@ def _summarize(keys: DataFrame, counts: DataFrame, p: Params) -> DataFrame:
     def roll(df, by):
         return df.groupBy(*by, "first_yes").agg(F.sum("n").alias("n"), *stats.or_years(years))
 
-    pool_key = [*p.group_keys, *PLACE]
-    days = roll(_reach(keys, counts, roll, ["first_yes", "n", *words], p), pool_key)
+    moved = _moved_sites(counts, p)
+    days = roll(_reach(keys, counts, moved, roll, ["first_yes", "n", *words], p), ["pool"])
     extra = [F.sum("n").alias("n_obs_r"), *stats.or_years(years), F.min("first_yes").alias("min")]
     probs = {"qearly": p.lowerq, "q25": 0.25, "q75": 0.75}
-    out = stats.count_quantiles(days, pool_key, "first_yes", "n", probs, extra)
-    return out.select(
-        *pool_key, "n_obs_r", stats.count_years(years).alias("n_yrs_r"), "min", *probs
-    )
+    out = stats.count_quantiles(days, ["pool"], "first_yes", "n", probs, extra)
+    return out.select("pool", "n_obs_r", stats.count_years(years).alias("n_yrs_r"), "min", *probs)
 
 
 def pool_summary(cur: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
     """Per pool key: records, years, minimum and quantiles of its pool."""
-    keys = staged(_pool_keys(cur, p), "pool-keys")
-    return _summarize(keys, staged(_day_counts(prior, p), "day-counts"), p)
+    keys = _pool_keys(cur, p)
+    summary = _summarize(keys, staged(_day_counts(prior, p), "day-counts"), p)
+    return keys.select("pool", *p.group_keys, *PLACE).join(summary, "pool").drop("pool")
 
 
 def _pool_individuals(keys: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
@@ -233,14 +249,20 @@ def _pool_individuals(keys: DataFrame, prior: DataFrame, p: Params) -> DataFrame
     it is summed like any count. Only individuals seen in several homes are
     counted one by one, spread over tasks by individual.
     """
-    on, pool_key = p.group_keys, [*p.group_keys, *PLACE]
+    on = p.group_keys
     homes = (
         prior.where(F.col("elev").isNotNull())
         .select(*on, F.col("site_id"), *PLACE, F.col(p.unit).alias("unit"))
         .distinct()
     )
-    homes = staged(_mark_moved(homes, p), "homes")
-    single = homes.groupBy(*on, "unit").agg(
+    homes = staged(homes, "homes")
+    moved = _moved_sites(homes, p)
+    mark = F.lit(False)
+    marked = homes.withColumn("moved", mark)
+    if moved is not None:
+        marked = homes.join(moved.withColumn("m", F.lit(True)), [*on, "site_id"], "left")
+        marked = marked.withColumn("moved", F.coalesce("m", mark)).drop("m")
+    single = marked.groupBy(*on, "unit").agg(
         F.count(F.lit(1)).alias("n_homes"),
         F.bool_or("moved").alias("any_moved"),
         F.min(F.struct("site_id", *PLACE)).alias("home"),
@@ -260,39 +282,37 @@ def _pool_individuals(keys: DataFrame, prior: DataFrame, p: Params) -> DataFrame
     def roll_units(df, by):
         return df.select(*by, "unit").distinct()
 
-    summed = _spread(keys, counts, roll_counts, ["n"], p).select(*pool_key, "n")
+    summed = _spread(keys, counts, roll_counts, ["n"], p)
     shared = single.where(~alone).select(*[F.col(c).alias(f"s_{c}") for c in [*on, "unit"]])
     same = [F.col(c) == F.col(f"s_{c}") for c in on]
     same.append(F.col("unit").eqNullSafe(F.col("s_unit")))
     roaming = homes.join(shared, same, "left_semi")
     one_by_one = (
-        _reach(keys, roaming, roll_units, ["unit"], p)
-        .select(*pool_key, "unit")
+        _reach(keys, roaming, moved, roll_units, ["unit"], p)
         .distinct()
-        .groupBy(*pool_key)
+        .groupBy("pool")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return (
-        summed.unionByName(one_by_one).groupBy(*pool_key).agg(F.sum("n").alias("n_indiv_r"))
-    )
+    return summed.unionByName(one_by_one).groupBy("pool").agg(F.sum("n").alias("n_indiv_r"))
 
 
 def pool_sizes(cur: DataFrame, prior: DataFrame, p: Params, individuals: bool = True):
     """Current rows with their pool's sizes and distribution.
 
     Sizes are missing if the species and phase have no prior record at all, and 0
-    if none of its records qualifies. The pool keys and the day counts feed
-    several joins, so each is written once.
+    if none of its records qualifies. The day counts feed several joins, so they
+    are written once; pass current rows that are cheap to read again.
     """
     pool_key = [*p.group_keys, *PLACE]
-    keys = staged(_pool_keys(cur, p), "pool-keys")
+    keys = _pool_keys(cur, p)
     counts = staged(_day_counts(prior, p), "day-counts")
     known = counts.select(*p.group_keys).distinct().withColumn("known", F.lit(True))
     summary = _summarize(keys, counts, p)
     sizes = ["n_obs_r", "n_yrs_r"]
     if individuals:
-        summary = summary.join(_pool_individuals(keys, prior, p), pool_key, "left")
+        summary = summary.join(_pool_individuals(keys, prior, p), "pool", "left")
         sizes.append("n_indiv_r")
+    summary = keys.select("pool", *pool_key).join(summary, "pool").drop("pool")
     return (
         cur.join(summary, pool_key, "left")
         .join(known, p.group_keys, "left")
@@ -321,8 +341,13 @@ def neighbour_pool(cur: DataFrame, prior: DataFrame, p: Params, carry=()) -> Dat
 
 
 def restrict_to_current(prior: DataFrame, cur: DataFrame, keys) -> DataFrame:
-    """Prior rows whose key occurs in the current year."""
-    return prior.join(cur.select(*keys).distinct(), list(keys), "left_semi")
+    """Prior rows whose key occurs in the current year.
+
+    The key list is written first: Spark then knows its size when it plans the join,
+    and a short list is broadcast without shuffling the prior rows.
+    """
+    wanted = staged(cur.select(*keys).distinct(), "keys")
+    return prior.join(wanted, list(keys), "left_semi")
 
 
 def missing_keys(cur: DataFrame, cached: DataFrame, keys) -> DataFrame:

@@ -15,6 +15,7 @@ from leafclock import schemas
 from leafclock.operators.clean import clean_observations
 from leafclock.operators.fill import fill_elevation, fill_state
 from leafclock.params import Params
+from leafclock.sources.scratch import staged
 
 LAYOUT = ["pheno_class_id", "year"]
 
@@ -75,7 +76,7 @@ def missing_rows(
     raw = (
         source.where(F.col("first_yes_year").between(p.first_prior_year, p.year - 1))
         .where(F.col("pheno_class_id").isin(*p.pheno_class_ids))
-        .join(wanted(cache, cur, p), keys)
+        .join(staged(wanted(cache, cur, p), "wanted"), keys)
         .where(F.col("first_yes_year") >= F.col("from_year"))
         .drop("from_year")
     )

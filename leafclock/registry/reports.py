@@ -20,7 +20,7 @@ from leafclock.registry.standin import (
 )
 from leafclock.registry.grids import CLASS_SQL
 from leafclock.sources.observations import from_day, in_period
-from leafclock.sources.scratch import scratch_dir
+from leafclock.sources.scratch import scratch_dir, staged
 
 
 @query("g1_radius_report", TABLE + "SELECT * FROM eo")
@@ -242,7 +242,7 @@ def refresh(spark, sf_dir):
     source = raw(spark, sf_dir, gaps=True)
     shapes, elev = edges(spark, sf_dir), site_elevation(spark, sf_dir)
     obs = anomalies.prepare(source, shapes, elev, P)
-    cur = clean.current_of(obs, P)
+    cur = staged(clean.current_of(obs, P), "current")
     some = cur.where("species_id <= 4 AND pheno_class_id <= 5")
     then = P.with_(year=1999)
     refresh_prior(spark, source, path, some, shapes, elev, then, "first")

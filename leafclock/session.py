@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Geometry is heavy per byte, so keep small partitions apart.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     # Hash instead of sort where every partition of the build side is this small.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # Day-of-year aggregates keep at most 366 entries per group, so many groups
