@@ -53,7 +53,8 @@ def km_of(h: Column, b1: Column, b2: Column, method: str = "ellipsoid") -> Colum
         return MEAN_RADIUS * s
     sin_s = 2 * F.sqrt(h * (1 - h))
     p, q = _hav(b1 + b2), _hav(b2 - b1)
-    x = (s - sin_s) * p * (1 - q) / (1 - h)
+    # The formula does not hold for opposite points; only avoid dividing by zero.
+    x = (s - sin_s) * p * (1 - q) / F.greatest(1 - h, F.lit(1e-12))
     y = (s + sin_s) * (1 - p) * q / h
     return F.when(h == 0, F.lit(0.0)).otherwise(WGS84_A * (s - WGS84_F / 2 * (x + y)))
 

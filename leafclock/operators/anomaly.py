@@ -89,6 +89,12 @@ def panel_pool(flags: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def panel_marks(flags: DataFrame, p: Params) -> DataFrame:
+    """The current day to mark in each panel, told apart by label if outliers are shown."""
+    eo = F.col("eo") if p.outliers_in_histogram else F.lit(None).cast("string")
+    return flags.select(p.phase_key, "panel", "first_yes", eo.alias("eo"))
+
+
 def attach_details(flags: DataFrame, cur: DataFrame, p: Params) -> DataFrame:
     """Observation details and pool sizes of flagged rows, by individual and phase."""
     details = cur.select(

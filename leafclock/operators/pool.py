@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from leafclock.functions import stats
 from leafclock.functions.geodesy import RadiusGrid, haversine, km_of, prepared
+from leafclock.operators.clean import prior_of
 from leafclock.params import Params
 from leafclock.sources.scratch import staged
 
@@ -73,9 +74,10 @@ def _in_radius(df: DataFrame, p: Params) -> DataFrame:
     return near.where((hav <= g.hav_surely) | exact).drop("hav")
 
 
-def _near_tiles(left: DataFrame, right: DataFrame, on, p: Params) -> DataFrame:
+def _near_tiles(left: DataFrame, right: DataFrame, on, p: Params, also=None) -> DataFrame:
     """Rows of ``left`` (``t_row, t_col``) and ``right`` (``u_t_row, u_t_col``) equal
-    in ``on`` whose tiles may hold points within the radius; ``all_in`` if all do."""
+    in ``on`` whose tiles may hold points within the radius; ``all_in`` if all do.
+    ``also`` is a cheaper condition to test first."""
     g = _grid(p)
 
     def with_cosines(df, row, prefix):
@@ -93,7 +95,7 @@ def _near_tiles(left: DataFrame, right: DataFrame, on, p: Params) -> DataFrame:
     farthest = g.farthest(rows, cols, F.col("t_high") * F.col("u_high"))
     return (
         blocked.join(right, [*on, "b_row", "b_col"])
-        .where(nearest <= g.hav_maybe)
+        .where((F.lit(True) if also is None else also) & (nearest <= g.hav_maybe))
         .withColumn("all_in", farthest <= g.hav_surely)
         .drop("b_row", "b_col", "t_low", "t_high", "u_low", "u_high")
     )
@@ -129,43 +131,54 @@ def _moved_sites(rows: DataFrame, p: Params) -> DataFrame | None:
     return None if moved.isEmpty() else moved
 
 
-def _spread(keys: DataFrame, rows: DataFrame, roll, payload, p: Params) -> DataFrame:
+def _near_cells(keys: DataFrame, rows: DataFrame, p: Params) -> DataFrame:
+    """Pairs of a pool cell and a prior cell of the same species and phase that may
+    match; ``whole`` if every point of one matches every point of the other.
+
+    Their number is bounded by the map and the elevation range, not by the records.
+    Two branches read them, so they are written once.
+    """
+    on = [*p.group_keys, "e_block"]
+    # Buckets match up to this far apart (one of slack for rounding at bucket borders),
+    # so blocks of that height match only their neighbours.
+    reach = p.elev_steps + 1
+    block = F.floor(F.col("t_elev") / reach)
+    left = keys.select(*p.group_keys, *CELL).distinct()
+    left = left.withColumn("e_block", F.explode(F.sequence(block - 1, block + 1)))
+    right = rows.select(*p.group_keys, *CELL).dropna().distinct().withColumn("e_block", block)
+    apart = F.abs(F.col("t_elev") - F.col("u_t_elev"))
+    near = _near_tiles(left, _as_other(right, CELL), on, p, also=apart <= reach)
+    whole = F.col("all_in") & (apart <= p.elev_steps - 2)
+    near = near.withColumn("whole", whole).drop("all_in", "e_block")
+    return staged(near, "near-cells")
+
+
+def _spread(
+    keys: DataFrame, near: DataFrame, rows: DataFrame, roll, payload, p: Params
+) -> DataFrame:
     """Payload rows within reach of each pool key.
 
     ``roll(df, by)`` combines payload rows that agree in ``by``.
     """
     on = p.group_keys
-    places = _with_cell(roll(rows, [*on, *PLACE]), p)
-    cells = roll(places, [*on, *CELL])
     u_cell = [f"u_{c}" for c in CELL]
-
-    near = _near_tiles(
-        keys.select(*on, *CELL).distinct(),
-        _as_other(cells.select(*on, *CELL).distinct(), CELL),
-        on,
-        p,
-    )
-    # One bucket of slack covers rounding at bucket borders.
-    apart = F.abs(F.col("t_elev") - F.col("u_t_elev"))
-    whole = F.col("all_in") & (apart <= p.elev_steps - 2)
-    near = near.where(apart <= p.elev_steps + 1).withColumn("whole", whole)
-
-    inside = (
-        near.where("whole")
-        .select(*on, *CELL, *u_cell)
-        .join(_as_other(cells, CELL), [*on, *u_cell])
-    )
+    cells = _as_other(roll(rows, [*on, *CELL]), CELL)
+    inside = near.where("whole").drop("whole").join(cells, [*on, *u_cell])
     by_cell = keys.select("pool", *on, *CELL)
     inside = by_cell.join(roll(inside, [*on, *CELL]), [*on, *CELL])
-    places_of = keys.select("pool", *on, *CELL, *PLACE, "beta", "lam")
+
+    left = keys.select("pool", *on, *CELL, *PLACE, "beta", "lam")
+    right = _as_other(
+        rows.select(*on, *CELL, *PLACE, "beta", "lam", *payload),
+        [*CELL, *PLACE, "beta", "lam"],
+    )
     rim = (
-        places_of.join(near.where("NOT whole").select(*on, *CELL, *u_cell), [*on, *CELL])
-        .join(_as_other(places, [*CELL, *PLACE, "beta", "lam"]), [*on, *u_cell])
+        left.join(near.where("NOT whole").drop("whole"), [*on, *CELL])
+        .join(right, [*on, *u_cell])
         .where(_in_band(p))
     )
-    rim = _in_radius(rim, p)
     columns = ["pool", *payload]
-    return inside.select(*columns).unionByName(rim.select(*columns))
+    return inside.select(*columns).unionByName(_in_radius(rim, p).select(*columns))
 
 
 def _near_sites(keys: DataFrame, sites: DataFrame, p: Params) -> DataFrame:
@@ -197,13 +210,14 @@ def _spread_moved(keys: DataFrame, rows: DataFrame, roll, payload, p: Params) ->
 
 
 def _reach(
-    keys: DataFrame, rows: DataFrame, moved: DataFrame | None, roll, payload, p: Params
+    keys: DataFrame, near: DataFrame, rows: DataFrame, moved: DataFrame | None, roll, payload,
+    p: Params,
 ) -> DataFrame:
     rows = rows.where("elev IS NOT NULL")
     if moved is None:
-        return _spread(keys, rows, roll, payload, p)
+        return _spread(keys, near, rows, roll, payload, p)
     by = [*p.group_keys, "site_id"]
-    still = _spread(keys, rows.join(moved, by, "left_anti"), roll, payload, p)
+    still = _spread(keys, near, rows.join(moved, by, "left_anti"), roll, payload, p)
     some = rows.join(moved, by, "left_semi")
     return still.unionByName(_spread_moved(keys, some, roll, payload, p))
 
@@ -213,14 +227,15 @@ def _day_counts(prior: DataFrame, p: Params) -> DataFrame:
     by = [*p.group_keys, "site_id", *PLACE, "first_yes"]
     years = p.prior_years
     words = stats.year_bits(F.col("year"), years)
-    return (
+    counts = (
         prior.select(*by, *words)
         .groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n"), *stats.or_years(years))
     )
+    return staged(_with_cell(counts, p), "day-counts")
 
 
-def _summarize(keys: DataFrame, counts: DataFrame, p: Params) -> DataFrame:
+def _summarize(keys: DataFrame, near: DataFrame, counts: DataFrame, p: Params) -> DataFrame:
     years = p.prior_years
     words = stats.year_words(years)
 
@@ -228,7 +243,8 @@ def _summarize(keys: DataFrame, counts: DataFrame, p: Params) -> DataFrame:
         return df.groupBy(*by, "first_yes").agg(F.sum("n").alias("n"), *stats.or_years(years))
 
     moved = _moved_sites(counts, p)
-    days = roll(_reach(keys, counts, moved, roll, ["first_yes", "n", *words], p), ["pool"])
+    days = _reach(keys, near, counts, moved, roll, ["first_yes", "n", *words], p)
+    days = roll(days, ["pool"])
     extra = [F.sum("n").alias("n_obs_r"), *stats.or_years(years), F.min("first_yes").alias("min")]
     probs = {"qearly": p.lowerq, "q25": 0.25, "q75": 0.75}
     out = stats.count_quantiles(days, ["pool"], "first_yes", "n", probs, extra)
@@ -237,12 +253,15 @@ def _summarize(keys: DataFrame, counts: DataFrame, p: Params) -> DataFrame:
 
 def pool_summary(cur: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
     """Per pool key: records, years, minimum and quantiles of its pool."""
-    keys = _pool_keys(cur, p)
-    summary = _summarize(keys, staged(_day_counts(prior, p), "day-counts"), p)
+    prior = prior_of(prior, p)
+    keys, counts = _pool_keys(cur, p), _day_counts(prior, p)
+    summary = _summarize(keys, _near_cells(keys, counts, p), counts, p)
     return keys.select("pool", *p.group_keys, *PLACE).join(summary, "pool").drop("pool")
 
 
-def _pool_individuals(keys: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
+def _pool_individuals(
+    keys: DataFrame, near: DataFrame, prior: DataFrame, p: Params
+) -> DataFrame:
     """Exact number of individuals per pool key.
 
     An individual with a single home (site, place) adds to that home's count, so
@@ -255,7 +274,7 @@ def _pool_individuals(keys: DataFrame, prior: DataFrame, p: Params) -> DataFrame
         .select(*on, F.col("site_id"), *PLACE, F.col(p.unit).alias("unit"))
         .distinct()
     )
-    homes = staged(homes, "homes")
+    homes = staged(_with_cell(homes, p), "homes")
     moved = _moved_sites(homes, p)
     mark = F.lit(False)
     marked = homes.withColumn("moved", mark)
@@ -275,6 +294,7 @@ def _pool_individuals(keys: DataFrame, prior: DataFrame, p: Params) -> DataFrame
         .groupBy(*on, "site_id", *PLACE)
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    counts = _with_cell(counts, p)
 
     def roll_counts(df, by):
         return df.groupBy(*by).agg(F.sum("n").alias("n"))
@@ -282,13 +302,13 @@ def _pool_individuals(keys: DataFrame, prior: DataFrame, p: Params) -> DataFrame
     def roll_units(df, by):
         return df.select(*by, "unit").distinct()
 
-    summed = _spread(keys, counts, roll_counts, ["n"], p)
+    summed = _spread(keys, near, counts, roll_counts, ["n"], p)
     shared = single.where(~alone).select(*[F.col(c).alias(f"s_{c}") for c in [*on, "unit"]])
     same = [F.col(c) == F.col(f"s_{c}") for c in on]
     same.append(F.col("unit").eqNullSafe(F.col("s_unit")))
     roaming = homes.join(shared, same, "left_semi")
     one_by_one = (
-        _reach(keys, roaming, moved, roll_units, ["unit"], p)
+        _reach(keys, near, roaming, moved, roll_units, ["unit"], p)
         .distinct()
         .groupBy("pool")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -304,13 +324,14 @@ def pool_sizes(cur: DataFrame, prior: DataFrame, p: Params, individuals: bool =
     are written once; pass current rows that are cheap to read again.
     """
     pool_key = [*p.group_keys, *PLACE]
-    keys = _pool_keys(cur, p)
-    counts = staged(_day_counts(prior, p), "day-counts")
+    prior = prior_of(prior, p)
+    keys, counts = _pool_keys(cur, p), _day_counts(prior, p)
+    near = _near_cells(keys, counts, p)
     known = counts.select(*p.group_keys).distinct().withColumn("known", F.lit(True))
-    summary = _summarize(keys, counts, p)
+    summary = _summarize(keys, near, counts, p)
     sizes = ["n_obs_r", "n_yrs_r"]
     if individuals:
-        summary = summary.join(_pool_individuals(keys, prior, p), "pool", "left")
+        summary = summary.join(_pool_individuals(keys, near, prior, p), "pool", "left")
         sizes.append("n_indiv_r")
     summary = keys.select("pool", *pool_key).join(summary, "pool").drop("pool")
     return (
@@ -330,6 +351,7 @@ def neighbour_pool(cur: DataFrame, prior: DataFrame, p: Params, carry=()) -> Dat
     and phase. The result is as large as the pools, so pass the flagged rows only.
     """
     on = p.group_keys
+    prior = prior_of(prior, p)
     left = cur.select(*on, *PLACE, *[F.col(c).alias(f"cur_{c}") for c in carry])
     keys = _with_tile(left.select(*on, "lat", "lon").dropna().distinct(), p)
     near = _near_sites(keys, prior, p)

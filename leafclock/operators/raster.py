@@ -84,7 +84,10 @@ def mask_incomplete(z: DataFrame, year: int, min_prop: float = 0.90) -> DataFram
     last = z.where(F.col("year") == year - 1).select(
         "poly_id", "index", F.col("count").alias("last_count")
     )
-    frac = F.when(F.col("year") == year, F.col("count") / F.col("last_count"))
+    count, before = F.col("count"), F.col("last_count")
+    # Coverage where there was none before is complete; none twice is unknown.
+    ratio = F.when(before > 0, count / before).when((before == 0) & (count > 0), float("inf"))
+    frac = F.when(F.col("year") == year, ratio)
     return (
         z.join(last, ["poly_id", "index"], "left")
         .withColumn("frac", frac)

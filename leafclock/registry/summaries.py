@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from leafclock.functions import labels
 from leafclock.operators import clean, refresh, summary
-from leafclock.operators.anomaly import flagged_rows, panel_pool
+from leafclock.operators.anomaly import flagged_rows, panel_marks, panel_pool
 from leafclock.registry.base import query
 from leafclock.registry.flags import TABLE, eo_table
 from leafclock.registry.joins import compared, flags_and_prior
@@ -169,3 +169,9 @@ def panel_counts(spark, sf_dir):
 def five(spark, sf_dir):
     rows = site_years(spark, sf_dir).where("year < 2001")
     return summary.five_numbers(rows, "doy", ["COUNTYFP"])
+
+
+@query("a17_panel_marks", POOL + "SELECT pheno_class_id, panel, first_yes, eo FROM flags")
+def marks(spark, sf_dir):
+    p = P.with_(outliers_in_histogram=True)
+    return panel_marks(flagged_rows(compared(spark, sf_dir)), p)

@@ -108,6 +108,17 @@ def test_zonal_ignores_missing_and_mask(spark):
         assert got[2024]["frac"] == 0.75
 
 
+def test_mask_without_coverage_last_year(spark):
+    z = spark.createDataFrame(
+        [("A", "leaf", 2023, None, 0.0), ("A", "leaf", 2024, 5.0, 2.0),
+         ("B", "leaf", 2023, None, 0.0), ("B", "leaf", 2024, None, 0.0),
+         ("C", "leaf", 2024, 5.0, 2.0)],
+        "poly_id string, index string, year int, mean double, count double",
+    )
+    got = {r.poly_id: r["mean"] for r in raster.mask_incomplete(z, 2024).collect() if r.year == 2024}
+    assert got == {"A": 5.0, "B": None, "C": None}
+
+
 def test_resample_plane_and_gaps(spark):
     source = CellGrid(0.0, 4.0, 0.5, 8, 8)
     plane = all_cells(lambda r, c: 2.0 * c + 3.0 * r, source)
