@@ -5,16 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafclock.functions import labels
-from leafclock.operators.anomaly import (
-    attach_distribution,
-    distribution,
-    flag,
-    with_thresholds,
-)
-from leafclock.operators.clean import flagged, sufficient
+from leafclock.functions import labels, stats
+from leafclock.operators.anomaly import attach_distribution, flag, with_thresholds
+from leafclock.operators.clean import flagged, prior_of, sufficient
 from leafclock.operators.pool import restrict_to_current
-from leafclock.operators.summary import group_sizes
 from leafclock.params import Params
 
 
@@ -32,18 +26,33 @@ def with_state_labels(df: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def state_distribution(prior: DataFrame, p: Params) -> DataFrame:
+    """Sizes, minimum and quantiles per state, species and phase, in one pass.
+
+    Records shrink to counts per day before anything is ranked, so a state with many
+    rows costs no more than its days.
+    """
+    keys, years = state_keys(p), p.prior_years
+    counts = (
+        prior.where(F.col("first_yes").isNotNull())
+        .select(*keys, "first_yes", *stats.year_bits(F.col("year"), years))
+        .groupBy(*keys, "first_yes")
+        .agg(F.count(F.lit(1)).alias("n"), *stats.or_years(years))
+    )
+    extra = [F.sum("n").alias("n_obs"), F.min("first_yes").alias("min"), *stats.or_years(years)]
+    probs = {"qearly": p.lowerq, "q25": 0.25, "q75": 0.75}
+    out = stats.count_quantiles(counts, keys, "first_yes", "n", probs, extra)
+    return out.withColumn("n_years", stats.count_years(years)).drop(*stats.year_words(years))
+
+
 def compare_in_state(cur: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
     """Current rows flagged against all prior rows of their state, species, phase."""
     keys = state_keys(p)
     # A missing state or species still forms a group, as its label would.
     known = {c: F.coalesce(c, F.lit("NA")) for c in ("state", "common_name")}
-    cur, prior = cur.withColumns(known), prior.withColumns(known)
-    pool = restrict_to_current(prior, cur, keys)
-    sizes = sufficient(
-        group_sizes(pool, keys, p.prior_years), p.min_obs, p.min_yrs, "n_obs", "n_years"
-    )
-    kept = pool.join(sizes.select(*keys), keys, "left_semi")
-    dist = with_thresholds(distribution(kept, keys, p.lowerq))
+    cur, prior = cur.withColumns(known), prior_of(prior, p).withColumns(known)
+    dist = state_distribution(restrict_to_current(prior, cur, keys), p)
+    dist = with_thresholds(sufficient(dist, p.min_obs, p.min_yrs, "n_obs", "n_years"))
     return with_state_labels(flag(attach_distribution(cur, dist, keys), inclusive=False), p)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafclock.functions import stats
+from leafclock.sources.scratch import staged
 
 
 def group_sizes(df: DataFrame, keys, years: range, unit: str = "id") -> DataFrame:
@@ -97,18 +98,24 @@ def summary_by(table: DataFrame, keys, species: bool = False) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int, keys=()) -> DataFrame:
     """Equal-width counts over the range of all panels; the last bin is closed.
 
-    The range comes from a scalar subquery, so no row is joined to it.
+    Rows shrink to counts per value, which are written and read for both the range
+    and the bins. The range is a scalar subquery, so no row is joined to it.
     """
-    value = F.col(column).cast("double")
-    rng = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("r")).scalar()
-    d = df.where(F.col(column).isNotNull()).withColumn("rng", rng)
+    counts = (
+        df.where(F.col(column).isNotNull())
+        .groupBy(*keys, F.col(column).cast("double").alias("value"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    counts = staged(counts, "value-counts")
+    rng = counts.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi"))).scalar()
+    d = counts.withColumn("rng", rng)
     lo, hi = F.col("rng.lo"), F.col("rng.hi")
-    where = F.floor((value - lo) * bins / (hi - lo)).cast("int")
+    where = F.floor((F.col("value") - lo) * bins / (hi - lo)).cast("int")
     b = F.when(hi == lo, F.lit(0)).otherwise(F.least(where, F.lit(bins - 1)))
     return (
         d.withColumn("bin", b)
         .groupBy(*keys, "bin")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("rng").alias("rng"))
+        .agg(F.sum("n").alias("n"), F.first("rng").alias("rng"))
         .select(
             *keys, "bin",
             (lo + F.col("bin") * (hi - lo) / bins).alias("x_from"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafclock.operators import county, raster
+from leafclock.sources.scratch import staged
 
 
 def county_long(
@@ -13,9 +14,12 @@ def county_long(
 ) -> DataFrame:
     """One row per county, index and year; the current year only where it is complete.
 
-    ``counties`` maps ``poly_id`` to the county columns.
+    ``counties`` maps ``poly_id`` to the county columns. The zonal means are small
+    and read by every later step, so they are written once; so is the coverage, which
+    depends on the grid only.
     """
-    z = raster.mask_incomplete(raster.zonal(cells, cov), year, min_prop)
+    z = staged(raster.zonal(cells, staged(cov, "coverage")), "zonal")
+    z = raster.mask_incomplete(z, year, min_prop)
     return counties.join(z, "poly_id").select(
         "poly_id", *county.COUNTY, "index", "year", F.col("mean").alias("doy")
     )
