@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafclock.operators.locate import locate_points
@@ -80,16 +80,18 @@ def zonal(cells: DataFrame, cov: DataFrame) -> DataFrame:
 
 
 def mask_incomplete(z: DataFrame, year: int, min_prop: float = 0.90) -> DataFrame:
-    """Blank the current mean of regions whose coverage is below a share of last year's."""
-    last = z.where(F.col("year") == year - 1).select(
-        "poly_id", "index", F.col("count").alias("last_count")
-    )
+    """Blank the current mean of regions whose coverage is below a share of last year's.
+
+    A region has one row per year, so the window is as short as the series.
+    """
+    region = Window.partitionBy("poly_id", "index")
+    last = F.max(F.when(F.col("year") == year - 1, F.col("count"))).over(region)
     count, before = F.col("count"), F.col("last_count")
     # Coverage where there was none before is complete; none twice is unknown.
     ratio = F.when(before > 0, count / before).when((before == 0) & (count > 0), float("inf"))
     frac = F.when(F.col("year") == year, ratio)
     return (
-        z.join(last, ["poly_id", "index"], "left")
+        z.withColumn("last_count", last)
         .withColumn("frac", frac)
         .withColumn(
             "mean",
