@@ -7,17 +7,34 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where working tables go if the cluster names no checkpoint folder.
+WORKDIR = "spark.leafclock.workdir"
+
+_local: list[tempfile.TemporaryDirectory] = []
+
+
+def use_local_workdir(spark: SparkSession) -> None:
+    """Give a local session without any working folder one that goes when Python ends.
+
+    For tests, the bench and the driver's contract; on a cluster it does nothing.
+    """
+    conf = spark.conf
+    if conf.get("spark.checkpoint.dir", None) or conf.get(WORKDIR, None):
+        return
+    if spark.sparkContext.master.startswith("local["):
+        if not _local:
+            _local.append(tempfile.TemporaryDirectory(prefix="leafclock-", ignore_cleanup_errors=True))
+        conf.set(WORKDIR, _local[0].name)
+
 
 def scratch_dir(spark: SparkSession, name: str = "run") -> str:
-    """A fresh folder under the cluster's checkpoint folder.
+    """A fresh folder under ``spark.checkpoint.dir``, else ``spark.leafclock.workdir``.
 
-    Without that setting only a local session may go on, in its own temporary folder.
+    All executors must share it; without either setting this fails, in every mode.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(WORKDIR, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        return tempfile.mkdtemp(prefix=f"leafclock-{name}-")
+        raise ValueError(f"set spark.checkpoint.dir or {WORKDIR} to a folder all executors share")
     return f"{base.rstrip('/')}/leafclock-{name}-{uuid.uuid4().hex}"
 
 

@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from leafclock.session import build_session  # noqa: E402
+from leafclock.sources.scratch import use_local_workdir  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -16,6 +17,7 @@ def spark():
            "spark.driver.memory": "6g"},
     )
     session.sparkContext.setLogLevel("ERROR")
+    use_local_workdir(session)
     yield session
     session.stop()
 
