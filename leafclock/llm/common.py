@@ -37,14 +37,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list | None], schema: str) -> DataFrame:
-    """``fn`` over every Arrow batch; ``schema`` names what it returns."""
+def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+                 slice_bytes: int = 8 << 20) -> DataFrame:
+    """``fn`` over the rows in Arrow batches of about ``slice_bytes``; ``schema`` names what it returns.
+
+    A batch that is larger is handed over in slices, so a worker's memory follows the
+    slice, or the longest row where that is more.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None and out.num_rows:
-                yield out
+            rows = max(1, int(batch.num_rows * slice_bytes / max(batch.nbytes, 1)))
+            for start in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(start, rows))
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from leafclock.llm import quality_classifier, toxicity
+import public_tokenizers
+
+from leafclock.llm import bpe, minhash, mixing, quality_classifier, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
+#: The public rank file; its place is a parameter of the operators.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -23,7 +28,25 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_byte_bpe(spark, sf_dir):
+    """Digests of the token ids of all documents and of what they decode to."""
+    return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 @query
 def op10_quality_classifier(spark, sf_dir):
     """Quality scores of all documents."""
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op1_mixing(spark, sf_dir):
+    """What a mix of all documents takes of each."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_minhash(spark, sf_dir):
+    """Groups of near-identical documents: shingles of three words, similarity 0.85."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
