@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words are maximal runs of other characters than these: what ``bytes.split`` splits at.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,7 +38,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType,
                  slice_bytes: int = 8 << 20) -> DataFrame:
     """``fn`` over the rows in Arrow batches of about ``slice_bytes``; ``schema`` names what it returns.
 
@@ -56,6 +57,18 @@ def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def with_column(df: DataFrame, name: str, kind: str, fn: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """All columns and ``name``, what ``fn`` makes of the texts; one of that name is replaced."""
+    df = df.drop(name)
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(fn(texts(batch)))], [*batch.schema.names, name])
+
+    return over_batches(df, run, schema)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The column as UTF-8 bytes; null becomes empty."""
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]

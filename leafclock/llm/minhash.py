@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafclock.llm.common import WordHashes, over_batches, texts
+from leafclock.llm.common import WordHashes, over_batches, texts, with_column
 from leafclock.llm.components import components
 from leafclock.llm.shingles import MinHash, least_matches, sequential, set_id, shingle_set
 from leafclock.sources.scratch import staged
@@ -213,13 +213,9 @@ def _block_links(tried: DataFrame, roots: DataFrame, sets: DataFrame, rule: list
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5,
-                    batch: int = 16, miss: float = 1e-6, block: int = 512) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
-
-    Rows are linked if their sets' intersection is at least ``percent`` of their union;
-    ``component_id`` is the smallest id that links reach, ``kept`` marks that row.
-    """
+def _classes(docs: DataFrame, width: int, percent: int, bands: int, rows: int, batch: int, miss: float,
+             block: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (cid, root, component_id) of every class."""
     rule = least_matches(bands * rows, batch, percent / 100, miss)
     signed = staged(signatures(docs, width, bands * rows), "signatures")
     classes = staged(signed.where("cid is not null").groupBy("cid").agg(
@@ -248,21 +244,47 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands
     grouped = classes.select("cid", "rep").join(root_of, "cid", "left").select(
         "cid", "rep", F.coalesce("root", "cid").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = staged(grouped.join(least, "root").select("cid", "component_id"), "components")
-    out = signed.select("doc_id", "n", "cid").join(final, "cid", "left")
+    return signed, staged(grouped.join(least, "root").select("cid", "root", "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5,
+                    batch: int = 16, miss: float = 1e-6, block: int = 512) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row.
+
+    Rows are linked if their sets' intersection is at least ``percent`` of their union;
+    ``component_id`` is the smallest id that links reach, ``kept`` marks that row.
+    """
+    signed, classes = _classes(docs, width, percent, bands, rows, batch, miss, block)
+    out = signed.select("doc_id", "n", "cid").join(classes.select("cid", "component_id"), "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5,
+             batch: int = 16, miss: float = 1e-6, block: int = 512) -> DataFrame:
     """The rows of ``docs``, all columns, but one of each group of near duplicates.
 
-    Of rows that share the kept id one stays; of rows without any id, every one without
-    shingles and one of each component.
+    The row with the group's smallest id stays. Of several rows with one id, one stays: a
+    row of the group if there is one. Rows without an id stay if they have no shingles; of
+    a group in which no row has an id, one stays.
     """
-    kept = near_duplicates(docs, **how).where("kept").select("doc_id").where("doc_id is not null").distinct()
-    firsts = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    firsts = firsts.withColumn("_place", F.row_number().over(one)).where("_place = 1").drop("_place")
-    return firsts.select(docs.columns)
+    signed, classes = _classes(docs, width, percent, bands, rows, batch, miss, block)
+    hashes = WordHashes()
+    cid = lambda ts: np.array([set_id(s) if len(s) else 0 for s in (shingle_set(t, width, hashes) for t in ts)], np.int64)
+    placed = signed.where("doc_id is not null").select("doc_id", "cid").join(classes, "cid", "left")
+    kept = placed.where("cid is null or doc_id = component_id").groupBy("doc_id").agg(F.min("cid").alias("_cid"))
+    named = docs.where("doc_id is not null").join(kept, "doc_id")
+    # A row with a repeated id is told by its text: hash it only where the id is repeated.
+    repeated = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    single = named.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    several = with_column(named.join(repeated, "doc_id", "left_semi"), "_own", "long", cid)
+    first = Window.partitionBy("doc_id").orderBy((F.col("_own") != F.coalesce("_cid", F.lit(0))).cast("int"), F.xxhash64("text"))
+    several = several.withColumn("_place", F.row_number().over(first)).where("_place = 1").select(docs.columns)
+
+    nameless = with_column(docs.where("doc_id is null"), "_own", "long", cid)
+    c = classes.where("component_id is null").select(F.col("cid").alias("_own"), F.col("root").alias("_root"))
+    grouped = nameless.join(c, "_own").withColumn(
+        "_place", F.row_number().over(Window.partitionBy("_root").orderBy("_own"))).where("_place = 1")
+    return single.unionByName(several).unionByName(
+        nameless.where("_own = 0").select(docs.columns)).unionByName(grouped.select(docs.columns))

@@ -9,7 +9,9 @@ come from Newton steps, kept inside a bracket; each step is one Spark aggregatio
 Documents of one source and size share a rate, so the steps run over counts of (source,
 size) and not over documents. Rates become whole copies by systematic rounding along the
 sizes of a source: copies and rates differ by less than 1 in every prefix, so a source's
-words miss its target by at most about its longest document. Within a size the order is a
+words miss its target by at most about its longest document. ``repairs`` times, one
+document of each source then gets a copy more or less, the longest that the gap has room
+for, which leaves gaps of a few words. Within a size the order is a
 hash of the id; a size with very many documents is dealt to several blocks of about
 ``block`` rows, so that no source, size or group of copies is ever ranked in one task.
 
@@ -51,9 +53,8 @@ def targets(totals: DataFrame, weights: DataFrame, cap: float = 3.0) -> DataFram
     L * weight). Sources are capped in the order of cap * size / weight; L is what is left
     over the weights that are left, at the first source that stays below its cap.
     """
-    t = totals.join(weights, totals.source.eqNullSafe(weights.source)).select(
-        totals.source, "source_size", "weight",
-        (F.col("source_size") * cap).alias("most"))
+    t = totals.alias("t").join(weights.alias("w"), _same(F.col("t.source"), F.col("w.source"))).select(
+        "t.source", "t.source_size", "w.weight", (F.col("t.source_size") * cap).alias("most"))
     order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -83,8 +84,9 @@ def multipliers(counts: DataFrame, goals: DataFrame, cap: float, steps: int, tol
     log_cap = F.log(F.lit(cap))
     mean = counts.where("size > 0").groupBy("source").agg(
         (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    state = goals.join(mean, _same(goals.source, mean.source)).where("target < source_size * %r" % cap).select(
-        goals.source, "target", "mean", F.lit(0.0).alias("m"),
+    state = goals.alias("g").join(mean.alias("a"), _same(F.col("g.source"), F.col("a.source"))).where(
+        F.col("target") < F.col("source_size") * cap).select(
+        "g.source", "target", "mean", F.lit(0.0).alias("m"),
         F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"), F.lit(False).alias("done"))
     state = staged(state.coalesce(1), "dual")
     for _ in range(steps):
@@ -122,7 +124,8 @@ def multipliers(counts: DataFrame, goals: DataFrame, cap: float, steps: int, tol
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, *, cap: int = 3, steps: int = 40,
-        tolerance: float = 1e-6, block: int = 8_192) -> DataFrame:
+        tolerance: float = 1e-6, block: int = 8_192, repairs: int = 2,
+        keep_source: bool = False) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies, rate) of every row.
 
     ``weights`` is (source, weight); without it the sources weigh 1, 2, 3, repeating.
@@ -155,6 +158,41 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, cap: int = 3, step
     until = lambda k: F.floor(F.round(start + F.col("rate") * k, 6))  # noqa: E731  the same for equal sums
     rows = rows.withColumn("place", place)
     copies = F.least(until(F.col("place")) - until(F.col("place") - 1), F.lit(cap)).cast("long")
+    rows = staged(rows.withColumn("copies", copies).drop("n", "before", "draw"), "rounded")
+    for _ in range(repairs):
+        rows = _repaired(rows, cap)
     return rows.select(
-        "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target",
-        (F.col("size") * copies).alias("taken"), copies.alias("copies"), "rate")
+        "doc_id", *["source"] * keep_source, "size", F.col("source_size").cast("long").alias("source_size"), "target",
+        (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+
+
+def _repaired(rows: DataFrame, cap: int) -> DataFrame:
+    """One copy more or less of one document in each source: the longest that its gap has room for."""
+    gap = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
+    r, g = rows.alias("r"), gap.alias("g")
+    room = F.when(F.col("g.gap") > 0, F.col("r.copies") < cap).otherwise(F.col("r.copies") > 0)
+    fits = (F.col("r.size") > 0) & (F.col("r.size") <= F.abs("g.gap"))
+    best = r.join(g, _same(F.col("r.source"), F.col("g.source"))).where(room & fits).groupBy("r.source").agg(
+        F.max(F.struct("r.size", "r.block", "r.place")).alias("at"), F.first(F.signum("g.gap")).cast("long").alias("more"))
+    best = staged(best.coalesce(1), "repairs")
+    b, r = best.alias("b"), rows.alias("r")
+    hit = (_same(F.col("r.source"), F.col("b.source")) & (F.col("r.size") == F.col("b.at.size"))
+           & (F.col("r.block") == F.col("b.at.block")) & (F.col("r.place") == F.col("b.at.place")))
+    return r.join(b, hit, "left").select(
+        *(f"r.{c}" for c in rows.columns if c != "copies"),
+        (F.col("r.copies") + F.coalesce("b.more", F.lit(0))).alias("copies"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    key = ["doc_id", "source", "_size"]
+    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    # Rows with the same id, source and size are told apart by their place.
+    nth = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(order))
+    sized = sized.withColumn("_nth", nth(F.xxhash64("text")))
+    taken = mix(docs, keep_source=True, **how).select(
+        "doc_id", "source", F.col("size").alias("_size"), "copies").withColumn("_nth", nth("copies"))
+    a, b = sized.alias("a"), taken.where("copies > 0").alias("b")
+    both = a.join(b, _same(F.col("a.doc_id"), F.col("b.doc_id")) & _same(F.col("a.source"), F.col("b.source"))
+                  & (F.col("a._size") == F.col("b._size")) & (F.col("a._nth") == F.col("b._nth")))
+    return both.select(*(f"a.`{c}`" for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("b.copies").cast("int"))).alias("_copy")).drop("_copy")

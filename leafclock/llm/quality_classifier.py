@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafclock.llm.common import fold, labelled_sample, logistic, over_batches, texts
+from leafclock.llm.common import fold, labelled_sample, logistic, over_batches, texts, with_column
 
 #: Bytes added to sizes, so that very short texts stay near the middle.
 SMOOTH = 64
@@ -135,26 +135,26 @@ class _Lazy:
         return self.sizes.features(text)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, diff, ratio) of every row, score between 0 and 1, higher for good text."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns and ``name``: between 0 and 1, higher for good text."""
     sizes, w = _Lazy(model), model.weights
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t = texts(batch)
-        if w:
-            f = np.array([sizes.features(x) for x in t]).reshape(-1, 2)
-            s = 1 / (1 + np.exp(-np.clip(f @ np.array(w[:-1]) + w[-1], -500, 500)))
-        else:
-            f, s = np.zeros((len(t), 2)), np.full(len(t), model.share)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(s), pa.array(f[:, 0]), pa.array(f[:, 1])],
-            ["doc_id", "score", "diff", "ratio"])
+    def run(batch: list[bytes]) -> np.ndarray:
+        if not w:
+            return np.full(len(batch), model.share)
+        f = np.array([sizes.features(t) for t in batch]).reshape(-1, 2)
+        return 1 / (1 + np.exp(-np.clip(f @ np.array(w[:-1]) + w[-1], -500, 500)))
 
-    return over_batches(docs.select("doc_id", "text"), run, "doc_id long, score double, diff double, ratio double")
+    return with_column(docs, name, "double", run)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; predicted is 1 from ``threshold`` on."""
-    return score(docs, fit(docs, labels)).select(
+    return score(docs.select("doc_id", "text"), fit(docs, labels)).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``threshold``, all columns."""
+    return score(docs, fit(docs, labels), "_score").where(F.col("_score") >= threshold).drop("_score")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafclock.llm.common import WordHashes, fold, labelled_sample, mix, over_batches, pair, texts
+from leafclock.llm.common import WordHashes, fold, labelled_sample, mix, pair, texts, with_column
 
 #: ASCII letters and digits, lower-cased, and all bytes of other characters; else a space.
 _LETTERS = bytes(
@@ -100,12 +100,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, max_rows: i
     return Model(i[i >= 0], w[i >= 0], float(w[i < 0].sum()), bits)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every row, between 0 and 1, higher for toxic text."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """All columns and ``name``: between 0 and 1, higher for toxic text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept: dict = {}
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batch: list[bytes]) -> np.ndarray:
         m = shared.value
         if not kept:
             dense = np.zeros(1 << m.bits)
@@ -113,18 +113,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             kept.update(dense=dense, hashes=WordHashes())
         dense, hashes = kept["dense"], kept["hashes"]
         out = []
-        for text in texts(batch):
+        for text in batch:
             i = features(text, hashes, m.bits)
             i = i[dense[i] != 0]
             out.append(dense[np.unique(i)].sum() + m.bias)
-        s = 1 / (1 + np.exp(-np.clip(np.array(out, float), -500, 500)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], ["doc_id", "score"])
+        return 1 / (1 + np.exp(-np.clip(np.array(out, float), -500, 500)))
 
-    return over_batches(docs.select("doc_id", "text"), run, "doc_id long, score double")
+    return with_column(docs, name, "double", run)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; predicted is 1 from ``threshold`` on."""
-    return score(docs, fit(docs, labels)).select(
+    return score(docs.select("doc_id", "text"), fit(docs, labels)).select(
         "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score stays below ``threshold``, all columns."""
+    return score(docs, fit(docs, labels), "_score").where(F.col("_score") < threshold).drop("_score")
