@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from leafclock.llm import bpe, minhash, mixing, quality_classifier, toxicity
+from leafclock.llm import bpe, minhash, mixing, ngram_lm, quality_classifier, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -50,3 +50,9 @@ def op1_mixing(spark, sf_dir):
 def op8_minhash(spark, sf_dir):
     """Groups of near-identical documents: shingles of three words, similarity 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query
+def op9_ngram_lm(spark, sf_dir):
+    """Log probabilities of all documents by a Kneser-Ney model of six of seven folds."""
+    return ngram_lm.score_held_out(table(spark, sf_dir, "documents"))
