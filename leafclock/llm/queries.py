@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from leafclock.llm import bpe, minhash, mixing, ngram_lm, quality_classifier, toxicity
+from leafclock.llm import bpe, minhash, mixing, ngram_lm, quality_classifier, quality_rules, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -56,3 +56,9 @@ def op8_minhash(spark, sf_dir):
 def op9_ngram_lm(spark, sf_dir):
     """Log probabilities of all documents by a Kneser-Ney model of six of seven folds."""
     return ngram_lm.score_held_out(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_quality_rules(spark, sf_dir):
+    """Measures of all documents, and whether rules and perplexity bands keep them."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
