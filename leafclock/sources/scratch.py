@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,12 +18,17 @@ _local: list[tempfile.TemporaryDirectory] = []
 def use_local_workdir(spark: SparkSession) -> None:
     """Give a local session without any working folder one that goes when Python ends.
 
+    Its Python workers also get this package on their path, wherever Python was started.
     For tests, the bench and the driver's contract; on a cluster it does nothing.
     """
-    conf = spark.conf
-    if conf.get("spark.checkpoint.dir", None) or conf.get(WORKDIR, None):
+    if not spark.sparkContext.master.startswith("local["):
         return
-    if spark.sparkContext.master.startswith("local["):
+    home = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [home, env.get("PYTHONPATH")]))
+    conf = spark.conf
+    if not (conf.get("spark.checkpoint.dir", None) or conf.get(WORKDIR, None)):
         if not _local:
             _local.append(tempfile.TemporaryDirectory(prefix="leafclock-", ignore_cleanup_errors=True))
         conf.set(WORKDIR, _local[0].name)
