@@ -4,7 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from leafclock.llm import bpe, minhash, mixing, ngram_lm, quality_classifier, quality_rules, toxicity
+from leafclock.llm import (
+    bpe,
+    html_extract,
+    minhash,
+    mixing,
+    ngram_lm,
+    quality_classifier,
+    quality_rules,
+    toxicity,
+    url_filter,
+)
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -62,3 +72,24 @@ def op9_ngram_lm(spark, sf_dir):
 def op6_quality_rules(spark, sf_dir):
     """Measures of all documents, and whether rules and perplexity bands keep them."""
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_html_extract(spark, sf_dir):
+    """Main text of all pages."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+#: Rules on hosts and paths, in no order.
+URL_RULES = [
+    url_filter.rule("block", "net/"),
+    url_filter.rule("allow", "example.net/en/"),
+    url_filter.rule("block", "example.com/de/"),
+    url_filter.rule("allow", "org/fr/"),
+]
+
+
+@query
+def op7_url_filter(spark, sf_dir):
+    """Verdicts on the urls of all pages."""
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
