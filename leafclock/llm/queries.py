@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from leafclock.llm import (
+    ann,
     bpe,
     html_extract,
     minhash,
@@ -93,3 +95,9 @@ URL_RULES = [
 def op7_url_filter(spark, sf_dir):
     """Verdicts on the urls of all pages."""
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op3_cross_polytope(spark, sf_dir):
+    """The ten nearest of every hundredth vector, among all vectors."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
