@@ -187,7 +187,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, queries: Column, *, k: int = 10, tables: int = 10, probes: int = 20, axes: int = 1,
+def search(vectors: DataFrame, queries: Column | str, *, k: int = 10, tables: int = 10, probes: int = 20, axes: int = 1,
            block: int = 2_048) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found for the rows where ``queries`` is true."""
     kind = np.dtype(np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64)
@@ -208,7 +208,7 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 10, tables: int = 10
     return enough.unionByName(again).select("query_id", "rank", "vec_id", "score")
 
 
-def recall(vectors: DataFrame, queries: Column, *, k: int = 10, block: int = 2_048, **how) -> float:
+def recall(vectors: DataFrame, queries: Column | str, *, k: int = 10, block: int = 2_048, **how) -> float:
     """Share of the true ``k`` nearest that ``search`` finds, against all vectors."""
     kind = np.dtype(np.float32 if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else np.float64)
     rows = lambda v: _hashed(v, 1, 1, 1).select(

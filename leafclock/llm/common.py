@@ -47,16 +47,22 @@ def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch |
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = max(1, int(batch.num_rows * slice_bytes / max(batch.nbytes, 1)))
-            for start in range(0, batch.num_rows, rows):
-                out = fn(batch.slice(start, rows))
-                if out is not None and out.num_rows:
-                    yield out
+        for part in slices(batches, slice_bytes):
+            out = fn(part)
+            if out is not None and out.num_rows:
+                yield out
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut to about ``size`` bytes."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def with_column(df: DataFrame, name: str, kind: str, fn: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """All columns and ``name``, what ``fn`` makes of the texts; one of that name is replaced."""
     df = df.drop(name)

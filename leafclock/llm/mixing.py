@@ -74,6 +74,11 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def _exact(c: Column) -> Column:
+    """A sum that does not depend on the order of its terms, so that reruns agree."""
+    return F.sum(c.cast("decimal(28,8)")).cast("double")
+
+
 def multipliers(counts: DataFrame, goals: DataFrame, cap: float, steps: int, tolerance: float) -> DataFrame:
     """(source, mean, multiplier) solving the dual; null where the target is the cap itself.
 
@@ -98,7 +103,7 @@ def multipliers(counts: DataFrame, goals: DataFrame, cap: float, steps: int, tol
         free = F.when(F.col("s.m") * x < log_cap, words * x)
         sums = c.join(s, _same(F.col("c.source"), F.col("s.source"))).groupBy(
             F.col("s.source").alias("source")
-        ).agg(F.sum(words).alias("taken"), F.coalesce(F.sum(free), F.lit(0.0)).alias("slope"),
+        ).agg(_exact(words).alias("taken"), F.coalesce(_exact(free), F.lit(0.0)).alias("slope"),
               *(F.first(F.col(f"s.{k}")).alias(k) for k in ("target", "mean", "m", "low", "high", "done")))
         gap = F.col("taken") - F.col("target")
         low = F.when(gap < 0, F.col("m")).otherwise(F.col("low"))

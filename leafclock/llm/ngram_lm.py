@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafclock.llm.arrays import by_part, find, load, pack, save, summed, unpack
-from leafclock.llm.common import WordHashes, fold, mix, over_batches, texts
+from leafclock.llm.common import WordHashes, fold, mix, over_batches, slices, texts
 from leafclock.sources.scratch import scratch_dir, staged
 
 #: No word has a blank in it.
@@ -103,13 +103,11 @@ def _flushes(batches: Iterator[pa.RecordBatch], count, parts, limit: int) -> Ite
             pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
             pa.array([r[2] for r in rows], pa.binary())], ["part", "keys", "counts"])
 
-    for batch in batches:
-        rows = max(1, int(batch.num_rows * (8 << 20) / max(batch.nbytes, 1)))
-        for start in range(0, batch.num_rows, rows):
-            held.append(count(texts(batch.slice(start, rows))))
-            if sum(len(k) for k, _ in held) > limit:
-                yield emit()
-                held = []
+    for part in slices(batches):
+        held.append(count(texts(part)))
+        if sum(len(k) for k, _ in held) > limit:
+            yield emit()
+            held = []
     if held:
         yield emit()
 

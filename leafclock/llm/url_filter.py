@@ -13,9 +13,9 @@ Contexts and their continuations are counted in ``2 ** bits`` hashed cells for e
 so what is broadcast is bounded by 6 * 2 ** bits numbers, whatever the input.
 
 Defined results: a url that is null or without ``://`` has an empty host and path and fits
-no rule; an empty text after ``://`` has difference 0; if rules allow (block) nothing, there is
-nothing to compare with and what they do not cover is blocked (allowed; allowed if they cover nothing). Repeated
-rows are judged alike. Other columns are ignored.
+no rule; an empty text after ``://`` has difference 0; where all ruled urls
+have one verdict there is nothing to compare with and the others get it too; without any
+ruled url all are allowed. Repeated rows are judged alike. Other columns are ignored.
 """
 
 from __future__ import annotations
