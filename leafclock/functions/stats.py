@@ -51,15 +51,6 @@ def n_distinct(column: str) -> Column:
     return F.count_distinct(column) + F.max(F.col(column).isNull().cast("int"))
 
 
-def strict_mean(column: str) -> Column:
-    """Mean that is missing as soon as one value is missing."""
-    return F.when(F.count(column) == F.count(F.lit(1)), F.avg(column))
-
-
-def strict_median(column: str) -> Column:
-    return F.when(F.count(column) == F.count(F.lit(1)), F.percentile(column, F.lit(0.5)))
-
-
 def count_quantiles(
     df: DataFrame, keys, value: str, weight: str, probs: dict, extra=()
 ) -> DataFrame:

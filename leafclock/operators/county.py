@@ -5,10 +5,10 @@ The long table has one row per county, index and year.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafclock.functions import labels, stats
+from leafclock.functions import labels
 
 COUNTY = ["STATEFP", "COUNTYFP", "state", "county"]
 
@@ -55,21 +55,32 @@ def to_wide_by_year(df: DataFrame, names) -> DataFrame:
     return df.groupBy("year").pivot("name_FIPS", list(names)).agg(F.first("doy"))
 
 
+def _mean_of(first: int, last: int) -> Column:
+    """Mean over the years, missing if any of them has no row or no value."""
+    doy = F.when(F.col("year").between(first, last), F.col("doy"))
+    return F.when(F.count(doy) == last - first + 1, F.avg(doy))
+
+
+def _value_of(year: int) -> Column:
+    return F.max(F.when(F.col("year") == year, F.col("doy")))
+
+
 def baseline(df: DataFrame, first: int = 1991, last: int = 2020, keys=tuple(COUNTY)):
-    """Mean over the baseline years, missing if any of them is."""
-    return (
-        df.where(F.col("year").between(first, last))
-        .groupBy(*keys)
-        .agg(stats.strict_mean("doy").alias("baseline"))
-    )
+    """Mean over the baseline years of every county, missing if any of them is."""
+    return df.groupBy(*keys).agg(_mean_of(first, last).alias("baseline"))
+
 
+def anomaly(
+    df: DataFrame, year: int, first: int = 1991, last: int = 2020, keys=tuple(COUNTY)
+) -> DataFrame:
+    """Current value, baseline, and the difference, for every county in one pass.
 
-def anomaly(df: DataFrame, base: DataFrame, year: int, keys=tuple(COUNTY)) -> DataFrame:
-    """Current value less baseline."""
-    cur = df.where(F.col("year") == year).select(*keys, F.col("doy").alias("currentyr"))
-    return cur.join(base, list(keys), "left").withColumn(
-        "anom", F.col("currentyr") - F.col("baseline")
+    A county without a row for the current year stays, with missing values.
+    """
+    both = df.groupBy(*keys).agg(
+        _value_of(year).alias("currentyr"), _mean_of(first, last).alias("baseline")
     )
+    return both.withColumn("anom", F.col("currentyr") - F.col("baseline"))
 
 
 def anomaly_limits(df: DataFrame) -> DataFrame:
@@ -92,24 +103,26 @@ def county_layer(counties: DataFrame, anom: DataFrame) -> DataFrame:
 def rank_against_history(
     df: DataFrame, year: int, n: int = 40, keys=tuple(COUNTY), na_counts: bool = True
 ) -> DataFrame:
-    """Mean and median of the prior years, and how many were earlier or later.
+    """Mean and median of the n prior years, and how many were earlier or later.
 
-    ``na_counts`` counts a comparison with a missing value as a member; without it
-    such years are left out.
+    A year without a row is a missing value, as in the wide table, and so is the current
+    one: every county stays. ``na_counts`` counts a comparison with a missing value as a
+    member; without it such years are left out. A county has at most n + 1 rows, so the
+    window that hands it its current value is short.
     """
     keys = list(keys)
-    rows = last_years(df, year, n)
-    cur = rows.where(F.col("year") == year).select(*keys, F.col("doy").alias("currentyr"))
-    unknown = F.lit(na_counts)
+    doy = F.when(F.col("year").between(year - n, year - 1), F.col("doy"))
+    known = F.count(doy) == n
+    missing = F.lit(n) - F.count(F.when(F.col("currentyr").isNotNull(), doy))
+    members = missing if na_counts else F.lit(0)
     return (
-        rows.where(F.col("year") < year)
-        .join(cur, keys)
+        df.withColumn("currentyr", _value_of(year).over(Window.partitionBy(*keys)))
         .groupBy(*keys, "currentyr")
         .agg(
-            stats.strict_mean("doy").alias("mean40"),
-            stats.strict_median("doy").alias("median40"),
-            F.count_if(F.coalesce(F.col("doy") < F.col("currentyr"), unknown)).alias("n_earlier"),
-            F.count_if(F.coalesce(F.col("doy") > F.col("currentyr"), unknown)).alias("n_later"),
+            F.when(known, F.avg(doy)).alias("mean40"),
+            F.when(known, F.percentile(doy, F.lit(0.5))).alias("median40"),
+            (F.count_if(doy < F.col("currentyr")) + members).cast("long").alias("n_earlier"),
+            (F.count_if(doy > F.col("currentyr")) + members).cast("long").alias("n_later"),
         )
     )
 

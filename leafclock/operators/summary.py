@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,24 +12,24 @@ from leafclock.functions import stats
 from leafclock.sources.scratch import staged
 
 
-def group_sizes(df: DataFrame, keys, years: range, unit: str = "id") -> DataFrame:
-    """Rows, individuals and years per group.
+def group_sizes(df: DataFrame, keys, unit: str = "id") -> DataFrame:
+    """Rows, individuals and years per group; a missing individual or year is one more.
 
-    The first step counts per individual, so a large group is spread over tasks
-    and the second step only adds up; no row is duplicated for the distinct counts.
+    Rows shrink to counts per individual and year first. Individuals and years are then
+    counted apart, both from that one exchange, so a large group is spread over tasks
+    and no row is multiplied.
     """
-    return (
-        df.select(*keys, F.col(unit).alias("unit"), *stats.year_bits(F.col("year"), years))
-        .groupBy(*keys, "unit")
-        .agg(F.count(F.lit(1)).alias("n"), *stats.or_years(years))
-        .groupBy(*keys)
-        .agg(
-            F.sum("n").alias("n_obs"),
-            F.count(F.lit(1)).alias("n_indiv"),
-            *stats.or_years(years),
-        )
-        .select(*keys, "n_obs", "n_indiv", stats.count_years(years).alias("n_years"))
+    keys = list(keys)
+    counts = df.groupBy(*keys, F.col(unit).alias("unit"), "year").agg(F.count(F.lit(1)).alias("n"))
+    units = (
+        counts.groupBy(*keys, "unit").agg(F.sum("n").alias("n"))
+        .groupBy(*keys).agg(F.sum("n").alias("n_obs"), F.count(F.lit(1)).alias("n_indiv"))
     )
+    years = counts.select(*keys, "year").distinct().groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_years"))
+    a, b = units.alias("a"), years.alias("b")
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return a.join(b, reduce(and_, same)).select("a.*", "b.n_years")
 
 
 def site_coverage(sizes: DataFrame) -> DataFrame:

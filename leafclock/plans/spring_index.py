@@ -35,7 +35,7 @@ def with_current(
 def county_anomalies(long: DataFrame, year: int, first: int = 1991, last: int = 2020):
     """Current value, baseline and anomaly per county and index."""
     keys = [*county.COUNTY, "index"]
-    return county.anomaly(long, county.baseline(long, first, last, keys), year, keys)
+    return county.anomaly(long, year, first, last, keys)
 
 
 def county_ranks(

@@ -243,7 +243,7 @@ def cleanup(spark, sf_dir):
 def enough(spark, sf_dir):
     from leafclock.operators.summary import group_sizes
 
-    sizes = group_sizes(observations(spark, sf_dir), ["common_name", "site_id"], range(1995, 2002))
+    sizes = group_sizes(observations(spark, sf_dir), ["common_name", "site_id"])
     return clean.sufficient(sizes, 20, 5, "n_obs", "n_years").drop("n_indiv")
 
 

@@ -137,22 +137,42 @@ def ordered(spark, sf_dir):
     return named.select("FIPS", "name_FIPS").distinct().orderBy("FIPS")
 
 
-RANK_SQL = f"""cur AS (SELECT {KEYS}, doy AS currentyr FROM long WHERE "year" = 2001),
+# Every county with every year, as in the wide table: a year without a row is missing.
+GRID_SQL = f"""counties AS (SELECT DISTINCT {KEYS} FROM long),
+grid AS (SELECT c.*, CAST(y AS INT) AS "year", l.doy FROM counties c
+  CROSS JOIN (SELECT unnest(range(1995, 2002)) AS y) r LEFT JOIN long l
+  ON l.STATEFP = c.STATEFP AND l.COUNTYFP = c.COUNTYFP AND l."year" = r.y)"""
+RANK_SQL = f"""{GRID_SQL},
+cur AS (SELECT {KEYS}, doy AS currentyr FROM grid WHERE "year" = 2001),
 ranks AS (SELECT {KEYS}, currentyr,
-  CASE WHEN count(doy) = count(*) THEN avg(doy) END AS mean40,
-  CASE WHEN count(doy) = count(*) THEN quantile_cont(doy, 0.5) END AS median40,
+  CASE WHEN count(doy) = 6 THEN avg(doy) END AS mean40,
+  CASE WHEN count(doy) = 6 THEN quantile_cont(doy, 0.5) END AS median40,
   count(*) FILTER (coalesce(doy < currentyr, TRUE)) AS n_earlier,
   count(*) FILTER (coalesce(doy > currentyr, TRUE)) AS n_later
-  FROM long JOIN cur USING ({KEYS}) WHERE "year" < 2001 GROUP BY {KEYS}, currentyr)"""
+  FROM grid JOIN cur USING ({KEYS}) WHERE "year" < 2001 GROUP BY {KEYS}, currentyr)"""
+RANKS_OUT = f"""SELECT {KEYS}, round(currentyr, 6) AS currentyr, round(mean40, 6) AS mean40,
+  round(median40, 6) AS median40, n_earlier, n_later FROM ranks"""
+BASE_OUT = f"""SELECT {KEYS}, CASE WHEN count(doy) = 5 THEN round(avg(doy), 6) END AS baseline
+  FROM grid WHERE "year" BETWEEN 1996 AND 2000 GROUP BY {KEYS}"""
+# A third of the counties lacks a row for some year, the current one or an older one.
+HOLES_SQL = SITE_YEARS_SQL.replace("long AS", "every AS", 1) + """,
+long AS (SELECT * FROM every
+  WHERE (CAST(COUNTYFP AS BIGINT) % 21) <> "year" - 1995 AND doy IS NOT NULL)"""
 
 
-@query(
-    "a13_rank_history",
-    f"""WITH {SITE_YEARS_SQL}, {RANK_SQL} SELECT {KEYS}, round(currentyr, 6) AS currentyr,
-  round(mean40, 6) AS mean40, round(median40, 6) AS median40, n_earlier, n_later FROM ranks""",
-)
+def _with_holes(spark, sf_dir):
+    hole = F.col("COUNTYFP").cast("long") % 21 == F.col("year") - 1995
+    return site_years(spark, sf_dir).where(~hole & F.col("doy").isNotNull())
+
+
+@query("a13_rank_history", f"WITH {SITE_YEARS_SQL}, {RANK_SQL} {RANKS_OUT}")
 def ranks(spark, sf_dir):
-    return county.rank_against_history(site_years(spark, sf_dir), 2001)
+    return county.rank_against_history(site_years(spark, sf_dir), 2001, 6)
+
+
+@query("a13_ranks_with_holes", f"WITH {HOLES_SQL}, {RANK_SQL} {RANKS_OUT}")
+def ranks_with_holes(spark, sf_dir):
+    return county.rank_against_history(_with_holes(spark, sf_dir), 2001, 6)
 
 
 @query(
@@ -163,26 +183,39 @@ def ranks(spark, sf_dir):
   round(7.0 / (n_later + 1), 6) AS late_inclusive FROM ranks""",
 )
 def returns(spark, sf_dir):
-    return county.rank_against_history(site_years(spark, sf_dir), 2001).select(
+    return county.rank_against_history(site_years(spark, sf_dir), 2001, 6).select(
         *county.COUNTY, county.return_interval("n_later", 6).alias("late"),
         county.return_interval("n_earlier", 6).alias("early"),
         county.return_interval("n_later", 6, inclusive=True).alias("late_inclusive"),
     )
 
 
-@query(
-    "a14_baseline",
-    f"""WITH {SITE_YEARS_SQL} SELECT {KEYS},
-  CASE WHEN count(doy) = count(*) THEN round(avg(doy), 6) END AS baseline
-  FROM long WHERE "year" BETWEEN 1996 AND 2000 GROUP BY {KEYS}""",
-)
+@query("a14_baseline", f"WITH {SITE_YEARS_SQL}, {GRID_SQL} {BASE_OUT}")
 def baseline(spark, sf_dir):
     return county.baseline(site_years(spark, sf_dir), 1996, 2000)
 
 
+@query("a14_baseline_with_holes", f"WITH {HOLES_SQL}, {GRID_SQL} {BASE_OUT}")
+def baseline_with_holes(spark, sf_dir):
+    return county.baseline(_with_holes(spark, sf_dir), 1996, 2000)
+
+
+@query(
+    "x12_anomaly_with_holes",
+    f"""WITH {HOLES_SQL}, {GRID_SQL}, wide AS (SELECT {KEYS},
+    max(doy) FILTER ("year" = 2001) AS currentyr, CASE WHEN count(doy) FILTER
+      ("year" BETWEEN 1996 AND 2000) = 5 THEN avg(doy) FILTER ("year" BETWEEN 1996 AND 2000) END
+    AS baseline FROM grid GROUP BY {KEYS})
+SELECT {KEYS}, round(currentyr, 6) AS currentyr, round(baseline, 6) AS baseline,
+  round(currentyr - baseline, 6) AS anom FROM wide""",
+)
+def anomaly_with_holes(spark, sf_dir):
+    return county.anomaly(_with_holes(spark, sf_dir), 2001, 1996, 2000)
+
+
 def _anom(spark, sf_dir):
     long = nation_years(spark, sf_dir)
-    return county.anomaly(long, county.baseline(long, 1996, 2000), 2001)
+    return county.anomaly(long, 2001, 1996, 2000)
 
 
 @query(

@@ -229,11 +229,10 @@ def points(spark, sf_dir):
 
 
 ANOM_SQL = f"""{NATION_YEARS_SQL},
-base AS (SELECT STATEFP, COUNTYFP, avg(doy) AS baseline FROM long
-  WHERE "year" BETWEEN 1996 AND 2000 GROUP BY ALL HAVING count(doy) = count(*)),
-anom AS (SELECT l.STATEFP, l.COUNTYFP, l.state, l.county, doy AS currentyr, baseline,
-  doy - baseline AS anom FROM long l LEFT JOIN base USING (STATEFP, COUNTYFP)
-  WHERE "year" = 2001)"""
+anom AS (SELECT *, currentyr - baseline AS anom FROM (SELECT STATEFP, COUNTYFP, state, county,
+  max(doy) FILTER ("year" = 2001) AS currentyr, CASE WHEN count(doy) FILTER
+    ("year" BETWEEN 1996 AND 2000) = 5 THEN avg(doy) FILTER ("year" BETWEEN 1996 AND 2000) END
+  AS baseline FROM long GROUP BY ALL) w)"""
 
 
 @query(
@@ -244,7 +243,7 @@ anom AS (SELECT l.STATEFP, l.COUNTYFP, l.state, l.county, doy AS currentyr, base
 )
 def layer(spark, sf_dir):
     long = nation_years(spark, sf_dir)
-    anom = county.anomaly(long, county.baseline(long, 1996, 2000), 2001)
+    anom = county.anomaly(long, 2001, 1996, 2000)
     return county.county_layer(counties(spark, sf_dir), anom)
 
 

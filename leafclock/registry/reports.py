@@ -153,10 +153,11 @@ def county_index(spark, sf_dir):
 
 @query(
     "g3_county_anomalies",
-    f"""WITH {LONG_SQL}, base AS (SELECT {KEYS}, avg(doy) AS baseline FROM long
-  WHERE "year" BETWEEN 1996 AND 2000 GROUP BY {KEYS})
-SELECT {KEYS}, round(doy, 6) AS currentyr, round(baseline, 6) AS baseline,
-  round(doy - baseline, 6) AS anom FROM long LEFT JOIN base USING ({KEYS}) WHERE "year" = 2001""",
+    f"""WITH {LONG_SQL}, wide AS (SELECT {KEYS}, max(doy) FILTER ("year" = 2001) AS currentyr,
+  CASE WHEN count(doy) FILTER ("year" BETWEEN 1996 AND 2000) = 5
+    THEN avg(doy) FILTER ("year" BETWEEN 1996 AND 2000) END AS baseline FROM long GROUP BY ALL)
+SELECT {KEYS}, round(currentyr, 6) AS currentyr, round(baseline, 6) AS baseline,
+  round(currentyr - baseline, 6) AS anom FROM wide""",
 )
 def county_anomalies(spark, sf_dir):
     return spring_index.county_anomalies(county_long(spark, sf_dir), 2001, 1996, 2000)
@@ -164,11 +165,13 @@ def county_anomalies(spark, sf_dir):
 
 @query(
     "g3_county_ranks",
-    f"""WITH {LONG_SQL}, c AS (SELECT {KEYS}, doy AS currentyr FROM long WHERE "year" = 2001),
-r AS (SELECT {KEYS}, currentyr, avg(doy) AS mean40, quantile_cont(doy, 0.5) AS median40,
-  count(*) FILTER (coalesce(doy < currentyr, TRUE)) AS n_earlier,
-  count(*) FILTER (coalesce(doy > currentyr, TRUE)) AS n_later
-  FROM long JOIN c USING ({KEYS}) WHERE "year" < 2001 GROUP BY {KEYS}, currentyr)
+    f"""WITH {LONG_SQL}, r AS (SELECT {KEYS}, currentyr,
+  CASE WHEN count(doy) = 6 THEN avg(doy) END AS mean40,
+  CASE WHEN count(doy) = 6 THEN quantile_cont(doy, 0.5) END AS median40,
+  count(*) FILTER (doy < currentyr) + 6 - count(doy + currentyr) AS n_earlier,
+  count(*) FILTER (doy > currentyr) + 6 - count(doy + currentyr) AS n_later
+  FROM (SELECT *, max(doy) FILTER ("year" = 2001) OVER (PARTITION BY {KEYS}) AS currentyr FROM long) w
+  WHERE "year" < 2001 GROUP BY {KEYS}, currentyr)
 SELECT {KEYS}, round(currentyr, 6) AS currentyr, round(mean40, 6) AS mean40,
   round(median40, 6) AS median40, n_earlier, n_later,
   CASE WHEN n_later > 0 THEN round(7.0 / n_later, 6) END AS return_late,

@@ -15,7 +15,6 @@ from leafclock.registry.standin import (
 
 OBS = chain(CLEAN_SQL, OBS_SQL)
 PROJ = f"WITH {raw_sql()}, {PROJECTED_SQL}\n"
-YEARS = range(1995, 2002)
 
 
 @query(
@@ -25,7 +24,7 @@ YEARS = range(1995, 2002)
 )
 def state_sizes(spark, sf_dir):
     _, prior = cur_prior(spark, sf_dir)
-    return summary.group_sizes(prior, ["state", "common_name", "pheno_class_id"], P.prior_years)
+    return summary.group_sizes(prior, ["state", "common_name", "pheno_class_id"])
 
 
 SITE_KEYS = ["site_id", "lat", "lon", "elev", "common_name", "pheno_class_id"]
@@ -36,7 +35,7 @@ SITE_SIZES_SQL = """sizes AS (SELECT site_id, lat, lon, elev, common_name, pheno
 
 def site_sizes(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    return summary.group_sizes(obs, SITE_KEYS, YEARS).withColumn(
+    return summary.group_sizes(obs, SITE_KEYS).withColumn(
         "spp_site_ph", labels.joined("common_name", "site_id", "pheno_class_id")
     )
 
@@ -46,6 +45,25 @@ def site_sizes_(spark, sf_dir):
     return site_sizes(spark, sf_dir)
 
 
+# Years and individuals that are missing in places count as one more value each.
+HOLES_SQL = """holes AS (SELECT state, common_name, CASE WHEN site_id % 3 > 0 THEN id END AS id,
+  CASE WHEN id % 4 > 0 THEN "year" END AS "year" FROM obs)"""
+
+
+@query(
+    "a4_sizes_with_holes",
+    f"""{OBS}, {HOLES_SQL} SELECT state, common_name, count(*) AS n_obs,
+  count(DISTINCT id) + max(CAST(id IS NULL AS INT)) AS n_indiv,
+  count(DISTINCT "year") + max(CAST("year" IS NULL AS INT)) AS n_years FROM holes GROUP BY ALL""",
+)
+def sizes_with_holes(spark, sf_dir):
+    holes = observations(spark, sf_dir).select(
+        "state", "common_name", F.when(F.col("site_id") % 3 > 0, F.col("id")).alias("id"),
+        F.when(F.col("id") % 4 > 0, F.col("year")).alias("year"),
+    )
+    return summary.group_sizes(holes, ["state", "common_name"])
+
+
 @query(
     "a6_site_coverage",
     f"""{OBS}, {SITE_SIZES_SQL}, c AS (SELECT pheno_class_id, count(DISTINCT site_id) AS n_sites,

@@ -36,13 +36,19 @@ def test_wide_and_long_forms(spark, rows, tmp_path):
 
 def test_ranks_count_missing_years(spark):
     df = long_of(spark, {2020: 10.0, 2021: None, 2022: 30.0, 2023: 20.0, 2024: 20.0})
-    got = county.rank_against_history(df, 2024, 40).first()
+    got = county.rank_against_history(df, 2024, 4).first()
     # A missing year counts on both sides, and voids mean and median.
     assert (got.n_earlier, got.n_later, got.mean40, got.median40) == (2, 2, None, None)
-    sane = county.rank_against_history(df, 2024, 40, na_counts=False).first()
+    sane = county.rank_against_history(df, 2024, 4, na_counts=False).first()
     assert (sane.n_earlier, sane.n_later) == (1, 1)
-    full = county.rank_against_history(df.where("doy IS NOT NULL"), 2024, 3).first()
+    # A year without a row is missing too.
+    absent = county.rank_against_history(df.where("doy IS NOT NULL"), 2024, 4).first()
+    assert tuple(absent) == tuple(got)
+    assert county.rank_against_history(df, 2024, 40).first().n_earlier == 38
+    full = county.rank_against_history(df.where("doy IS NOT NULL"), 2024, 2).first()
     assert (full.mean40, full.median40) == (25.0, 25.0)
+    none = county.rank_against_history(df.where("year < 2024"), 2024, 4).first()
+    assert (none.currentyr, none.n_earlier, none.n_later) == (None, 4, 4)
 
 
 def test_return_intervals(spark):
@@ -54,12 +60,14 @@ def test_return_intervals(spark):
 
 
 def test_baseline_anomaly_limits(spark):
-    df = long_of(spark, {1991: 10.0, 2020: 20.0, 2025: 3.0})
-    anom = county.anomaly(df, county.baseline(df), 2025)
-    assert anom.first().anom == -12.0
+    years = {y: 10.0 + y % 2 * 10 for y in range(1991, 2021)} | {2025: 3.0}
+    anom = county.anomaly(long_of(spark, years), 2025)
+    assert tuple(anom.first())[-3:] == (3.0, 15.0, -12.0)
     assert tuple(county.anomaly_limits(anom).first()) == (12.0, 10)
-    gap = long_of(spark, {1991: 10.0, 2020: None, 2025: 3.0})
-    assert county.baseline(gap).first().baseline is None
+    for gap in (years | {2000: None}, {y: d for y, d in years.items() if y != 2000}):
+        assert county.baseline(long_of(spark, gap)).first().baseline is None
+    late = county.anomaly(long_of(spark, {y: d for y, d in years.items() if y < 2025}), 2025)
+    assert tuple(late.first())[-3:] == (None, 15.0, None)
 
 
 def test_histogram_bins(spark, rows):
@@ -82,11 +90,12 @@ def test_summaries_round_half_to_even(spark):
     assert summary.summary_by(df, ["state"], True).where("state = 'CA'").first().n_species == 1
 
 
-def test_group_sizes_count_missing_ids_once(spark):
-    df = spark.createDataFrame([("a", 1, 2010), ("a", None, 2010), ("a", None, 2011)],
-                               "k string, id long, year int")
-    got = summary.group_sizes(df, ["k"], range(2009, 2025)).first()
-    assert (got.n_obs, got.n_indiv, got.n_years) == (3, 2, 2)
+def test_group_sizes_count_every_year(spark):
+    df = spark.createDataFrame(
+        [("a", 1, 2008), ("a", None, 2010), ("a", None, None), ("a", 1, 1900), (None, 2, None)],
+        "k string, id long, year int")
+    got = {r.k: (r.n_obs, r.n_indiv, r.n_years) for r in summary.group_sizes(df, ["k"]).collect()}
+    assert got == {"a": (4, 2, 4), None: (1, 1, 1)}
 
 
 def test_site_coverage(spark):
@@ -204,5 +213,5 @@ def test_working_folder_follows_the_cluster_setting(spark):
 
 def test_group_sizes_plan_has_no_expand(spark):
     df = spark.createDataFrame([("a", 1, 2010)], "k string, id long, year int")
-    plan = summary.group_sizes(df, ["k"], range(2009, 2025))._jdf.queryExecution().executedPlan()
+    plan = summary.group_sizes(df, ["k"])._jdf.queryExecution().executedPlan()
     assert "Expand" not in plan.toString()
