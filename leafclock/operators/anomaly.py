@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafclock.functions import labels, stats
 from leafclock.operators.clean import flagged, sufficient
 from leafclock.operators.pool import neighbour_pool, pool_sizes
-from leafclock.params import FUNC_TYPE_CODES, Params
+from leafclock.params import Params
 
 
 def distribution(df: DataFrame, keys, lowerq: float = 0.05, value: str = "first_yes"):
@@ -99,19 +99,22 @@ def attach_details(flags: DataFrame, cur: DataFrame, p: Params) -> DataFrame:
     """Observation details and pool sizes of flagged rows, by individual and phase."""
     details = cur.select(
         labels.joined("common_name", p.unit).alias("indiv"), p.phase_key,
-        "common_name", "id", "lat", "lon", "elev", "func_type", "n_obs_r", "n_yrs_r",
+        "common_name", p.unit, "lat", "lon", "elev", "func_type", "n_obs_r", "n_yrs_r",
     )
     narrow = flags.select("indiv", "state", p.phase_key, "first_yes", "min", "early", "outlier")
     return narrow.join(details, ["indiv", p.phase_key], "left")
 
 
-def flag_table(rows: DataFrame, p: Params, codes=FUNC_TYPE_CODES) -> DataFrame:
-    """Report columns of flagged rows that already carry their details."""
+def flag_table(rows: DataFrame, p: Params) -> DataFrame:
+    """Report columns of flagged rows that already carry their details.
+
+    Animals have no individuals; their table names the site instead.
+    """
     phase = ["phenophase_id", "phenophase"] if p.phase_key == "phenophase" else [p.phase_key]
     return rows.select(
         *phase, "common_name", "func_type",
-        labels.func_type_code("func_type", codes).alias("func_type2"),
-        "id", "state", "lat", "lon", "elev", "first_yes",
+        labels.func_type_code("func_type", dict(p.func_types)).alias("func_type2"),
+        p.unit, "state", "lat", "lon", "elev", "first_yes",
         labels.doy_to_date(F.lit(p.year), "first_yes").alias("firstyes"),
         labels.yes_no(F.col("early") == 1).alias("early"),
         labels.yes_no(F.col("first_yes") <= F.col("min")).alias("earliest"),

@@ -38,12 +38,10 @@ def locate_points(
             )
         )
 
-    # The exchange lets Spark see the true size after the explode before it
-    # chooses how to join.
-    box = (
-        box.withColumn("tx", tiles("xmin", "xmax", tile_deg))
-        .withColumn("ty", tiles("ymin", "ymax", tile_deg))
-        .repartition("tx", "ty")
+    # No exchange by hand: after one, Spark would not split a tile or band that holds
+    # a large share of the points.
+    box = box.withColumn("tx", tiles("xmin", "xmax", tile_deg)).withColumn(
+        "ty", tiles("ymin", "ymax", tile_deg)
     )
     candidates = (
         pts.join(box, ["tx", "ty"])
@@ -56,7 +54,6 @@ def locate_points(
         .withColumn("ylow", ylow)
         .withColumn("yhigh", yhigh)
         .withColumn("band", tiles("ylow", "yhigh", band_deg))
-        .repartition("poly_id", "band")
     )
     x_cross = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (
         F.col("y2") - F.col("y1")

@@ -84,7 +84,7 @@ def _near_tiles(left: DataFrame, right: DataFrame, on, p: Params, also=None) ->
         low, high = g.tile_cosines(F.col(row))
         return df.withColumns({f"{prefix}low": low, f"{prefix}high": high})
 
-    blocked = with_cosines(g.near_blocks(left), "t_row", "t_").repartition(*on, "b_row", "b_col")
+    blocked = with_cosines(g.near_blocks(left), "t_row", "t_")
     right = with_cosines(right, "u_t_row", "u_").withColumns(
         {"b_row": g.block_row(F.col("u_t_row")), "b_col": g.block_col(F.col("u_t_col"))}
     )
@@ -118,8 +118,6 @@ def _moved_sites(rows: DataFrame, p: Params) -> DataFrame | None:
     Such sites are rare, so the (tiny) list is written and looked at before any join
     is planned for it.
     """
-    if not p.moved_sites:
-        return None
     several = [F.min(c) != F.max(c) for c in ("lat", "lon")]
     moved = (
         rows.groupBy(*p.group_keys, "site_id")

@@ -80,7 +80,7 @@ def missing_rows(
         .where(F.col("first_yes_year") >= F.col("from_year"))
         .drop("from_year")
     )
-    clean = fill_state(clean_observations(raw, p), edges, p)
+    clean = fill_state(staged(clean_observations(raw, p), "cleaned"), edges, p)
     return fill_elevation(clean, site_elev).select(*schemas.PLANTS.fieldNames())
 
 

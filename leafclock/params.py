@@ -31,14 +31,6 @@ AUTUMN_FUNC_TYPE_CODES = {
     "Semi-evergreen broadleaf": "SEB",
 }
 
-# Short titles of the four phase classes.
-CLASS_TITLES = {
-    1: "initial vegetative growth",
-    3: "leaves or needles",
-    6: "flowers or cones",
-    7: "open flowers or cones",
-}
-
 # Class breaks (deg F) of the temperature-sum anomaly.
 BREAKS_GROUNDHOG = (-500.0, -20.0, 20.0, 500.0)
 BREAKS_SPRING = (-2000.0, -40.0, 40.0, 2000.0)
@@ -64,6 +56,8 @@ class Params:
     # Column counted as an individual in a pool.
     unit: str = "id"
     period: tuple[str, str] | None = None
+    # Abbreviations of functional types in the report.
+    func_types: tuple[tuple[str, str], ...] = tuple(FUNC_TYPE_CODES.items())
     excluded_species: tuple[str, ...] = ("'ohi'a lehua",)
     allowed_states: tuple[str, ...] = LOWER48
     # Outlier test is <= in the radius comparison and < in the state one.
@@ -73,8 +67,6 @@ class Params:
     bins: int = 60
     # "ellipsoid" (WGS84) or "sphere".
     distance: str = "ellipsoid"
-    # Look for sites that carry several coordinates (see operators/pool.py).
-    moved_sites: bool = True
     # Tiles per radius and buckets per elevation buffer of the pool grid.
     tiles_per_radius: int = 8
     elev_steps: int = 8
@@ -97,6 +89,7 @@ AUTUMN = Params(
     phenophase_ids=(498, 471),
     phase_key="phenophase",
     period=("07-01", "12-31"),
+    func_types=tuple(AUTUMN_FUNC_TYPE_CODES.items()),
     outliers_in_histogram=True,
 )
 ANIMALS = Params(

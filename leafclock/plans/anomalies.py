@@ -6,14 +6,33 @@ from pyspark.sql import DataFrame
 
 from leafclock.operators import anomaly, clean, fill, pool, state, summary
 from leafclock.params import Params
+from leafclock.sources.observations import in_period, scan_observations
 from leafclock.sources.scratch import staged
 
 
+def scoped(raw: DataFrame, p: Params, years=None) -> DataFrame:
+    """Raw rows of the report: its years, classes, phenophases and period.
+
+    Empty lists and no period mean no limit.
+    """
+    rows = scan_observations(
+        raw, years if years is not None else [*p.prior_years, p.year],
+        p.pheno_class_ids or None, p.phenophase_ids or None,
+    )
+    return in_period(rows, *p.period) if p.period else rows
+
+
 def prepare(
-    raw: DataFrame, edges: DataFrame, site_elev: DataFrame, p: Params, kind: str = "plants"
+    raw: DataFrame, edges: DataFrame, site_elev: DataFrame, p: Params, kind: str = "plants",
+    years=None,
 ) -> DataFrame:
-    """Clean raw rows and fill state and elevation (all elevations in autumn)."""
-    df = fill.fill_state(clean.clean_observations(raw, p, kind), edges, p)
+    """Clean the raw rows in scope and fill state and elevation (all elevations in autumn).
+
+    The cleaned rows are written once: the states are looked up from them and joined
+    to them.
+    """
+    obs = staged(clean.clean_observations(scoped(raw, p, years), p, kind), "cleaned")
+    df = fill.fill_state(obs, edges, p)
     return fill.fill_elevation(df, site_elev, overwrite=kind == "autumn")
 
 

@@ -4,12 +4,13 @@ from pyspark.sql import functions as F
 
 from leafclock.functions import labels
 from leafclock.operators import anomaly, clean, pool
+from leafclock.params import FUNC_TYPE_CODES
 from leafclock.plans.anomalies import state_anomalies
 from leafclock.registry.base import query
 from leafclock.registry.cleaning import ANIMAL_OBS, FOLDED_SQL
 from leafclock.registry.joins import STATE, compared
 from leafclock.registry.standin import (
-    BASE, CLEAN_SQL, OBS_SQL, P, P_ANIMALS, POOL, chain, cur_prior, observations, pool_sql,
+    BASE, CLEAN_SQL, OBS_SQL, P, P_ANIMALS, POOL, _case, chain, cur_prior, observations, pool_sql,
     split_sql,
 )
 
@@ -136,11 +137,7 @@ def dates(spark, sf_dir):
 
 @query(
     "x8_func_type_code",
-    OBS + """SELECT id, pheno_class_id, "year", func_type, CASE func_type
-  WHEN 'Deciduous broadleaf' THEN 'DB' WHEN 'Deciduous conifer' THEN 'DC'
-  WHEN 'Drought deciduous broadleaf' THEN 'DDB' WHEN 'Evergreen broadleaf' THEN 'EB'
-  WHEN 'Evergreen conifer' THEN 'EC' WHEN 'Graminoid' THEN 'Gram'
-  WHEN 'Semi-evergreen broadleaf' THEN 'SEB' WHEN 'Forb' THEN 'Forb' END AS func_type2 FROM obs""",
+    OBS + f"""SELECT id, pheno_class_id, "year", func_type, {_case("func_type", FUNC_TYPE_CODES)} AS func_type2 FROM obs""",
 )
 def codes(spark, sf_dir):
     return observations(spark, sf_dir).select(
@@ -176,10 +173,8 @@ def composite(spark, sf_dir):
     ).distinct()
 
 
-TABLE_SQL = """eo AS (SELECT pheno_class_id, common_name, func_type,
-  CASE func_type WHEN 'Deciduous broadleaf' THEN 'DB' WHEN 'Drought deciduous broadleaf' THEN 'DDB'
-    WHEN 'Evergreen conifer' THEN 'EC' WHEN 'Graminoid' THEN 'Gram' WHEN 'Forb' THEN 'Forb' END
-    AS func_type2,
+TABLE_SQL = f"""eo AS (SELECT pheno_class_id, common_name, func_type,
+  {_case("func_type", FUNC_TYPE_CODES)} AS func_type2,
   id, state, lat, lon, elev, first_yes,
   CAST(make_date(2001, 1, 1) + (first_yes - 1) AS VARCHAR) AS firstyes,
   CASE WHEN early = 1 THEN 'Yes' ELSE 'No' END AS early,

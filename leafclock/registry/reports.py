@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leafclock.operators import anomaly, clean, summary
 from leafclock.operators.refresh import refresh_prior
+from leafclock.params import FUNC_TYPE_CODES
 from leafclock.plans import anomalies, groundhog, spring_index
 from leafclock.operators.raster import coverage
 from leafclock.registry.base import query
@@ -15,11 +16,10 @@ from leafclock.registry.grids import (
 from leafclock.registry.joins import FILLED_SQL, STATE
 from leafclock.registry.standin import (
     ANOMALY_CELLS_SQL, AUTUMN_COLUMNS, CLEAN_SQL, COUNTY_SQL, GRID, OBS_SQL, P, P_ANIMALS,
-    P_AUTUMN, PLANT_COLUMNS, PROJECTED_SQL, anomaly_cells, chain, counties, cur_prior, edges,
+    P_AUTUMN, PLANT_COLUMNS, PROJECTED_SQL, _case, anomaly_cells, chain, counties, cur_prior, edges,
     first_sql, pool_sql, raw, raw_sql, site_elevation, split_sql, table,
 )
 from leafclock.registry.grids import CLASS_SQL
-from leafclock.sources.observations import from_day, in_period
 from leafclock.sources.scratch import scratch_dir, staged
 
 
@@ -58,7 +58,8 @@ def radius_from_raw(spark, sf_dir):
 
 
 AUTUMN_POOL = chain(
-    """late AS (SELECT * FROM clean_all WHERE first_yes >= 180
+    """late AS (SELECT * REPLACE (round_even(s_acctbal, 0) AS elev) FROM clean_all
+  JOIN supplier ON s_suppkey = site_id WHERE phenophase_id = 498
   AND strftime(make_date("year", 1, 1) + CAST(first_yes - 1 AS INT), '%m-%d') >= '07-01')""",
     first_sql(AUTUMN_COLUMNS, 'id, phenophase, "year"', "late"),
     split_sql("phenophase"),
@@ -67,8 +68,9 @@ AUTUMN_POOL = chain(
 
 
 def autumn_flags(spark, sf_dir):
-    rows = from_day(in_period(raw(spark, sf_dir), *P_AUTUMN.period), 180)
-    obs = clean.clean_observations(rows, P_AUTUMN, "autumn")
+    obs = anomalies.prepare(
+        raw(spark, sf_dir), edges(spark, sf_dir), site_elevation(spark, sf_dir), P_AUTUMN, "autumn"
+    )
     cur, prior = anomalies.split(obs, P_AUTUMN)
     return anomalies.radius_anomalies(cur, prior, P_AUTUMN)
 
@@ -118,6 +120,24 @@ def animals(spark, sf_dir):
     ).orderBy("func_type", "sppsite", "phenophase_category")
 
 
+@query(
+    "g1_animals_report",
+    ANIMAL_POOL + f"""SELECT phenophase_category, common_name, func_type,
+  {_case("func_type", FUNC_TYPE_CODES)} AS func_type2, site_id, state, first_yes,
+  CASE WHEN early = 1 THEN 'Yes' ELSE 'No' END AS early,
+  CASE WHEN outlier = 1 THEN 'Yes' ELSE 'No' END AS outlier, n_yrs_r, n_obs_r FROM flags""",
+)
+def animals_report(spark, sf_dir):
+    obs = anomalies.prepare(
+        raw(spark, sf_dir), edges(spark, sf_dir), site_elevation(spark, sf_dir), P_ANIMALS, "animals"
+    )
+    cur, prior = anomalies.split(obs, P_ANIMALS)
+    return anomalies.radius_report(cur, prior, P_ANIMALS).select(
+        "phenophase_category", "common_name", "func_type", "func_type2", "site_id", "state",
+        "first_yes", "early", "outlier", "n_yrs_r", "n_obs_r",
+    )
+
+
 @query(
     "g2_state_anomalies",
     STATE + """SELECT site_id, id, pheno_class_id, common_name, state, func_type, first_yes, "min",
@@ -244,8 +264,7 @@ def refresh(spark, sf_dir):
     path = scratch_dir(spark, "cache")
     source = raw(spark, sf_dir, gaps=True)
     shapes, elev = edges(spark, sf_dir), site_elevation(spark, sf_dir)
-    obs = anomalies.prepare(source, shapes, elev, P)
-    cur = staged(clean.current_of(obs, P), "current")
+    cur = staged(anomalies.prepare(source, shapes, elev, P, years=[P.year]), "current")
     some = cur.where("species_id <= 4 AND pheno_class_id <= 5")
     then = P.with_(year=1999)
     refresh_prior(spark, source, path, some, shapes, elev, then, "first")

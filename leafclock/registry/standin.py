@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leafclock.functions.geodesy import WGS84_A, WGS84_F
 from leafclock.operators.clean import clean_observations
 from leafclock.operators.raster import CellGrid
-from leafclock.params import Params
+from leafclock.params import AUTUMN, Params
 from leafclock.plans.anomalies import split
 from leafclock.sources.grids import polygon_edges
 
@@ -25,7 +25,11 @@ P = Params(
     pheno_class_ids=tuple(range(1, 8)),
     allowed_states=STATES,
 )
-P_AUTUMN = P.with_(phase_key="phenophase", phenophase_ids=(498, 471), period=("07-01", "12-31"))
+# The stand-in holds a second phenophase and days out of season: both are out of scope.
+P_AUTUMN = P.with_(
+    phase_key="phenophase", phenophase_ids=(498,), period=("07-01", "12-31"), pheno_class_ids=(),
+    func_types=AUTUMN.func_types,
+)
 P_ANIMALS = P.with_(phase_key="phenophase_category", unit="site_id")
 
 # Fixed values of the stand-in: species number and functional type of a part type.

@@ -1,6 +1,7 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from leafclock import PLANTS, schemas
 from leafclock.operators import county, refresh, state, summary
@@ -152,6 +153,32 @@ def world(spark):
     return spark.createDataFrame(raw, RAW), edges, elev
 
 
+def test_prepare_keeps_to_the_scope(spark, world):
+    from leafclock.params import ANIMALS, AUTUMN
+    from leafclock.plans import anomalies
+
+    raw, edges, elev = world
+    classes = lambda p, **c: {
+        r[0] for r in anomalies.prepare(raw, edges, elev, p.with_(**c)).select("pheno_class_id").distinct().collect()}
+    assert classes(PLANTS) == {1, 3}
+    assert classes(PLANTS, pheno_class_ids=(3,)) == {3}
+    assert classes(PLANTS, pheno_class_ids=()) == {1, 3}
+    assert classes(PLANTS, period=("02-01", "02-20")) == set()
+    assert classes(PLANTS, period=("02-20", "02-28")) == {1, 3}
+    years = anomalies.prepare(raw, edges, elev, PLANTS.with_(year=2012)).select("year").distinct()
+    assert sorted(r[0] for r in years.collect()) == [2009, 2010, 2011, 2012]
+    late = raw.drop("pheno_class_id").selectExpr("*", "IF(first_yes_doy > 52, 498, 7) AS phenophase_id").withColumns(
+        {"first_yes_doy": F.col("first_yes_doy") + F.when(F.col("species_id") == 4, 200).otherwise(0)})
+    out = anomalies.prepare(late, edges, elev, AUTUMN, "autumn")
+    assert {(r.phenophase_id, r.first_yes >= 180) for r in out.collect()} == {(498, True)}
+    p = ANIMALS.with_(min_obs=1, min_yrs=1)
+    beasts = raw.drop("individual_id").withColumn("phenophase_category", F.lit("Activity")).withColumn(
+        "first_yes_doy", F.expr("IF(first_yes_year = 2025, 20, first_yes_doy)"))
+    cur, prior = anomalies.split(anomalies.prepare(beasts, edges, elev, p, "animals"), p)
+    report = anomalies.radius_report(cur, prior, p)
+    assert report.count() > 0 and "site_id" in report.columns and "id" not in report.columns
+
+
 def test_refresh_in_steps_equals_from_scratch(spark, rows, world):
     from leafclock.operators.clean import clean_observations, current_of
 
