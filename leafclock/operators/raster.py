@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafclock.operators.locate import locate_points
 from leafclock.params import ANOMALY_CLASSES
 
 
@@ -37,30 +36,86 @@ class CellGrid:
         return F.col("row").between(0, self.rows - 1) & F.col("col").between(0, self.cols - 1)
 
 
-def coverage(cells: DataFrame, edges: DataFrame, grid: CellGrid, k: int = 4) -> DataFrame:
-    """Share of each cell inside each region, from k x k points per cell.
+def _ring_signs(edges: DataFrame) -> DataFrame:
+    """+1 or -1 per ring: what turns its signed area into land, or into a hole of it.
 
-    The grid is the same for all years, so this runs once on the distinct cells.
+    A ring is a hole if an odd number of the other rings of its polygon lie around it.
+    One point of each ring is compared with the edges in its latitude band.
     """
-    def offset(i):
-        return (F.col(i) + 0.5) / k - 0.5
-
-    points = (
-        cells.select("row", "col")
-        .distinct()
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-        .select(
-            "row", "col",
-            grid.lon(F.col("col") + offset("j")).alias("x"),
-            grid.lat(F.col("row") + offset("i")).alias("y"),
-        )
+    area = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))
+    # The midpoint of one edge: rings may touch in a vertex.
+    at = F.min(F.struct(
+        ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")))
+    rings = edges.where("x1 <> x2 OR y1 <> y2").groupBy("poly_id", "ring_id").agg(
+        area.alias("area"), at.alias("at")).where("area <> 0")
+    band = lambda c: F.floor(c / 0.05).cast("int")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    around = edges.where("y1 <> y2").select(
+        "poly_id", F.col("ring_id").alias("other"), "x1", "y1", "x2", "y2", low.alias("low"), high.alias("high"),
+        F.explode(F.sequence(band(low), band(high))).alias("band"))
+    across = F.col("x1") + (F.col("at.y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    holders = (
+        rings.withColumn("band", band(F.col("at.y"))).join(around, ["poly_id", "band"])
+        .where("ring_id <> other AND at.y >= low AND at.y < high").where(F.col("at.x") < across)
+        .groupBy("poly_id", "ring_id", "other").agg((F.count(F.lit(1)) % 2).alias("inside"))
+        .groupBy("poly_id", "ring_id").agg(F.sum("inside").alias("depth"))
     )
-    return (
-        points.join(locate_points(points, edges), ["x", "y"])
-        .groupBy("poly_id", "row", "col")
-        .agg((F.count(F.lit(1)) / (k * k)).alias("frac"))
+    hole = F.coalesce(F.col("depth"), F.lit(0)) % 2 == 1
+    return rings.join(holders, ["poly_id", "ring_id"], "left").select(
+        "poly_id", "ring_id", (F.signum("area") * F.when(hole, -1).otherwise(1)).alias("sign"))
+
+
+def coverage(edges: DataFrame, grid: CellGrid, least: float = 1e-9) -> DataFrame:
+    """Exact share of each cell inside each region: (poly_id, row, col, frac).
+
+    Every edge is cut at the lines of the grid. A piece adds the area to its right within
+    its cell, and its height to all cells further right in the row; a running sum along
+    the row gives every cell's share, and cells between two pieces have one share. A row
+    of a region has at most two rows per column to sort. Shares below ``least`` are
+    rounding. The grid is the same for all years, so this runs once.
+    """
+    u = lambda x: (F.col(x) - F.lit(grid.x0)) / grid.res
+    v = lambda y: (F.lit(grid.y0) - F.col(y)) / grid.res
+    cut = edges.select("poly_id", "ring_id", u("x1").alias("u1"), v("y1").alias("v1"),
+                       u("x2").alias("u2"), v("y2").alias("v2")).where("v1 <> v2")
+    top, bottom = F.least("v1", "v2"), F.greatest("v1", "v2")
+    first, last = F.greatest(F.floor(top), F.lit(0)), F.least(F.ceil(bottom) - 1, F.lit(grid.rows - 1))
+    at = lambda w: F.col("u1") + (w - F.col("v1")) / (F.col("v2") - F.col("v1")) * (F.col("u2") - F.col("u1"))
+    low, high = F.greatest(top, F.col("row")), F.least(bottom, F.col("row") + 1)
+    rows = (
+        cut.where(first <= last)
+        .withColumn("row", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+        .select("poly_id", "ring_id", "row", at(low).alias("a"), at(high).alias("b"),
+                ((high - low) * F.signum(F.col("v2") - F.col("v1"))).alias("dv"))
+        .where("dv <> 0")
+    )
+    left, right = F.least("a", "b"), F.greatest("a", "b")
+    # All that lies left of the grid is one column, -1; what lies right of it has no effect.
+    begin = F.greatest(F.floor(left), F.lit(-1)).cast("int")
+    end = F.least(F.greatest(F.floor(right), F.lit(-1)), F.lit(grid.cols - 1)).cast("int")
+    lo = F.when(F.col("col") < 0, left).otherwise(F.greatest(left, F.col("col")))
+    hi = F.least(right, F.col("col") + 1)
+    share = F.when(right > left, (hi - lo) / F.nullif(right - left, F.lit(0.0))).otherwise(F.lit(1.0))
+    pieces = (
+        rows.where(begin <= end)
+        .withColumn("col", F.explode(F.sequence(begin, end)))
+        .withColumn("height", F.col("dv") * share)
+        .withColumn("area", F.col("height") * (1 - ((lo + hi) / 2 - F.col("col"))))
     )
+    signed = pieces.groupBy("poly_id", "ring_id", "row", "col").agg(
+        F.sum("height").alias("height"), F.sum("area").alias("area"))
+    signed = signed.join(_ring_signs(edges), ["poly_id", "ring_id"]).groupBy("poly_id", "row", "col").agg(
+        F.sum(F.col("height") * F.col("sign")).alias("height"), F.sum(F.col("area") * F.col("sign")).alias("area"))
+    along = Window.partitionBy("poly_id", "row").orderBy("col")
+    upto = F.sum("height").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    nxt = F.coalesce(F.lead("col").over(along), F.lit(grid.cols))
+    runs = signed.withColumn("upto", upto).withColumn("next", nxt)
+    own = runs.select("poly_id", "row", "col", (F.col("upto") - F.col("height") + F.col("area")).alias("frac"))
+    between = runs.where((F.col("col") + 1 < F.col("next")) & (F.abs("upto") > least)).select(
+        "poly_id", "row", F.explode(F.sequence(F.col("col") + 1, F.col("next") - 1)).alias("col"), F.col("upto").alias("frac"))
+    # Rows count downwards, so land comes out with one sign everywhere.
+    frac = F.least(F.abs("frac"), F.lit(1.0))
+    return own.unionByName(between).withColumn("frac", frac).where((F.col("col") >= 0) & (F.col("frac") > least))
 
 
 def zonal(cells: DataFrame, cov: DataFrame) -> DataFrame:

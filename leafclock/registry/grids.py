@@ -237,27 +237,35 @@ def limits(spark, sf_dir):
     return county.anomaly_limits(_anom(spark, sf_dir))
 
 
-K = 4
-COVERAGE_SQL = f"""{EDGE_SQL},
-sub AS (SELECT "row", col, -100.0 + (col + 0.5 + ((j + 0.5) / {K} - 0.5)) * 0.125 AS x,
-    35.0 - ("row" + 0.5 + ((i + 0.5) / {K} - 0.5)) * 0.125 AS y
-  FROM (SELECT DISTINCT "row", col FROM cells) c, (SELECT unnest(range({K})) AS i) a,
-    (SELECT unnest(range({K})) AS j) b),
-{inside_sql("sub", '"row", col')},
-cov AS (SELECT poly_id, "row", col, count(*) / {K * K} AS frac FROM located GROUP BY ALL)"""
+# Areas in closed form, by the outline's and the hole's heights over x: each part is
+# sign * integral of a + b * x, clipped to the cell, from x1 to x2.
+COVERAGE_SQL = """part AS (SELECT * FROM (VALUES (0, 0.0, 0.3, 0.6, 4.0 / 3, 1), (0, 0.3, 1.0, 1.0, 0.0, 1),
+  (0, 0.0, 1.0, 0.0, 0.0, -1), (1, 0.4, 0.5, -0.4, 2.0, -1), (1, 0.5, 0.6, 1.6, -2.0, -1),
+  (1, 0.4, 0.6, 0.4, 0.0, 1)) v(ring, px1, px2, pa, pb, psign)),
+lot AS (SELECT concat('S', n_nationkey) AS poly_id, n_nationkey, CAST(r AS INT) AS "row", CAST(c AS INT) AS col,
+    -100.0 + c * 0.125 - (n_nationkey % 5 - 100) AS ca, 35.0 - (r + 1) * 0.125 - (n_nationkey // 5 + 30) AS cb
+  FROM nation, (SELECT unnest(range(40)) AS r) a, (SELECT unnest(range(40)) AS c) b),
+strip AS (SELECT poly_id, "row", col, CAST(greatest(px1, ca) AS DOUBLE) AS a, CAST(least(px2, ca + 0.125) AS DOUBLE) AS b,
+    CAST(pa - cb AS DOUBLE) AS s0, CAST(pb AS DOUBLE) AS slope, psign FROM lot JOIN part
+  ON (ring = 0 OR n_nationkey % 2 = 0) AND px1 < ca + 0.125 AND px2 > ca WHERE cb < 1 AND cb + 0.125 > 0),
+ends AS (SELECT *, s0 + slope * a AS sa, s0 + slope * b AS sb FROM strip),
+cov AS (SELECT poly_id, "row", col, sum(psign * CASE WHEN slope = 0 THEN (b - a) * least(greatest(s0, 0), 0.125)
+    ELSE ((CASE WHEN sb <= 0 THEN 0 WHEN sb <= 0.125 THEN sb * sb / 2 ELSE 0.125 * sb - 0.0078125 END)
+      - (CASE WHEN sa <= 0 THEN 0 WHEN sa <= 0.125 THEN sa * sa / 2 ELSE 0.125 * sa - 0.0078125 END)) / slope END)
+    / 0.015625 AS frac FROM ends GROUP BY ALL HAVING frac > 1e-9)"""
 ZONAL_SQL = """zonal AS (SELECT poly_id, "index", "year",
   sum("value" * frac) / sum(CASE WHEN "value" IS NOT NULL THEN frac END) AS mean,
   coalesce(sum(CASE WHEN "value" IS NOT NULL THEN frac END), 0) AS "count"
   FROM cells JOIN cov USING ("row", col) GROUP BY ALL)"""
 
 
-@query("z1_coverage", f"WITH {CELLS_SQL}, {COVERAGE_SQL} SELECT * FROM cov")
+@query("z1_coverage", f'WITH {COVERAGE_SQL} SELECT poly_id, "row", col, round(frac, 6) AS frac FROM cov')
 def coverage(spark, sf_dir):
-    return raster.coverage(yearly_cells(spark, sf_dir), edges(spark, sf_dir), GRID, K)
+    return raster.coverage(edges(spark, sf_dir), GRID)
 
 
 def zonal_of(spark, sf_dir, cells):
-    cov = raster.coverage(cells, edges(spark, sf_dir), GRID, K)
+    cov = raster.coverage(edges(spark, sf_dir), GRID)
     return raster.zonal(cells, cov)
 
 
@@ -385,7 +393,7 @@ FROM county JOIN anom USING (STATEFP, COUNTYFP) LEFT JOIN zonal z USING (poly_id
 )
 def compare(spark, sf_dir):
     cells = anomaly_cells(spark, sf_dir)
-    cov = raster.coverage(cells, edges(spark, sf_dir), GRID, K)
+    cov = raster.coverage(edges(spark, sf_dir), GRID)
     own = county.county_layer(counties(spark, sf_dir), _anom(spark, sf_dir)).select(
         "poly_id", F.lit("leaf").alias("index"), F.lit(2001).alias("year"), "anom"
     )

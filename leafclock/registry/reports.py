@@ -11,7 +11,7 @@ from leafclock.registry.base import query
 from leafclock.registry.cleaning import ANIMAL_OBS, FOLDED_SQL
 from leafclock.registry.flags import TABLE
 from leafclock.registry.grids import (
-    COVERAGE_SQL, MASK_SQL, MIXED_SQL, ZONAL_SQL, K, mixed_cells,
+    COVERAGE_SQL, MASK_SQL, MIXED_SQL, ZONAL_SQL, mixed_cells,
 )
 from leafclock.registry.joins import FILLED_SQL, STATE
 from leafclock.registry.standin import (
@@ -159,7 +159,7 @@ long AS (SELECT poly_id, {KEYS}, "year", mean AS doy FROM county JOIN masked USI
 
 def county_long(spark, sf_dir):
     cells = mixed_cells(spark, sf_dir)
-    cov = coverage(cells, edges(spark, sf_dir), GRID, K)
+    cov = coverage(edges(spark, sf_dir), GRID)
     return spring_index.county_long(cells, cov, counties(spark, sf_dir), 2001)
 
 

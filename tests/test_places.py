@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from leafclock import PLANTS
@@ -87,7 +89,7 @@ def all_cells(fn, grid=GRID):
 def test_coverage_and_zonal(spark):
     edges = edges_of(spark, square("A", 0.5, 1.0, 2.0))
     cells = spark.createDataFrame(cell_rows(all_cells(lambda r, c: 7.0)), C)
-    cov = raster.coverage(cells, edges, GRID, k=4)
+    cov = raster.coverage(edges, GRID)
     frac = {(r.row, r.col): r.frac for r in cov.collect()}
     # The square spans half of column 0, all of column 1, half of column 2, rows 1 and 2.
     assert frac == {(1, 0): 0.5, (1, 1): 1.0, (1, 2): 0.5, (2, 0): 0.5, (2, 1): 1.0, (2, 2): 0.5}
@@ -95,13 +97,35 @@ def test_coverage_and_zonal(spark):
     assert z["mean"] == 7.0 and z["count"] == 4.0
 
 
+def test_coverage_is_exact(spark):
+    """Shares add up to the area, whatever the rings' directions, beyond the grid and for slivers."""
+    def ring(poly, ring_id, points):
+        return [(poly, ring_id, i, float(x), float(y)) for i, (x, y) in enumerate(points)]
+
+    outline = [(0.1, 0.1), (3.7, 0.4), (3.2, 3.9), (1.5, 2.2), (0.3, 3.1)]
+    hole, island = [(1, 0.5), (2.5, 0.7), (1.7, 1.9)], [(1.5, 0.9), (1.9, 0.9), (1.7, 1.3)]
+    area = lambda p: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1]))) / 2
+    rows = ring("A", 0, outline) + ring("A", 1, hole) + ring("A", 2, island)
+    rows += ring("B", 0, outline[::-1]) + ring("B", 1, hole) + ring("B", 2, island[::-1])
+    rows += ring("thin", 0, [(0.5, 0.5), (3.5, 0.5), (3.5, 0.5001), (0.5, 0.5001)])
+    rows += ring("wide", 0, [(-9, -9), (9, -9), (9, 9), (-9, 9)])
+    rows += ring("left", 0, [(-5, 1), (1.5, 1), (-5, 3)])
+    rows += ring("away", 0, [(50, 50), (60, 50), (60, 60)])
+    edges = polygon_edges(spark.createDataFrame(rows, V))
+    total = dict(raster.coverage(edges, GRID).groupBy("poly_id").agg(F.sum("frac")).collect())
+    want = area(outline) - area(hole) + area(island)
+    assert total["A"] == pytest.approx(want, abs=1e-9) and total["B"] == pytest.approx(want, abs=1e-9)
+    assert total["thin"] == pytest.approx(3e-4, abs=1e-9) and total["wide"] == pytest.approx(16)
+    assert total["left"] == pytest.approx(1.5 * (1.5 / 6.5 * 2) / 2, abs=1e-9) and "away" not in total
+
+
 def test_zonal_ignores_missing_and_mask(spark):
     edges = edges_of(spark, square("A", 0.0, 0.0, 4.0))
     now = all_cells(lambda r, c: None if r == 0 else 10.0)
     cells = spark.createDataFrame(
         cell_rows(all_cells(lambda r, c: 5.0), 2023) + cell_rows(now, 2024), C
     )
-    z = raster.zonal(cells, raster.coverage(cells, edges, GRID, 2))
+    z = raster.zonal(cells, raster.coverage(edges, GRID))
     for min_prop, want in ((0.75, 10.0), (0.76, None)):
         got = {r.year: r for r in raster.mask_incomplete(z, 2024, min_prop).collect()}
         assert got[2023]["mean"] == 5.0 and got[2024]["mean"] == want

@@ -163,7 +163,7 @@ def test_prepare_keeps_to_the_scope(spark, world):
     assert classes(PLANTS) == {1, 3}
     assert classes(PLANTS, pheno_class_ids=(3,)) == {3}
     assert classes(PLANTS, pheno_class_ids=()) == {1, 3}
-    assert classes(PLANTS, period=("02-01", "02-20")) == set()
+    assert classes(PLANTS, period=("02-01", "02-19")) == set()
     assert classes(PLANTS, period=("02-20", "02-28")) == {1, 3}
     years = anomalies.prepare(raw, edges, elev, PLANTS.with_(year=2012)).select("year").distinct()
     assert sorted(r[0] for r in years.collect()) == [2009, 2010, 2011, 2012]
