@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafclock.functions import labels, stats
 from leafclock.operators.clean import flagged, sufficient
-from leafclock.operators.pool import neighbour_pool, pool_sizes
+from leafclock.operators.pool import PLACE, neighbour_pool, pool_days, pool_sizes
 from leafclock.params import Params
 
 
@@ -89,6 +89,15 @@ def panel_pool(flags: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def panel_days(flags: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
+    """Prior records behind each panel, by day: what its histogram needs."""
+    key = [*p.group_keys, *PLACE]
+    return (
+        flags.select(*key, "panel").join(pool_days(flags, prior, p), key)
+        .groupBy(p.phase_key, "panel", "first_yes").agg(F.sum("n").alias("n"))
+    )
+
+
 def panel_marks(flags: DataFrame, p: Params) -> DataFrame:
     """The current day to mark in each panel, told apart by label if outliers are shown."""
     eo = F.col("eo") if p.outliers_in_histogram else F.lit(None).cast("string")

@@ -249,12 +249,18 @@ def _summarize(keys: DataFrame, near: DataFrame, counts: DataFrame, p: Params) -
     return out.select("pool", "n_obs_r", stats.count_years(years).alias("n_yrs_r"), "min", *probs)
 
 
-def pool_summary(cur: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
-    """Per pool key: records, years, minimum and quantiles of its pool."""
+def pool_days(cur: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
+    """Per pool key: prior records by day, at most 366 rows; no prior row is listed."""
     prior = prior_of(prior, p)
     keys, counts = _pool_keys(cur, p), _day_counts(prior, p)
-    summary = _summarize(keys, _near_cells(keys, counts, p), counts, p)
-    return keys.select("pool", *p.group_keys, *PLACE).join(summary, "pool").drop("pool")
+
+    def roll(df, by):
+        return df.groupBy(*by, "first_yes").agg(F.sum("n").alias("n"))
+
+    near = _near_cells(keys, counts, p)
+    days = _reach(keys, near, counts, _moved_sites(counts, p), roll, ["first_yes", "n"], p)
+    days = roll(days, ["pool"])
+    return keys.select("pool", *p.group_keys, *PLACE).join(days, "pool").drop("pool")
 
 
 def _pool_individuals(

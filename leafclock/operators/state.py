@@ -74,3 +74,17 @@ def state_panels(prior: DataFrame, flags: DataFrame, p: Params) -> DataFrame:
     whole = rows.join(panels.drop("state"), p.group_keys).withColumn("group", F.lit("All"))
     own = rows.join(panels, state_keys(p)).withColumn("group", F.lit("State"))
     return with_state_labels(whole.unionByName(own), p)
+
+
+def state_panel_days(prior: DataFrame, flags: DataFrame, p: Params) -> DataFrame:
+    """The same as counts per day: (group, panel, phase, first_yes, n).
+
+    Prior rows shrink to counts first, so a hot species is not copied per flagged state.
+    """
+    panels = flags.select(*state_keys(p), "panel").distinct()
+    days = prior.groupBy(*state_keys(p), "first_yes").agg(F.count(F.lit(1)).alias("n"))
+    whole = days.groupBy(*p.group_keys, "first_yes").agg(F.sum("n").alias("n"))
+    columns = ["group", "panel", p.phase_key, "first_yes", "n"]
+    all_ = whole.join(panels.drop("state"), p.group_keys).withColumn("group", F.lit("All"))
+    own = days.join(panels, state_keys(p)).withColumn("group", F.lit("State"))
+    return all_.select(*columns).unionByName(own.select(*columns))

@@ -98,16 +98,18 @@ def summary_by(table: DataFrame, keys, species: bool = False) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, column: str, bins: int, keys=()) -> DataFrame:
+def histogram(df: DataFrame, column: str, bins: int, keys=(), weight: str | None = None) -> DataFrame:
     """Equal-width counts over the range of all panels; the last bin is closed.
 
+    Rows count once, or as often as ``weight`` says.
+
     Rows shrink to counts per value, which are written and read for both the range
     and the bins. The range is a scalar subquery, so no row is joined to it.
     """
     counts = (
         df.where(F.col(column).isNotNull())
         .groupBy(*keys, F.col(column).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
     )
     counts = staged(counts, "value-counts")
     rng = counts.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi"))).scalar()

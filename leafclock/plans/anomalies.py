@@ -54,8 +54,8 @@ def radius_report(cur: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
 
 def radius_histograms(flags: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
     """Histogram data behind each flagged row."""
-    panels = anomaly.panel_pool(staged(flags, "flags"), prior, p)
-    return summary.histogram(panels, "first_yes", p.bins, [p.phase_key, "panel"])
+    panels = anomaly.panel_days(staged(flags, "flags"), prior, p)
+    return summary.histogram(panels, "first_yes", p.bins, [p.phase_key, "panel"], "n")
 
 
 def state_anomalies(cur: DataFrame, prior: DataFrame, p: Params) -> DataFrame:

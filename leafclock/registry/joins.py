@@ -305,8 +305,24 @@ UNION ALL SELECT 'State', panel, count(*) FROM prior r
 def stack_panels(spark, sf_dir):
     cur, prior = cur_prior(spark, sf_dir)
     flags = state.flagged_in_state(state.compare_in_state(cur, prior, P))
-    rows = state.state_panels(prior, flags, P)
-    return rows.groupBy("group", "panel").agg(F.count(F.lit(1)).alias("n"))
+    days = state.state_panel_days(prior, flags, P)
+    return days.groupBy("group", "panel").agg(F.sum("n").alias("n"))
+
+
+@query(
+    "j15_state_panel_days",
+    STATE + """, panels AS (SELECT DISTINCT state, common_name, pheno_class_id, panel FROM sflags),
+both_ AS (SELECT 'All' AS "group", s.panel, r.pheno_class_id, r.first_yes FROM prior r
+  JOIN panels s USING (common_name, pheno_class_id)
+  UNION ALL SELECT 'State', s.panel, r.pheno_class_id, r.first_yes FROM prior r
+  JOIN panels s USING (state, common_name, pheno_class_id))
+SELECT *, count(*) AS n FROM both_ GROUP BY ALL""",
+)
+def state_panel_days(spark, sf_dir):
+    cur, prior = cur_prior(spark, sf_dir)
+    flags = state.flagged_in_state(state.compare_in_state(cur, prior, P))
+    days = state.state_panel_days(prior, flags, P)
+    return days.groupBy("group", "panel", "pheno_class_id", "first_yes").agg(F.sum("n").alias("n"))
 
 
 @query(

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from leafclock.functions import labels
 from leafclock.operators import clean, refresh, summary
-from leafclock.operators.anomaly import flagged_rows, panel_marks, panel_pool
+from leafclock.operators.anomaly import flagged_rows, panel_marks
+from leafclock.plans.anomalies import radius_histograms
 from leafclock.registry.base import query
 from leafclock.registry.flags import TABLE, eo_table
 from leafclock.registry.joins import compared, flags_and_prior
@@ -152,8 +153,7 @@ PANEL_ROWS_SQL = """panel_rows AS (SELECT f.pheno_class_id, f.panel, q.pf AS fir
 )
 def panel_histogram(spark, sf_dir):
     flags, prior = flags_and_prior(spark, sf_dir)
-    rows = panel_pool(flags, prior, P)
-    return summary.histogram(rows, "first_yes", P.bins, ["pheno_class_id", "panel"])
+    return radius_histograms(flags, prior, P)
 
 
 @query(
