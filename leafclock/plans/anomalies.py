@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from leafclock.operators import anomaly, clean, fill, pool, state, summary
+from leafclock.operators import anomaly, clean, fill, pool, refresh, state, summary
 from leafclock.params import Params
 from leafclock.sources.observations import in_period, scan_observations
 from leafclock.sources.scratch import staged
@@ -52,6 +52,20 @@ def radius_report(cur: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
     return anomaly.flag_table(radius_anomalies(cur, prior, p), p)
 
 
+def incremental_report(
+    raw: DataFrame, cache: str, edges: DataFrame, site_elev: DataFrame, p: Params, batch: str
+) -> DataFrame:
+    """Top up the cache of prior years, then compare the current year with it.
+
+    Only the current year is cleaned anew, and what the cache lacks.
+    """
+    cur = staged(prepare(raw, edges, site_elev, p, years=[p.year]), "current")
+    prior = refresh.refresh_prior(
+        raw.sparkSession, raw, cache, cur, edges, site_elev, p, batch
+    )
+    return radius_anomalies(cur, pool.restrict_to_current(prior, cur, p.group_keys), p)
+
+
 def radius_histograms(flags: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
     """Histogram data behind each flagged row."""
     panels = anomaly.panel_days(staged(flags, "flags"), prior, p)

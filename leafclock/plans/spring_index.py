@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafclock.operators import county, raster
+from leafclock.operators import county, raster, summary
 from leafclock.sources.scratch import staged
 
 
@@ -50,3 +50,38 @@ def county_ranks(
             "return_early": county.return_interval("n_earlier", n, inclusive),
         }
     )
+
+
+def output_table(long: DataFrame, year: int, n: int = 40, names=None) -> DataFrame:
+    """The last n years and the current one of one index, with FIPS codes.
+
+    Counties in rows with a column per year, or, if ``names`` lists counties, years in
+    rows with a column per county.
+    """
+    rows = county.with_fips(county.last_years(long, year, n))
+    if names is not None:
+        return county.to_wide_by_year(rows, names)
+    return county.to_wide(rows, range(year - n, year + 1), ["FIPS", *county.COUNTY])
+
+
+def point_history(
+    cells: DataFrame, points: DataFrame, grid: raster.CellGrid, keys, year: int, n: int = 40
+) -> DataFrame:
+    """At each point and index: current value, five numbers of the prior years, intervals.
+
+    A point has one value per year, so the percentiles see at most n values.
+    """
+    layers = raster.value_at(cells, points, grid).where(F.col("year").between(year - n, year))
+    now = F.max(F.when(F.col("year") == year, F.col("value")))
+    by = [*keys, "index"]
+    rows = layers.withColumn("currentyr", now.over(Window.partitionBy(*by)))
+    rows = rows.where(F.col("year") < year)
+    counts = rows.groupBy(*by, "currentyr").agg(
+        F.count_if(F.col("value") > F.col("currentyr")).alias("n_later"),
+        F.count_if(F.col("value") < F.col("currentyr")).alias("n_earlier"),
+    )
+    five = summary.five_numbers(rows, "value", by)
+    return counts.join(five, by).withColumns({
+        "return_late": county.return_interval("n_later", n),
+        "return_early": county.return_interval("n_earlier", n),
+    })

@@ -15,9 +15,9 @@ from leafclock.registry.grids import (
 )
 from leafclock.registry.joins import FILLED_SQL, STATE
 from leafclock.registry.standin import (
-    ANOMALY_CELLS_SQL, AUTUMN_COLUMNS, CLEAN_SQL, COUNTY_SQL, GRID, OBS_SQL, P, P_ANIMALS,
+    ANOMALY_CELLS_SQL, AUTUMN_COLUMNS, CELLS_SQL, CLEAN_SQL, COUNTY_SQL, GRID, OBS_SQL, P, P_ANIMALS,
     P_AUTUMN, PLANT_COLUMNS, PROJECTED_SQL, _case, anomaly_cells, chain, counties, cur_prior, edges,
-    first_sql, pool_sql, raw, raw_sql, site_elevation, split_sql, table,
+    first_sql, pool_sql, raw, raw_sql, site_elevation, split_sql, table, yearly_cells,
 )
 from leafclock.registry.grids import CLASS_SQL
 from leafclock.sources.scratch import scratch_dir, staged
@@ -57,6 +57,20 @@ def radius_from_raw(spark, sf_dir):
     )
 
 
+@query("g1_incremental", FILLED_POOL + f"SELECT {_FLAG_COLUMNS} FROM flags")
+def incremental(spark, sf_dir):
+    """A cache as of two years earlier for some species, topped up and compared with."""
+    path = scratch_dir(spark, "cache")
+    source = raw(spark, sf_dir, gaps=True)
+    shapes, elev = edges(spark, sf_dir), site_elevation(spark, sf_dir)
+    cur = staged(anomalies.prepare(source, shapes, elev, P, years=[P.year]), "current")
+    refresh_prior(spark, source, path, cur.where("species_id <= 4"), shapes, elev, P.with_(year=1999), "a")
+    return anomalies.incremental_report(source, path, shapes, elev, P, "b").select(
+        "id", "pheno_class_id", "site_id", "state", "elev", "first_yes", "min", "qearly",
+        "n_obs_r", "n_yrs_r", "early", "outlier", "panel", "eo",
+    )
+
+
 AUTUMN_POOL = chain(
     """late AS (SELECT * REPLACE (round_even(s_acctbal, 0) AS elev) FROM clean_all
   JOIN supplier ON s_suppkey = site_id WHERE phenophase_id = 498
@@ -99,6 +113,18 @@ def autumn_summary(spark, sf_dir):
     return summary.summary_by(table_, ["phenophase", "common_name"])
 
 
+@query(
+    "g1_autumn_by_state",
+    AUTUMN_POOL + """SELECT phenophase, state, count(DISTINCT common_name) AS n_species,
+  sum(early)::BIGINT AS n_early, sum(earliest)::BIGINT AS n_earliest,
+  sum(outlier)::BIGINT AS n_outlier, CAST(round_even(avg(n_yrs_r), 0) AS BIGINT) AS mn_n_yrs,
+  CAST(round_even(avg(n_obs_r), 0) AS BIGINT) AS mn_n_obs FROM flags GROUP BY ALL""",
+)
+def autumn_by_state(spark, sf_dir):
+    table_ = anomaly.flag_table(autumn_flags(spark, sf_dir), P_AUTUMN)
+    return summary.summary_by(table_, ["phenophase", "state"], species=True)
+
+
 ANIMAL_POOL = chain(
     CLEAN_SQL, FOLDED_SQL, ANIMAL_OBS, split_sql("phenophase_category"),
     pool_sql("phenophase_category", "site_id"),
@@ -201,6 +227,49 @@ def county_ranks(spark, sf_dir):
     return spring_index.county_ranks(county_long(spark, sf_dir), 2001, 6)
 
 
+_WIDE = ", ".join(
+    f'round(max(doy) FILTER ("year" = {y}), 6) AS doy_{y}' for y in range(1995, 2002)
+)
+
+
+@query(
+    "g3_output_table",
+    f"""WITH {LONG_SQL} SELECT concat(STATEFP, COUNTYFP) AS FIPS, STATEFP, COUNTYFP, state, county,
+  {_WIDE} FROM long WHERE "index" = 'bloom' GROUP BY ALL""",
+)
+def output_table(spark, sf_dir):
+    long = county_long(spark, sf_dir).where("index = 'bloom'")
+    return spring_index.output_table(long, 2001, 6)
+
+
+@query(
+    "g3_point_history",
+    f"""WITH {CELLS_SQL}, layers AS (SELECT s_suppkey, "index", "year", "value"
+  FROM (SELECT s_suppkey, -100 + ((s_suppkey * 61) % 100) * CAST(0.05 AS DOUBLE) AS px,
+    30 + ((s_suppkey * 37) % 100) * CAST(0.05 AS DOUBLE) AS py FROM supplier) p
+  JOIN cells ON "row" = CAST(floor((35.0 - py) / 0.125) AS INT)
+    AND col = CAST(floor((px + 100.0) / 0.125) AS INT)),
+now AS (SELECT s_suppkey, "index", "value" AS cur FROM layers WHERE "year" = 2001)
+SELECT s_suppkey, "index", round(cur, 6) AS currentyr, count(*) FILTER ("value" > cur) AS n_later,
+  count(*) FILTER ("value" < cur) AS n_earlier, round(min("value"), 6) AS "min",
+  round(quantile_cont("value", 0.25), 6) AS q25, round(quantile_cont("value", 0.5), 6) AS median,
+  round(avg("value"), 6) AS mean, round(quantile_cont("value", 0.75), 6) AS q75,
+  round(max("value"), 6) AS "max",
+  CASE WHEN count(*) FILTER ("value" > cur) > 0 THEN round(7.0 / count(*) FILTER ("value" > cur), 6) END
+    AS return_late,
+  CASE WHEN count(*) FILTER ("value" < cur) > 0 THEN round(7.0 / count(*) FILTER ("value" < cur), 6) END
+    AS return_early
+FROM layers LEFT JOIN now USING (s_suppkey, "index") WHERE "year" < 2001 GROUP BY s_suppkey, "index", cur""",
+)
+def point_history(spark, sf_dir):
+    s = F.col("s_suppkey")
+    points = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", (F.lit(-100) + ((s * 61) % 100) * 0.05).alias("lon"),
+        (F.lit(30) + ((s * 37) % 100) * 0.05).alias("lat"),
+    )
+    return spring_index.point_history(yearly_cells(spark, sf_dir), points, GRID, ["s_suppkey"], 2001, 6)
+
+
 GH_SQL = f"""WITH {raw_sql(True)}, gh AS (SELECT site_id, latitude AS lat, longitude AS lon,
   individual_id AS id, phenophase_description AS phenophase, common_name, pheno_class_id,
   NULLIF(elevation_in_meters, -9999) AS elev, NULLIF(state, '-9999') AS state,
