@@ -12,7 +12,7 @@ from leafclock.registry.standin import (
     NATION_YEARS_SQL, SITE_YEARS_SQL, YEARS, anomaly_cells, coarse_current, counties, edges,
     inside_sql, nation_years, site_years, table, yearly_cells,
 )
-from leafclock.sources.grids import read_cells, read_county_index
+from leafclock.sources.grids import read_cells, read_county_index, store_cells
 from leafclock.sources.scratch import scratch_dir
 from leafclock.sources.sinks import write_table
 
@@ -38,20 +38,22 @@ def county_csv(spark, sf_dir):
 @query(
     "s7_read_cells",
     f"""WITH {CELLS_SQL} SELECT "index", "year", "row", col, lon, lat,
-  round("value", 6) AS "value" FROM cells WHERE "index" = 'leaf'""",
+  round("value", 6) AS "value" FROM cells""",
 )
 def cells_csv(spark, sf_dir):
-    """Writes one folder of yearly files plus one the reader must skip."""
-    path = scratch_dir(spark, "cells")
-    leaf = yearly_cells(spark, sf_dir).where("index = 'leaf'")
-    columns = schemas.CELLS.fieldNames()
-    # The reader takes the year from the file name, so files are named here through
-    # the partition folder and moved to it by name.
-    named = F.concat(F.col("year").cast("string"), F.lit("_si-x_leaf.csv"))
-    tagged = leaf.withColumn("name", named).select("name", *columns)
-    ncep = leaf.where("year = 2001").withColumn("name", F.lit("ncep_20010101_si-x_leaf.csv"))
-    write_named_csv(spark, tagged.unionByName(ncep.select("name", *columns)), path)
-    return read_cells(spark, path, "leaf")
+    """Writes a folder of yearly files per index, each with one file the reader must skip."""
+    columns, read = schemas.CELLS.fieldNames(), []
+    for index in ("leaf", "bloom"):
+        path = scratch_dir(spark, f"cells-{index}")
+        own = yearly_cells(spark, sf_dir).where(F.col("index") == index)
+        # The reader takes the year from the file name, so files are named here through
+        # the partition folder and moved to it by name.
+        named = F.concat(F.col("year").cast("string"), F.lit(f"_si-x_{index}.csv"))
+        tagged = own.withColumn("name", named).select("name", *columns)
+        ncep = own.where("year = 2001").withColumn("name", F.lit(f"ncep_20010101_si-x_{index}.csv"))
+        write_named_csv(spark, tagged.unionByName(ncep.select("name", *columns)), path)
+        read.append(read_cells(spark, path, index))
+    return store_cells(read[0].unionByName(read[1]), scratch_dir(spark, "cells"))
 
 
 def write_named_csv(spark, df, path):
@@ -67,7 +69,8 @@ def write_named_csv(spark, df, path):
     fs.mkdirs(fs_api.Path(path))
     for status in fs.globStatus(fs_api.Path(root, "name=*/part-*")):
         folder = status.getPath().getParent().getName()
-        fs.rename(status.getPath(), fs_api.Path(path, folder.split("=", 1)[1]))
+        if not fs.rename(status.getPath(), fs_api.Path(path, folder.split("=", 1)[1])):
+            raise OSError(f"a second file named {folder}")
 
 
 @query(

@@ -28,6 +28,16 @@ def read_cells(spark: SparkSession, path: str, index: str) -> DataFrame:
     )
 
 
+def store_cells(cells: DataFrame, path: str) -> DataFrame:
+    """The cell table as Parquet in a folder per index and year, and read back.
+
+    A filter on index or year then opens only those folders; file names of yearly grids
+    are looked at once, when they come in.
+    """
+    cells.hint("rebalance", "index", "year").write.partitionBy("index", "year").parquet(path)
+    return cells.sparkSession.read.parquet(path).select(*cells.columns)
+
+
 def polygon_edges(vertices: DataFrame) -> DataFrame:
     """Ring vertices -> directed edges; the last vertex closes the ring.
 

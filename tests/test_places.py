@@ -183,3 +183,35 @@ def test_read_cells_by_file_name(spark, rows, tmp_path):
         (tmp_path / name).write_text(f"row,col,lon,lat,value\n0,1,-99.5,30.5,{v}\n")
     assert rows(read_cells(spark, str(tmp_path), "leaf"), "index", "year", "value") == [
         ("leaf", 1999, 4.5), ("leaf", 2000, None)]
+
+
+def test_stored_cells_open_only_their_years(spark, rows, tmp_path):
+    from leafclock.sources.grids import store_cells
+
+    cells = spark.createDataFrame(
+        cell_rows({(0, 0): 1.0, (1, 2): None}, 2023) + cell_rows({(0, 0): 3.0}, 2024), C)
+    out = store_cells(cells, str(tmp_path / "cells"))
+    assert rows(out) == rows(cells)
+    plan = out.where("year = 2024 AND index = 'leaf'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "(year" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_polygons_and_layers_from_files(spark, rows, tmp_path):
+    from leafclock.sources import observations
+    from leafclock.sources.grids import read_polygon_edges
+
+    spark.createDataFrame(square("A", 0, 0) + square("B", 2, 2, 3.0, ring=1), V).write.csv(
+        str(tmp_path / "v"), header=True)
+    assert rows(read_polygon_edges(spark, str(tmp_path / "v"))) == rows(
+        edges_of(spark, square("A", 0, 0), square("B", 2, 2, 3.0, ring=1)))
+    (tmp_path / "layers.csv").write_text("name,title,abstract,dimension_name\nx:a,A,NA,time\nx:b,B,t,NA\n")
+    layers = observations.read_dimension(spark, str(tmp_path / "layers.csv"), "layers")
+    assert rows(observations.layer_details(layers, "x:a")) == [("x:a", "A", None, "time")]
+    (tmp_path / "classes.csv").write_text("id,name\n3,leaves\n")
+    assert rows(observations.read_dimension(spark, str(tmp_path / "classes.csv"), "phase_classes")) == [(3, "leaves")]
+
+
+def test_geometric_joins_place_no_exchange_by_hand(spark):
+    points = spark.createDataFrame([(0.5, 0.5)], "x double, y double")
+    plan = locate.locate_points(points, edges_of(spark, square("A", 0, 0)))
+    assert "REPARTITION" not in plan._jdf.queryExecution().executedPlan().toString()
