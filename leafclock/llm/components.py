@@ -18,17 +18,18 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star (a node hands its smallest neighbour to its larger ones) and
     small-star (to its smaller ones) until nothing changes, in O(log n) rounds or so. Only
     minima are taken of a node's neighbours, so a node with very many links is no burden.
-    Every round is written and read back.
+    Every round is written and read back, and so are the minima, so that the join with a
+    hot node's links can broadcast them or split that node.
     """
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = staged(links.where("a <> b").select(u, v).distinct(), "links")
     before = _print(edges)
     while before[0]:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = staged(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = staged(small.union(least).distinct(), "small-star")
         after = _print(edges)

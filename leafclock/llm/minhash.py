@@ -13,7 +13,8 @@
 4. Components come from alternating stars over the links.
 
 A hub with very many members is dealt to many (hub, block) tasks; copies were merged in
-step 1. A pair at the threshold shares no bucket with a chance of (1 - t^rows)^bands,
+step 1. What a join looks up for a hot key is written first, so that it is broadcast if it is
+short, and else the hot side can be split. A pair at the threshold shares no bucket with a chance of (1 - t^rows)^bands,
 7e-9 at t = 0.85 with the defaults; nothing else is approximate but ``miss``.
 
 Defined results: null and empty texts, and texts without words, have no shingles and are
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafclock.llm.common import WordHashes, over_batches, texts, with_column
+from leafclock.llm.common import WordHashes, map_batches, over_batches, texts, with_column
 from leafclock.llm.components import components
 from leafclock.llm.shingles import MinHash, least_matches, sequential, set_id, shingle_set
 from leafclock.sources.scratch import staged
@@ -60,7 +61,7 @@ def _buckets(classes: DataFrame, bands: int, rows: int) -> DataFrame:
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * (4 * rows) + 1, F.lit(4 * rows))))
     spread = classes.select("cid", F.explode(bits).alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = staged(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     return staged(spread.join(shared, "key"), "buckets")
 
 
@@ -150,7 +151,7 @@ def _hub_links(star: DataFrame, sets: DataFrame, rule: list, percent: int, block
                         pa.array(near, pa.bool_())], ["hub", "cid", "near"])
 
     rows = _dealt(members.union(hubs).join(sets, "cid"), "hub", "part")
-    return rows.mapInArrow(run, "hub long, cid long, near boolean")
+    return map_batches(rows, run, "hub long, cid long, near boolean")
 
 
 def _block_links(tried: DataFrame, roots: DataFrame, sets: DataFrame, rule: list, percent: int, block: int) -> DataFrame:
@@ -161,6 +162,7 @@ def _block_links(tried: DataFrame, roots: DataFrame, sets: DataFrame, rule: list
     open_hubs = placed.groupBy("hub").agg(
         F.count("*").alias("m"), F.count_if(~F.col("near")).alias("q"),
         F.min("root").alias("low"), F.max("root").alias("high")).where("q > 0 and m > 1 and low < high")
+    open_hubs = staged(open_hubs, "open-hubs")
     placed = placed.join(open_hubs.select("hub", "m", "q"), "hub")
     parts = F.ceil(F.col("m") / block).cast("int")
     blocks = F.ceil(F.col("q") / block).cast("int")
@@ -210,7 +212,7 @@ def _block_links(tried: DataFrame, roots: DataFrame, sets: DataFrame, rule: list
                     [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     rows = _dealt(asking.union(asked).join(sets, "cid"), "hub", "block", "part")
-    return rows.mapInArrow(run, "a long, b long")
+    return map_batches(rows, run, "a long, b long")
 
 
 def _classes(docs: DataFrame, width: int, percent: int, bands: int, rows: int, batch: int, miss: float,
@@ -224,9 +226,9 @@ def _classes(docs: DataFrame, width: int, percent: int, bands: int, rows: int, b
     shared = _buckets(classes, bands, rows)
     degree = shared.groupBy("cid").agg(F.sum("n").alias("degree"))
     placed = shared.join(degree, "cid")
-    hubs = placed.groupBy("key").agg(F.max(F.struct("degree", "cid"))["cid"].alias("hub"))
+    hubs = staged(placed.groupBy("key").agg(F.max(F.struct("degree", "cid"))["cid"].alias("hub")), "hubs")
     star = staged(shared.join(hubs, "key").where("cid <> hub").select("hub", "cid").distinct(), "stars")
-    star = star.join(star.groupBy("hub").agg(F.count("*").alias("m")), "hub")
+    star = star.join(staged(star.groupBy("hub").agg(F.count("*").alias("m")), "hub-sizes"), "hub")
 
     wanted = classes.join(degree.select("cid"), "cid").select("cid", F.col("rep").alias("doc_id"), "sig")
     sets = staged(_sets(docs, wanted, width), "sets")
