@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from leafclock.llm.common import over_batches
 from leafclock.llm.url_filter import host_and_path
+from leafclock.sources.scratch import staged
 
 _MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
@@ -213,7 +214,9 @@ def extract(pages: DataFrame, **how) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    joined = rows.join(templates(rows.select("host", "html"), **how), "host", "left")
+    # Written, so that its size is known: broadcast if short, else joined with hot hosts split.
+    known = staged(templates(rows.select("host", "html"), **how), "templates")
+    joined = rows.join(known, "host", "left")
     kept: dict[tuple, frozenset] = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
