@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafclock.llm.common import over_batches
+from leafclock.llm.common import map_batches, over_batches
 from leafclock.sources.scratch import staged
 
 
@@ -178,7 +178,7 @@ def _nearest(asking: DataFrame, points: DataFrame, k: int, block: int, kind: np.
         if queries:
             yield results()
 
-    return both.mapInArrow(run, "query_id long, vec_id long, score double")
+    return map_batches(both, run, "query_id long, vec_id long, score double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

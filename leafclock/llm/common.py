@@ -38,21 +38,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+def map_batches(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` with batches of about 8 MB.
+
+    Spark's own limit is a number of rows, which for long texts makes batches that fill
+    the memory beside the heap. The limit in bytes is a setting of the session.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df.mapInArrow(fn, schema)
+
+
 def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType,
-                 slice_bytes: int = 8 << 20) -> DataFrame:
+                 slice_bytes: int = 8 << 20, gather: int = 0) -> DataFrame:
     """``fn`` over the rows in Arrow batches of about ``slice_bytes``; ``schema`` names what it returns.
 
+    Of short rows, ``gather`` can ask for more than Spark's own batches hold.
+
     A batch that is larger is handed over in slices, so a worker's memory follows the
     slice, or the longest row where that is more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, slice_bytes):
+        for part in slices(gathered(batches, gather) if gather else batches, slice_bytes):
             out = fn(part)
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -75,6 +87,19 @@ def with_column(df: DataFrame, name: str, kind: str, fn: Callable[[list[bytes]],
     return over_batches(df, run, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Short batches put together to about ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The column as UTF-8 bytes; null becomes empty."""
     return [t or b"" for t in batch.column(name).cast(pa.binary()).to_pylist()]
@@ -83,7 +108,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept for those seen lately in this worker."""
 
-    def __init__(self, keep: int = 400_000):
+    def __init__(self, keep: int = 200_000):
         self.keep = keep
 
     def __missing__(self, word: bytes) -> int:

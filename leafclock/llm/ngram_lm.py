@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafclock.llm.arrays import by_part, find, load, pack, save, summed, unpack
-from leafclock.llm.common import WordHashes, fold, mix, over_batches, slices, texts
+from leafclock.llm.common import WordHashes, fold, map_batches, mix, over_batches, slices, texts
 from leafclock.sources.scratch import scratch_dir, staged
 
 #: No word has a blank in it.
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, *, part_tokens: int = 4_000_000, flush: int = 3_000_000
         return pa.table({"part": [part], "n": [len(keys)], "tokens": [int(counts.sum())]})
 
     packed = "part int, keys binary, counts binary"
-    got = docs.mapInArrow(count_words, packed).groupBy("part").applyInArrow(
+    got = map_batches(docs, count_words, packed).groupBy("part").applyInArrow(
         save_words, "part long, n long, tokens long").collect()
     sizes = [0] * (1 << word_bits)
     for r in got:
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, *, part_tokens: int = 4_000_000, flush: int = 3_000_000
             pa.array([*([None] * len(rows)), meta], pa.list_(pa.int64())),
         ], names=["block", "ids", "n1", "n2", "n3", "closed", "meta"])
 
-    opened = staged(docs.mapInArrow(count_pairs, packed).groupBy("part").applyInArrow(
+    opened = staged(map_batches(docs, count_pairs, packed).groupBy("part").applyInArrow(
         save_pairs, "block int, ids binary, n1 binary, n2 binary, n3 binary, closed binary, meta array<long>"), "pairs")
     meta = opened.where("block < 0").agg(*(F.sum(F.col("meta")[k]) for k in range(5))).first()
     pairs, *of_pairs = (int(x or 0) for x in meta)

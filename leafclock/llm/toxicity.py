@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafclock.llm.common import WordHashes, fold, labelled_sample, mix, pair, texts, with_column
+from leafclock.llm.common import WordHashes, fold, labelled_sample, map_batches, mix, pair, texts, with_column
 
 #: ASCII letters and digits, lower-cased, and all bytes of other characters; else a space.
 _LETTERS = bytes(
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, max_rows: i
             [pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w[at], state.bias()))], ["i", "w"])
 
     stream = rows.repartition(1).sortWithinPartitions("draw", "doc_id", "text")
-    got = stream.mapInArrow(learn, "i long, w double").toArrow()
+    got = map_batches(stream, learn, "i long, w double").toArrow()
     i, w = got["i"].to_numpy(), got["w"].to_numpy()
     return Model(i[i >= 0], w[i >= 0], float(w[i < 0].sum()), bits)
 
