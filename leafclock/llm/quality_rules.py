@@ -3,22 +3,23 @@
 Base rules count words, repeats and symbols. What passes them is judged by an interpolated
 modified Kneser-Ney model over the characters (bytes) of words, ``order`` at a time, each
 word between start marks and an end mark, so a word's probability does not depend on its
-neighbours and every distinct word of a slice is scored once.
+neighbours.
 
-Spark counts twice. First the words of all documents make a
-model for each language; it gives every document a perplexity. Then the words of the
-documents within ``trim`` deviations of their language's median, the unremarkable ones,
-make the final models: one for each language and one for all together (``pool``). A word
-counts with its language's probability or, where that is more, with the pool's divided by
+Spark counts the words of all documents, and apart from them those of reference documents:
+running prose by its characters alone, with few symbols, capitals and repeats. The latter
+make one model for each language and one for all together (the pool). A word counts with
+its language's probability or, where that is more, with the pool's divided by
 ``e ** foreign``, so passages in another known language stay cheap and garbage does not.
 
 A document is kept if its log perplexity lies within ``width`` deviations of the median of
 its language, lower and upper; deviations are median absolute ones times 1.4826. For texts
 of few characters the band is wider, by sqrt(1 + short / characters).
 
-The models are rows (model, gram, value) made by joins and aggregations, dealt by hash and
-saved as sorted hash arrays in the shared folder; workers map them into memory. A value is
-the discounted share of a gram, or the weight that a context leaves to shorter ones.
+The models are rows (language, gram, value) made by joins and aggregations, dealt by hash
+and saved as sorted hash arrays in the shared folder: a value is the discounted share of a
+gram, or the weight that a context leaves to shorter ones. With them every distinct word of
+the corpus is scored once, and saved in the same form. Workers map the arrays into memory;
+a document is a sum of look-ups.
 
 Defined results: a null text has no words; without words or with too few the base rule fails; a
 null language is a language of its own; repeated rows are judged alike; a language none of
@@ -28,8 +29,11 @@ ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +41,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafclock.llm.arrays import by_part, find, load, save
-from leafclock.llm.common import WordHashes, over_batches, pair, texts
-from leafclock.llm.ngram_lm import discounts
+from leafclock.llm.arrays import by_part, find, load, save, summed
+from leafclock.llm.common import map_batches, mix, over_batches, pair, slices, texts
+from leafclock.llm.ngram_lm import discounts, top
 from leafclock.sources.scratch import scratch_dir, staged
 
 #: Symbols that the base rules count.
@@ -52,33 +56,56 @@ START, END = b"\t", b"\n"
 _WINDOW = 5
 
 
-def _repeats(words: list[bytes], hashes: WordHashes) -> int:
-    """Words in windows of five that the text has twice or more, the first included."""
-    n = len(words) - _WINDOW + 1
-    if n < 2:
-        return 0
-    h = hashes.of(words)
-    code = h[:n]
+#: Every byte but those that continue a UTF-8 character.
+_STARTS = bytes(b for b in range(256) if b & 0xC0 != 0x80)
+
+
+class _Numbers(dict):
+    """Numbers words in the order of their coming."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def repeated_words(lists: list[list[bytes]]) -> list[int]:
+    """Of each text, the words in windows of five that it has twice or more, the first included."""
+    number = _Numbers()
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    h = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.uint64, int(n.sum()))
+    code = mix(h[:max(0, len(h) - _WINDOW + 1)])
     for k in range(1, _WINDOW):
-        code = pair(code, h[k:n + k])
-    _, at, count = np.unique(code, return_inverse=True, return_counts=True)
-    starts = np.flatnonzero(count[at] > 1)
-    mark = np.zeros(len(words) + 1, np.int64)
-    mark[starts] += 1
-    mark[starts + _WINDOW] -= 1
-    return int((np.cumsum(mark[:-1]) > 0).sum())
+        code = pair(code, h[k:k + len(code)])
+    out, start = [], 0
+    for size in n.tolist():
+        own = code[start:start + max(0, size - _WINDOW + 1)]
+        start += size
+        ranked = np.sort(own)
+        if len(own) < 2 or not (ranked[1:] == ranked[:-1]).any():
+            out.append(0)
+            continue
+        _, at, count = np.unique(own, return_inverse=True, return_counts=True)
+        starts = np.flatnonzero(count[at] > 1)
+        mark = np.zeros(size + 1, np.int64)
+        mark[starts] += 1
+        mark[starts + _WINDOW] -= 1
+        out.append(int((np.cumsum(mark[:-1]) > 0).sum()))
+    return out
 
 
 def _dup_lines(text: bytes) -> int:
-    lines = [x for x in text.split(b"\n") if x.split()]
+    lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     return len(lines) - len(set(lines))
 
 
-def measures(text: bytes, words: list[bytes], hashes: WordHashes) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
-    joined = b"".join(words)
-    chars = len(joined) - int(((np.frombuffer(joined, np.uint8) & 0xC0) == 0x80).sum())
-    return len(words), chars, len(text.translate(None, _OTHERS)), _dup_lines(text), _repeats(words, hashes)
+def measures(batch: list[bytes], lists: list[list[bytes]]) -> np.ndarray:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of whole texts, a row each."""
+    rows = [
+        (len(words), sum(map(len, words)) - len(text.translate(None, _STARTS)), len(text.translate(None, _OTHERS)),
+         _dup_lines(text), repeats)
+        for text, words, repeats in zip(batch, lists, repeated_words(lists))
+    ]
+    return np.array(rows, np.int64).reshape(-1, 5)
 
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -97,209 +124,267 @@ def _lang() -> Column:
     return F.coalesce(F.concat(F.lit("="), "lang"), F.lit("?"))
 
 
-def word_counts(rows: DataFrame, chosen=None, keep: int = 400_000) -> DataFrame:
-    """(lang, word, n) over rows (lang, text), or those whose (lang, words) ``chosen`` accepts."""
+_UPPER = bytes(range(0x41, 0x5B))
+_NOT_UPPER = bytes(b for b in range(256) if b not in _UPPER)
+
+
+def is_reference(text: bytes, words: list[bytes]) -> bool:
+    """Whether a text may teach the models: running prose by its characters alone.
+
+    At most 1 % of its characters are symbols and 30 % capitals, and at most a tenth of
+    its words repeat the word before.
+    """
+    size = sum(map(len, words))
+    return (
+        100 * len(text.translate(None, _OTHERS)) <= size
+        and 10 * len(text.translate(None, _NOT_UPPER)) <= 3 * size
+        and 10 * sum(map(eq, words, words[1:])) <= len(words)
+    )
+
+
+def word_counts(rows: DataFrame, keep: int = 200_000) -> DataFrame:
+    """(lang, word, n, reference) over rows (lang, text): all counts, and those in reference texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[bytes, int]] = {}
+        held: dict[tuple[str, bool], Counter] = {}
 
         def emit():
-            langs = [lang for lang, d in held.items() for _ in d]
-            return pa.RecordBatch.from_arrays([
-                pa.array(langs, pa.string()), pa.array([w for d in held.values() for w in d], pa.binary()),
-                pa.array([n for d in held.values() for n in d.values()], pa.int64())], ["lang", "word", "n"])
-
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), texts(batch)):
+            langs = pa.array([lang for (lang, _), d in held.items() for _ in d], pa.string())
+            words = pa.array([w for d in held.values() for w in d], pa.binary())
+            n = pa.array([n for d in held.values() for n in d.values()], pa.int64())
+            known = pa.array([n * ref for (_, ref), d in held.items() for n in d.values()], pa.int64())
+            held.clear()
+            return pa.RecordBatch.from_arrays([langs, words, n, known], ["lang", "word", "n", "reference"])
+
+        for part in slices(batches):
+            for lang, text in zip(part.column("lang").to_pylist(), texts(part)):
                 words = text.split()
-                if chosen is not None and not chosen(lang, words):
-                    continue
-                own = held.setdefault(lang, {})
-                for w in words:
-                    own[w] = own.get(w, 0) + 1
+                held.setdefault((lang, is_reference(text, words)), Counter()).update(words)
                 if sum(map(len, held.values())) > keep:
                     yield emit()
-                    held.clear()
         if any(held.values()):
             yield emit()
 
-    return rows.select("lang", "text").mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(
-        F.sum("n").alias("n"))
+    counted = map_batches(rows.select("lang", "text"), run, "lang string, word binary, n long, reference long")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("reference").alias("reference"))
+
+
+def _seed(*of) -> np.uint64:
+    return np.uint64(xxhash.xxh3_64_intdigest(repr(of).encode()))
+
+
+def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every byte of the words and their end marks with the ``order`` - 1 before it, as numbers, and the words' ends."""
+    data = np.frombuffer(b"".join(START * (order - 1) + w + END for w in words), np.uint8).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    starts = np.cumsum(lengths + order - 1) - lengths
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    code = np.zeros(len(at), np.uint64)
+    for k in range(order - 1, -1, -1):
+        code = (code << np.uint64(8)) | data[at - k]
+    return code, np.cumsum(lengths)
 
 
 @dataclass(frozen=True)
-class Model:
+class Table:
+    """Saved sorted hash arrays: keys and values in 2 ** bits parts."""
+
     folder: str
-    order: int
     bits: int
-    sizes: tuple[tuple[int, ...], ...]  # entries of the parts of shares and of contexts
-    pool: bool
+    sizes: tuple[int, ...]
+
+
+class _Reader:
+    """Maps a table."""
 
+    def __init__(self, t: Table):
+        self.bits = t.bits
+        self.parts = [
+            (load(f"{t.folder}/key-{p}", np.uint64), load(f"{t.folder}/value-{p}", np.float32)) if n else None
+            for p, n in enumerate(t.sizes)]
 
-def fit(words: DataFrame, order: int, pool: bool, bits: int = 4) -> Model:
-    """Character models from (lang, word, n), saved as sorted arrays in the shared folder.
+    def get(self, keys: np.ndarray, missing: float) -> np.ndarray:
+        out = np.full(len(keys), missing)
+        for p, i in by_part(top(keys, self.bits)):
+            if self.parts[p] is not None:
+                held, values = self.parts[p]
+                at, known = find(held, keys[i])
+                out[i[known]] = values[at[known]]
+        return out
+
+
+_readers: dict[str, _Reader] = {}
+
+
+def _reader(t: Table) -> _Reader:
+    """A few tables stay open in a worker."""
+    if t.folder not in _readers:
+        if len(_readers) > 3:
+            _readers.clear()
+        _readers[t.folder] = _Reader(t)
+    return _readers[t.folder]
+
+
+def _saved(rows: DataFrame, keyed, bits: int, gather: int = 200_000) -> Table:
+    """Saves (key, value) that ``keyed`` makes of every batch of rows."""
+    folder = scratch_dir(rows.sparkSession, "table")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, values = keyed(batch)
+        return pa.RecordBatch.from_arrays([
+            pa.array(top(keys, bits).astype(np.int32)), pa.array(keys.view(np.int64)),
+            pa.array(values.astype(np.float32))], ["part", "key", "value"])
+
+    def store(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys, values = table["key"].to_numpy().view(np.uint64), table["value"].to_numpy()
+        order, part = np.argsort(keys), key[0].as_py()
+        save(f"{folder}/key-{part}", keys[order])
+        save(f"{folder}/value-{part}", values[order])
+        return pa.table({"part": pa.array([part], pa.int32()), "n": [len(keys)]})
+
+    got = over_batches(rows, run, "part int, key long, value float", gather=gather).groupBy("part").applyInArrow(store, "part int, n long").collect()
+    sizes = [0] * (1 << bits)
+    for r in got:
+        sizes[r.part] = r.n
+    return Table(folder, bits, tuple(sizes))
+
+
+def _gram_keys(lang: str, kind: str, k: int, code: np.ndarray) -> np.ndarray:
+    return mix(code ^ _seed(lang, kind, k))
+
+
+def fit(words: DataFrame, order: int, pool: bool, bits: int = 4) -> Table:
+    """Character models from (lang, word, n), one for each language and with ``pool`` one for all.
 
     Highest-order grams count by the words' counts, shorter ones by the different
-    characters before them. ``bits`` sets the number of parts, 2 ** bits, of each table.
+    characters before them. The table has, for every gram, its discounted share, and for
+    every context the weight that is left to shorter ones.
     """
     spark = words.sparkSession
 
-    def grams(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total: dict[tuple[str, bytes], int] = {}
-        for lang, w, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n"))):
-            s = START * (order - 1) + w + END
-            for i in range(len(w) + 1):
-                k = lang, s[i:i + order]
-                total[k] = total.get(k, 0) + n
-        return pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.binary()),
-            pa.array(list(total.values()), pa.int64())], ["lang", "gram", "n"])
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        words, n = np.array(batch.column("word").to_pylist(), object), batch.column("n").to_numpy()
+        out = []
+        for lang in set(langs):
+            own = langs == lang
+            code, ends = grams(words[own].tolist(), order)
+            code, total = summed(code, np.repeat(n[own], np.diff(ends, prepend=0)))
+            out.append((pa.array([lang] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(total)))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*out)], ["lang", "gram", "n"])
 
-    full = over_batches(words, grams, "lang string, gram binary, n long")
+    full = over_batches(words, count, "lang string, gram long, n long", gather=100_000)
     if pool:
         full = full.union(full.select(F.lit(POOL), "gram", "n"))
     level = staged(full.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    shares, contexts = [], []
+    entries = []
     for k in range(order, 0, -1):
         if k < order:
-            level = staged(level.groupBy("lang", F.expr(f"substring(gram, 2, {k})").alias("gram")).agg(
+            level = staged(level.groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(
                 F.count("*").alias("n")), "grams")
         of = level.groupBy("lang").agg(*(F.count_if(F.col("n") == i).alias(f"k{i}") for i in (1, 2, 3, 4))).collect()
         # One row of three numbers for each language.
         d = spark.createDataFrame(
             [(r.lang, *discounts([r.k1, r.k2, r.k3, r.k4])) for r in of] or [("", 0.0, 0.0, 0.0)],
             "lang string, d1 double, d2 double, d3 double").coalesce(1)
-        context = F.expr(f"substring(gram, 1, {k - 1})")
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = level.join(d, "lang").select("lang", "gram", context.alias("context"), "n", cut.alias("cut"))
+        rows = level.join(d, "lang").select("lang", "gram", F.shiftrightunsigned("gram", 8).alias("context"), "n", cut.alias("cut"))
         sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
-        shares.append(rows.join(sums, ["lang", "context"]).select(
-            "lang", "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("value")))
-        contexts.append(sums.select("lang", F.col("context").alias("gram"), (F.col("left") / F.col("total")).alias("value")))
-    folder = scratch_dir(spark, "characters")
-    sizes = []
-    for name, parts in (("share", shares), ("context", contexts)):
-        rows = parts[0]
-        for p in parts[1:]:
-            rows = rows.union(p)
-        rows = rows.select(F.xxhash64("lang", "gram").alias("key"), F.col("value"))
-        part = F.shiftrightunsigned("key", 64 - bits).cast("int")
-        got = rows.withColumn("part", part).groupBy("part").applyInArrow(
-            _saver(folder, name), "part int, n long").collect()
-        size = [0] * (1 << bits)
-        for r in got:
-            size[r.part] = r.n
-        sizes.append(tuple(size))
-    return Model(folder, order, bits, tuple(sizes), pool)
-
-
-def _saver(folder: str, name: str):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, values = table["key"].to_numpy().view(np.uint64), table["value"].to_numpy()
-        order = np.argsort(keys)
-        part = key[0].as_py()
-        save(f"{folder}/{name}-{part}", keys[order])
-        save(f"{folder}/{name}-value-{part}", values[order].astype(np.float32))
-        return pa.table({"part": pa.array([part], pa.int32()), "n": [len(keys)]})
-
-    return run
+        entries.append(rows.join(sums, ["lang", "context"]).select(
+            "lang", F.lit("share").alias("kind"), F.lit(k).alias("k"), "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("value")))
+        entries.append(sums.select("lang", F.lit("context").alias("kind"), F.lit(k).alias("k"), F.col("context").alias("gram"),
+                                   (F.col("left") / F.col("total")).alias("value")))
+    rows = entries[0]
+    for e in entries[1:]:
+        rows = rows.union(e)
+
+    def keyed(batch: pa.RecordBatch):
+        code = batch.column("gram").to_numpy().view(np.uint64)
+        keys, of = np.empty(len(code), np.uint64), {}
+        for i, x in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "kind", "k")))):
+            of.setdefault(x, []).append(i)
+        for x, i in of.items():
+            keys[i] = _gram_keys(*x, code[i])
+        return keys, batch.column("value").to_numpy()
+
+    return _saved(rows, keyed, bits)
+
+
+def _word_scores(reader: _Reader, lang: str, code: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
+    """Log probabilities of words given by their grams."""
+    distinct, at = np.unique(code, return_inverse=True)
+    p = np.full(len(distinct), 1 / 257)
+    for k in range(1, order + 1):
+        gram = distinct & np.uint64((1 << 8 * k) - 1)
+        p = reader.get(_gram_keys(lang, "share", k, gram), 0.0) + reader.get(
+            _gram_keys(lang, "context", k, gram >> np.uint64(8)), 1.0) * p
+    return np.add.reduceat(np.log(p)[at], np.concatenate([[0], ends[:-1]]))
+
+
+def word_table(words: DataFrame, model: Table, order: int, pool: bool, foreign: float) -> Table:
+    """The log probability of every word of (lang, word)."""
+
+    def keyed(batch: pa.RecordBatch):
+        langs, words = np.array(batch.column("lang").to_pylist(), object), np.array(batch.column("word").to_pylist(), object)
+        keys, values = np.empty(len(langs), np.uint64), np.empty(len(langs))
+        for lang in set(langs):
+            own = np.flatnonzero(langs == lang)
+            code, ends = grams(words[own].tolist(), order)
+            v = _word_scores(_reader(model), lang, code, ends, order)
+            if pool:
+                v = np.maximum(v, _word_scores(_reader(model), POOL, code, ends, order) - foreign)
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words[own]), np.uint64, len(own))
+            keys[own], values[own] = mix(hashes ^ _seed(lang)), v
+        return keys, values
 
+    # About a quarter of a million words a part.
+    return _saved(words.select("lang", "word"), keyed, max(0, (words.count() >> 18).bit_length()))
 
-class _Scorer:
-    """Maps a model's arrays; keeps log probabilities of grams and words seen lately."""
 
-    def __init__(self, m: Model, foreign: float, keep: int = 300_000):
-        self.m, self.foreign, self.keep = m, foreign, keep
-        self.tables = [
-            [(load(f"{m.folder}/{name}-{p}", np.uint64), load(f"{m.folder}/{name}-value-{p}", np.float32)) if n else None
-             for p, n in enumerate(sizes)]
-            for name, sizes in zip(("share", "context"), m.sizes)]
-        self.grams: dict[str, dict[bytes, float]] = {}
-        self.words: dict[str, dict[bytes, float]] = {}
+def _chars(words: list[bytes]) -> int:
+    """Bytes of the words and their end marks: what the model scores."""
+    return sum(map(len, words)) + len(words)
 
-    def _look(self, table: int, keys: np.ndarray, missing: float) -> np.ndarray:
-        out = np.full(len(keys), missing)
-        for p, i in by_part((keys >> np.uint64(64 - self.m.bits)).astype(np.int64)):
-            if self.tables[table][p] is not None:
-                held, values = self.tables[table][p]
-                at, known = find(held, keys[i])
-                out[i[known]] = values[at[known]]
-        return out
 
-    def _learn(self, lang: str, grams: list[bytes]) -> None:
-        """Log probabilities of the last byte of each gram after the others."""
-        seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-        key = lambda gs: np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in gs), np.uint64, len(gs))
-        p = np.full(len(grams), 1 / 257)
-        for k in range(1, self.m.order + 1):
-            tails = [g[-k:] for g in grams]
-            p = self._look(0, key(tails), 0.0) + self._look(1, key([t[:-1] for t in tails]), 1.0) * p
-        self.grams.setdefault(lang, {}).update(zip(grams, np.log(p).tolist()))
-
-    def _word_scores(self, lang: str, words: list[bytes]) -> list[float]:
-        n = self.m.order
-        cut = []
-        for w in words:
-            s = START * (n - 1) + w + END
-            cut.append([s[i:i + n] for i in range(len(w) + 1)])
-        known = self.grams.get(lang, {})
-        if len(known) > 4 * self.keep:
-            known.clear()
-        if fresh := list({g for gs in cut for g in gs if g not in known}):
-            self._learn(lang, fresh)
-            known = self.grams[lang]
-        return [sum(map(known.__getitem__, gs)) for gs in cut]
-
-    def log_probabilities(self, lang: str, docs: list[list[bytes]]) -> list[float]:
-        """Of the words of each document, all of one language."""
-        known = self.words.setdefault(lang, {})
-        if len(known) > self.keep:
-            known.clear()
-        if fresh := list({w for d in docs for w in d if w not in known}):
-            own = self._word_scores(lang, fresh)
-            if self.m.pool:
-                pool = self._word_scores(POOL, fresh)
-                own = [max(a, b - self.foreign) for a, b in zip(own, pool)]
-            known.update(zip(fresh, own))
-        return [sum(map(known.__getitem__, d)) for d in docs]
-
-
-_scorers: dict[str, _Scorer] = {}
-
-
-def _scorer(m: Model, foreign: float) -> _Scorer:
-    if m.folder not in _scorers:
-        _scorers.clear()
-        _scorers[m.folder] = _Scorer(m, foreign)
-    return _scorers[m.folder]
+class Perplexity:
+    """Log perplexities of slices by a word table; all their words are in it."""
 
+    def __init__(self, table: Table, keep: int = 200_000):
+        self.table, self.keep, self.known = table, keep, {}
 
-def _chars(words: list[bytes]) -> int:
-    """Bytes of the words and their end marks: what the model scores."""
-    return sum(map(len, words)) + len(words)
+    def of(self, langs: list[str], lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes scored, and the negative log probability of a byte (nan without words), of each text."""
+        sizes = np.fromiter(map(_chars, lists), np.int64, len(lists))
+        total = np.zeros(len(lists))
+        for lang in set(langs):
+            known = self.known.setdefault(lang, {})
+            if len(known) > self.keep:
+                known.clear()
+            at = [i for i, x in enumerate(langs) if x == lang]
+            fresh = list(set().union(*(lists[i] for i in at)).difference(known))
+            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
+            values = _reader(self.table).get(mix(keys ^ _seed(lang)), np.nan)
+            if np.isnan(values).any():
+                raise ValueError("a word that the table was not made of")
+            known.update(zip(fresh, values.tolist()))
+            total[at] = [sum(map(known.__getitem__, lists[i])) for i in at]
+        return sizes, np.where(sizes > 0, -total / np.maximum(sizes, 1), np.nan)
 
 
-def log_perplexities(docs: DataFrame, model: Model, foreign: float, measured: bool) -> DataFrame:
+def log_perplexities(docs: DataFrame, table: Table, measured: bool) -> DataFrame:
     """(doc_id, lang, size, log_ppl) of every row (doc_id, text, lang), ``measured`` with the five measures.
 
     ``size`` is in bytes; ``log_ppl`` is the negative log probability of a byte, null without words.
     """
-    hashes = WordHashes()
+    perplexity = Perplexity(table)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scorer, langs = _scorer(model, foreign), batch.column("lang").to_pylist()
-        t = texts(batch)
-        words = [x.split() for x in t]
-        logs = [0.0] * len(t)
-        for lang in set(langs):
-            at = [i for i, x in enumerate(langs) if x == lang]
-            for i, v in zip(at, scorer.log_probabilities(lang, [words[i] for i in at])):
-                logs[i] = v
-        sizes = [_chars(w) for w in words]
-        columns = [batch.column("doc_id"), batch.column("lang"), pa.array(sizes, pa.int64()),
-                   pa.array([-v / n if n else None for v, n in zip(logs, sizes)], pa.float64())]
+        langs, t = batch.column("lang").to_pylist(), texts(batch)
+        lists = [x.split() for x in t]
+        sizes, values = perplexity.of(langs, lists)
+        columns = [batch.column("doc_id"), batch.column("lang"), pa.array(sizes), pa.array(values, from_pandas=True)]
         if measured:
-            m = np.array([measures(x, w, hashes) for x, w in zip(t, words)], np.int64).reshape(-1, 5)
+            m = measures(t, lists)
             columns += [pa.array(m[:, k]) for k in range(5)]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "size", "log_ppl", *NAMES][:len(columns)])
 
@@ -327,26 +412,18 @@ def centres(rows: DataFrame, step: float = 1e-4) -> dict[str, tuple[float, float
     return out
 
 
-def judge(docs: DataFrame, *, order: int = 5, trim: float = 1.0, foreign: float = 1.0, width: float = 12.0,
+def judge(docs: DataFrame, *, order: int = 5, foreign: float = 1.0, width: float = 12.0,
           short: float = 300.0) -> DataFrame:
     """(doc_id, five measures, base_failed, log_ppl, low, high, kept) of every row."""
     rows = _languages(docs)
-    rough = fit(word_counts(rows), order, pool=False)
-    middle = centres(log_perplexities(rows, rough, foreign, False))
-
-    def ordinary(lang: str, words: list[bytes]) -> bool:
-        if not words:
-            return False
-        value = -_scorer(rough, foreign).log_probabilities(lang, [words])[0] / _chars(words)
-        m, deviation = middle[lang]
-        return abs(value - m) <= trim * deviation
-
-    model = fit(word_counts(rows, ordinary), order, pool=True)
-    scored = staged(log_perplexities(rows, model, foreign, True), "perplexities").withColumn("base_failed", _failed())
+    words = staged(word_counts(rows), "words")
+    taught = words.where("reference > 0").select("lang", "word", F.col("reference").alias("n"))
+    table = word_table(words, fit(taught, order, True), order, True, foreign)
+    scored = staged(log_perplexities(rows, table, True), "perplexities").withColumn("base_failed", _failed())
     bands = docs.sparkSession.createDataFrame(
         [(lang, m, d) for lang, (m, d) in centres(scored.where("not base_failed")).items()] or [("", 0.0, 0.0)],
         "lang string, middle double, deviation double").coalesce(1)
-    half = F.col("deviation") * width * F.sqrt(1 + F.lit(short) / F.col("size"))
+    half = F.col("deviation") * width * F.sqrt(1 + F.lit(short) / F.greatest("size", F.lit(1)))
     return scored.join(bands, "lang", "left").select(
         "doc_id", *NAMES, "base_failed", "log_ppl",
         (F.col("middle") - half).alias("low"), (F.col("middle") + half).alias("high"),
