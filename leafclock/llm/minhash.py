@@ -143,7 +143,7 @@ def _hub_links(star: DataFrame, sets: DataFrame, rule: list, percent: int, block
                     at, sig, words = key, rows.sigs[:1].copy(), rows.set(0).copy()
                 assert at == key
                 which = np.flatnonzero(kinds)
-                keep = sequential(rows.sigs[which], np.broadcast_to(sig, (len(which), sig.shape[1])), rule)
+                keep = sequential(rows.sigs, sig, which, np.zeros_like(which), rule)
                 near = [bool(k) and _linked(words, rows.set(i), percent) for i, k in zip(which, keep)]
                 if len(which):
                     yield pa.RecordBatch.from_arrays([
@@ -194,14 +194,14 @@ def _block_links(tried: DataFrame, roots: DataFrame, sets: DataFrame, rule: list
                     continue
                 for q, q_roots, _ in held:
                     y, y_roots, y_asks = rows
-                    step = max(1, (1 << 19) // len(q.ids))
+                    step = max(1, (1 << 17) // len(q.ids))
                     for s in range(0, len(y.ids), step):
                         e = s + step
                         # Of two that both ask, the smaller id asks.
                         apart = (q_roots[:, None] != y_roots[None, s:e]) & (
                             ~y_asks[None, s:e] | (q.ids[:, None] < y.ids[None, s:e]))
                         i, j = np.nonzero(apart)
-                        keep = sequential(q.sigs[i], y.sigs[s:e][j], rule)
+                        keep = sequential(q.sigs, y.sigs[s:e], i, j, rule)
                         for a, b in zip(i[keep].tolist(), (j[keep] + s).tolist()):
                             ra, rb = find(q_roots[a]), find(y_roots[b])
                             if ra != rb and _linked(q.set(a), y.set(b), percent):

@@ -64,13 +64,16 @@ def least_matches(size: int, step: int, threshold: float, miss: float) -> list[t
     ]
 
 
-def sequential(a: np.ndarray, b: np.ndarray, rule: list[tuple[int, int]]) -> np.ndarray:
-    """Which rows of two signature matrices survive the rule; later batches compare survivors only."""
-    alive = np.arange(len(a))
-    seen, matches = 0, np.zeros(len(a), np.int64)
+def sequential(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, rule: list[tuple[int, int]]) -> np.ndarray:
+    """Which pairs of row i of ``a`` and row j of ``b`` survive the rule.
+
+    Later batches compare survivors only, and only a batch of values is copied at a time.
+    """
+    alive = np.arange(len(i))
+    seen, matches = 0, np.zeros(len(i), np.int64)
     for n, m in rule:
-        matches[alive] += (a[alive, seen:n] == b[alive, seen:n]).sum(axis=1)
+        matches[alive] += (a[i[alive], seen:n] == b[j[alive], seen:n]).sum(axis=1)
         alive, seen = alive[matches[alive] >= m], n
-    keep = np.zeros(len(a), bool)
+    keep = np.zeros(len(i), bool)
     keep[alive] = True
     return keep
