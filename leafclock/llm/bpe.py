@@ -39,19 +39,46 @@ def byte_characters() -> str:
     return "".join(chr(b) if b in shown else chr(next(hidden)) for b in range(256))
 
 
-class Codec(dict):
-    """Maps pieces of text to tuples of ids; keeps at most ``keep`` of them."""
-
-    def __init__(self, ranks: bytes, pattern: str, keep: int = 600_000):
-        from tokenizers import models
+class Decoder:
+    """The bytes of every id."""
 
-        table = {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks.splitlines()) if t}
-        self.bytes = [b""] * (max(table.values(), default=-1) + 1)
-        for token, rank in table.items():
+    def __init__(self, ranks: bytes):
+        self.bytes = [b""] * (max(_table(ranks).values(), default=-1) + 1)
+        for token, rank in _table(ranks).items():
             self.bytes[rank] = token
         self.lengths = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of all tokens, joined."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.bytes)):
+            raise ValueError("token id outside the vocabulary")
+        n = self.lengths[ids]
+        shift = np.repeat(self.starts[ids] - (np.cumsum(n) - n), n)
+        return self.flat[shift + np.arange(len(shift))].tobytes()
+
+    def token_texts(self, ids: list[int]) -> list[str]:
+        """What each token adds to the text; a split character comes with its last token."""
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        out = [decoder.decode(self.decode(np.array([i]))) for i in ids]
+        if out:
+            out[-1] += decoder.decode(b"", final=True)
+        return out
+
+
+def _table(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(t): int(r) for t, r in map(bytes.split, ranks.splitlines()) if t}
+
+
+class Codec(dict, Decoder):
+    """Maps pieces of text to tuples of ids; keeps at most ``keep`` of them."""
+
+    def __init__(self, ranks: bytes, pattern: str, keep: int = 200_000):
+        from tokenizers import models
+
+        Decoder.__init__(self, ranks)
+        table = _table(ranks)
         self.to_char = dict(enumerate(byte_characters()))
         merges = []
         for token, _ in sorted(table.items(), key=lambda x: x[1]):
@@ -83,38 +110,23 @@ class Codec(dict):
         ends = np.cumsum(self.lengths[ids])
         return np.column_stack([at[ends - self.lengths[ids]], at[ends - 1] + 1]) if len(ids) else np.zeros((0, 2), int)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of all tokens, joined."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.bytes)):
-            raise ValueError("token id outside the vocabulary")
-        n = self.lengths[ids]
-        shift = np.repeat(self.starts[ids] - (np.cumsum(n) - n), n)
-        return self.flat[shift + np.arange(len(shift))].tobytes()
-
-    def token_texts(self, ids: list[int]) -> list[str]:
-        """What each token adds to the text; a split character comes with its last token."""
-        decoder = codecs.getincrementaldecoder("utf-8")("replace")
-        out = [decoder.decode(self.decode(np.array([i]))) for i in ids]
-        if out:
-            out[-1] += decoder.decode(b"", final=True)
-        return out
-
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[str, Decoder] = {}
 
 
 class Shared:
-    """A codec that each worker builds once from the broadcast rank file."""
+    """A codec, or a decoder without a pattern, that each worker builds once from the broadcast rank file."""
 
-    def __init__(self, spark, path: str, pattern: str):
+    def __init__(self, spark, path: str, pattern: str | None = None):
         with open(path, "rb") as f:
             data = f.read()
         self.data, self.pattern = spark.sparkContext.broadcast(data), pattern
-        self.key = hashlib.sha256(data + pattern.encode()).hexdigest()
+        self.key = hashlib.sha256(data + repr(pattern).encode()).hexdigest()
 
-    def get(self) -> Codec:
+    def get(self):
         if self.key not in _codecs:
-            _codecs[self.key] = Codec(self.data.value, self.pattern)
+            data = self.data.value
+            _codecs[self.key] = Decoder(data) if self.pattern is None else Codec(data, self.pattern)
         return _codecs[self.key]
 
 
@@ -133,7 +145,7 @@ def encode(docs: DataFrame, path: str, pattern: str, offsets: bool = False) -> D
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "starts", "ends"][:len(columns)])
 
     schema = "doc_id long, ids array<int>" + ", starts array<int>, ends array<int>" * offsets
-    return over_batches(docs.select("doc_id", "text"), run, schema, slice_bytes=4 << 20)
+    return over_batches(docs.select("doc_id", "text"), run, schema, slice_bytes=2 << 20)
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -142,9 +154,9 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds the column ``decoded``: the bytes that the column ``ids`` stands for."""
-    shared = Shared(encoded.sparkSession, path, pattern)
+    shared = Shared(encoded.sparkSession, path)
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -156,12 +168,12 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return over_batches(encoded, run, schema, slice_bytes=4 << 20)
+    return over_batches(encoded, run, schema, slice_bytes=2 << 20)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row, through ``encode`` and ``decode``."""
-    both = decode(encode(docs, path, pattern), path, pattern)
+    both = decode(encode(docs, path, pattern), path)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

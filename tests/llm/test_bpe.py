@@ -69,4 +69,4 @@ def test_unknown_and_null_ids(spark, codec):
     with pytest.raises(ValueError):
         codec.decode(__import__("numpy").array([10**6]))
     df = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
-    assert [bytes(r.decoded) for r in bpe.decode(df, RANKS, PATTERN).collect()] == [b"", b""]
+    assert [bytes(r.decoded) for r in bpe.decode(df, RANKS).collect()] == [b"", b""]
