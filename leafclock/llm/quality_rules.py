@@ -5,11 +5,13 @@ modified Kneser-Ney model over the characters (bytes) of words, ``order`` at a t
 word between start marks and an end mark, so a word's probability does not depend on its
 neighbours.
 
-Spark counts the words of all documents, and apart from them those of reference documents:
-running prose by its characters alone, with few symbols, capitals and repeats. The latter
-make one model for each language and one for all together (the pool). A word counts with
-its language's probability or, where that is more, with the pool's divided by
-``e ** foreign``, so passages in another known language stay cheap and garbage does not.
+Spark counts twice. First the words of all documents make a rough model for each language;
+it gives every document a perplexity. Then the words of the documents within ``trim``
+deviations of their language's median, the unremarkable ones, make the final models: one
+for each language and one for all together (the pool). No rule on characters decides what
+teaches. A word counts with its language's probability or, where that is more, with the
+pool's divided by ``e ** foreign``, so passages in another known language stay cheap and
+garbage does not.
 
 A document is kept if its log perplexity lies within ``width`` deviations of the median of
 its language, lower and upper; deviations are median absolute ones times 1.4826. For texts
@@ -17,8 +19,8 @@ of few characters the band is wider, by sqrt(1 + short / characters).
 
 The models are rows (language, gram, value) made by joins and aggregations, dealt by hash
 and saved as sorted hash arrays in the shared folder: a value is the discounted share of a
-gram, or the weight that a context leaves to shorter ones. With them every distinct word of
-the corpus is scored once, and saved in the same form. Workers map the arrays into memory;
+gram, or the weight that a context leaves to shorter ones. With either set of models every
+distinct word of the corpus is scored once, and saved in the same form. Workers map the arrays into memory;
 a document is a sum of look-ups.
 
 Defined results: a null text has no words; without words or with too few the base rule fails; a
@@ -30,10 +32,9 @@ ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -124,49 +125,31 @@ def _lang() -> Column:
     return F.coalesce(F.concat(F.lit("="), "lang"), F.lit("?"))
 
 
-_UPPER = bytes(range(0x41, 0x5B))
-_NOT_UPPER = bytes(b for b in range(256) if b not in _UPPER)
-
-
-def is_reference(text: bytes, words: list[bytes]) -> bool:
-    """Whether a text may teach the models: running prose by its characters alone.
-
-    At most 1 % of its characters are symbols and 30 % capitals, and at most a tenth of
-    its words repeat the word before.
-    """
-    size = sum(map(len, words))
-    return (
-        100 * len(text.translate(None, _OTHERS)) <= size
-        and 10 * len(text.translate(None, _NOT_UPPER)) <= 3 * size
-        and 10 * sum(map(eq, words, words[1:])) <= len(words)
-    )
-
-
-def word_counts(rows: DataFrame, keep: int = 200_000) -> DataFrame:
-    """(lang, word, n, reference) over rows (lang, text): all counts, and those in reference texts."""
+def word_counts(rows: DataFrame, chosen: Callable[[list[str], list[list[bytes]]], np.ndarray] | None = None,
+                keep: int = 200_000) -> DataFrame:
+    """(lang, word, n) over rows (lang, text), or over those of a slice that ``chosen`` marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bool], Counter] = {}
+        held: dict[str, Counter] = {}
 
         def emit():
-            langs = pa.array([lang for (lang, _), d in held.items() for _ in d], pa.string())
+            langs = pa.array([lang for lang, d in held.items() for _ in d], pa.string())
             words = pa.array([w for d in held.values() for w in d], pa.binary())
             n = pa.array([n for d in held.values() for n in d.values()], pa.int64())
-            known = pa.array([n * ref for (_, ref), d in held.items() for n in d.values()], pa.int64())
             held.clear()
-            return pa.RecordBatch.from_arrays([langs, words, n, known], ["lang", "word", "n", "reference"])
+            return pa.RecordBatch.from_arrays([langs, words, n], ["lang", "word", "n"])
 
         for part in slices(batches):
-            for lang, text in zip(part.column("lang").to_pylist(), texts(part)):
-                words = text.split()
-                held.setdefault((lang, is_reference(text, words)), Counter()).update(words)
+            langs, lists = part.column("lang").to_pylist(), [t.split() for t in texts(part)]
+            for i in range(len(lists)) if chosen is None else np.flatnonzero(chosen(langs, lists)).tolist():
+                held.setdefault(langs[i], Counter()).update(lists[i])
                 if sum(map(len, held.values())) > keep:
                     yield emit()
         if any(held.values()):
             yield emit()
 
-    counted = map_batches(rows.select("lang", "text"), run, "lang string, word binary, n long, reference long")
-    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("reference").alias("reference"))
+    counted = map_batches(rows.select("lang", "text"), run, "lang string, word binary, n long")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _seed(*of) -> np.uint64:
@@ -249,6 +232,13 @@ def _saved(rows: DataFrame, keyed, bits: int, gather: int = 200_000) -> Table:
     return Table(folder, bits, tuple(sizes))
 
 
+def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+    """(language, positions) of each language of a batch."""
+    names = batch.column("lang").dictionary_encode()
+    for k, own in by_part(names.indices.to_numpy()):
+        yield names.dictionary[k].as_py(), own
+
+
 def _gram_keys(lang: str, kind: str, k: int, code: np.ndarray) -> np.ndarray:
     return mix(code ^ _seed(lang, kind, k))
 
@@ -263,11 +253,9 @@ def fit(words: DataFrame, order: int, pool: bool, bits: int = 4) -> Table:
     spark = words.sparkSession
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs = np.array(batch.column("lang").to_pylist(), object)
         words, n = np.array(batch.column("word").to_pylist(), object), batch.column("n").to_numpy()
         out = []
-        for lang in set(langs):
-            own = langs == lang
+        for lang, own in _by_lang(batch):
             code, ends = grams(words[own].tolist(), order)
             code, total = summed(code, np.repeat(n[own], np.diff(ends, prepend=0)))
             out.append((pa.array([lang] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(total)))
@@ -291,8 +279,8 @@ def fit(words: DataFrame, order: int, pool: bool, bits: int = 4) -> Table:
         rows = level.join(d, "lang").select("lang", "gram", F.shiftrightunsigned("gram", 8).alias("context"), "n", cut.alias("cut"))
         sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
         entries.append(rows.join(sums, ["lang", "context"]).select(
-            "lang", F.lit("share").alias("kind"), F.lit(k).alias("k"), "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("value")))
-        entries.append(sums.select("lang", F.lit("context").alias("kind"), F.lit(k).alias("k"), F.col("context").alias("gram"),
+            "lang", F.lit(2 * k).alias("level"), "gram", ((F.col("n") - F.col("cut")) / F.col("total")).alias("value")))
+        entries.append(sums.select("lang", F.lit(2 * k + 1).alias("level"), F.col("context").alias("gram"),
                                    (F.col("left") / F.col("total")).alias("value")))
     rows = entries[0]
     for e in entries[1:]:
@@ -300,11 +288,11 @@ def fit(words: DataFrame, order: int, pool: bool, bits: int = 4) -> Table:
 
     def keyed(batch: pa.RecordBatch):
         code = batch.column("gram").to_numpy().view(np.uint64)
-        keys, of = np.empty(len(code), np.uint64), {}
-        for i, x in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "kind", "k")))):
-            of.setdefault(x, []).append(i)
-        for x, i in of.items():
-            keys[i] = _gram_keys(*x, code[i])
+        level, keys = batch.column("level").to_numpy(), np.empty(len(code), np.uint64)
+        for lang, own in _by_lang(batch):
+            for x, i in by_part(level[own]):
+                i = own[i]
+                keys[i] = _gram_keys(lang, "context" if x % 2 else "share", x // 2, code[i])
         return keys, batch.column("value").to_numpy()
 
     return _saved(rows, keyed, bits)
@@ -325,10 +313,9 @@ def word_table(words: DataFrame, model: Table, order: int, pool: bool, foreign:
     """The log probability of every word of (lang, word)."""
 
     def keyed(batch: pa.RecordBatch):
-        langs, words = np.array(batch.column("lang").to_pylist(), object), np.array(batch.column("word").to_pylist(), object)
-        keys, values = np.empty(len(langs), np.uint64), np.empty(len(langs))
-        for lang in set(langs):
-            own = np.flatnonzero(langs == lang)
+        words = np.array(batch.column("word").to_pylist(), object)
+        keys, values = np.empty(len(words), np.uint64), np.empty(len(words))
+        for lang, own in _by_lang(batch):
             code, ends = grams(words[own].tolist(), order)
             v = _word_scores(_reader(model), lang, code, ends, order)
             if pool:
@@ -412,13 +399,21 @@ def centres(rows: DataFrame, step: float = 1e-4) -> dict[str, tuple[float, float
     return out
 
 
-def judge(docs: DataFrame, *, order: int = 5, foreign: float = 1.0, width: float = 12.0,
+def judge(docs: DataFrame, *, order: int = 5, rough_order: int = 3, trim: float = 1.0, foreign: float = 1.0, width: float = 12.0,
           short: float = 300.0) -> DataFrame:
     """(doc_id, five measures, base_failed, log_ppl, low, high, kept) of every row."""
     rows = _languages(docs)
     words = staged(word_counts(rows), "words")
-    taught = words.where("reference > 0").select("lang", "word", F.col("reference").alias("n"))
-    table = word_table(words, fit(taught, order, True), order, True, foreign)
+    rough = word_table(words, fit(words, rough_order, False), rough_order, False, foreign)
+    middle = centres(log_perplexities(rows, rough, False))
+    perplexity = Perplexity(rough)
+
+    def ordinary(langs: list[str], lists: list[list[bytes]]) -> np.ndarray:
+        sizes, values = perplexity.of(langs, lists)
+        m, deviation = (np.array([middle.get(x, (0.0, 0.0))[k] for x in langs]) for k in (0, 1))
+        return (sizes > 0) & (np.abs(values - m) <= trim * deviation)
+
+    table = word_table(words, fit(word_counts(rows, ordinary), order, True), order, True, foreign)
     scored = staged(log_perplexities(rows, table, True), "perplexities").withColumn("base_failed", _failed())
     bands = docs.sparkSession.createDataFrame(
         [(lang, m, d) for lang, (m, d) in centres(scored.where("not base_failed")).items()] or [("", 0.0, 0.0)],

@@ -95,3 +95,13 @@ def test_no_rows(spark, rows):
     assert qr.judge(frame(spark, rows).limit(0)).count() == 0
     got = qr.judge(frame(spark, [(1, None, None), (2, "", "en")])).collect()
     assert [(r.n_words, r.base_failed, r.kept) for r in got] == [(0, True, False)] * 2
+
+
+def test_garbage_of_letters_and_lower_case_teaches_nothing(spark, rows, prose):
+    """Prose with a mark of neither symbols, capitals nor repeated neighbours between its words."""
+    planted = [(1000 + i, " ".join(f"{w} {m}" for w in prose(1000 + i, 25).split()), "en") for i, m in enumerate(["@@@", "~~"] * 12)]
+    got = qr.judge(frame(spark, rows + planted)).collect()
+    kept = {r.doc_id for r in got if r.kept}
+    assert not kept & {i for i, _, _ in planted}
+    assert len(kept & set(range(300))) >= 297
+    assert sum(not r.base_failed for r in got if (r.doc_id or 0) >= 1000) >= 12
