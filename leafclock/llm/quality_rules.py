@@ -13,9 +13,10 @@ teaches. A word counts with its language's probability or, where that is more, w
 pool's divided by ``e ** foreign``, so passages in another known language stay cheap and
 garbage does not.
 
-A document is kept if its log perplexity lies within ``width`` deviations of the median of
-its language, lower and upper; deviations are median absolute ones times 1.4826. For texts
-of few characters the band is wider, by sqrt(1 + short / characters).
+A document is kept if its log perplexity lies at most ``width`` deviations above and
+``below`` deviations below the median of its language; deviations are median absolute ones
+times 1.4826. Foreign and rare words lengthen the upper side only, so the lower one is
+narrower. For texts of few characters the band is wider, by sqrt(1 + short / characters).
 
 The models are rows (language, gram, value) made by joins and aggregations, dealt by hash
 and saved as sorted hash arrays in the shared folder: a value is the discounted share of a
@@ -400,7 +401,7 @@ def centres(rows: DataFrame, step: float = 1e-4) -> dict[str, tuple[float, float
 
 
 def judge(docs: DataFrame, *, order: int = 5, rough_order: int = 3, trim: float = 1.0, foreign: float = 1.0, width: float = 12.0,
-          short: float = 300.0) -> DataFrame:
+          below: float = 6.0, short: float = 300.0) -> DataFrame:
     """(doc_id, five measures, base_failed, log_ppl, low, high, kept) of every row."""
     rows = _languages(docs)
     words = staged(word_counts(rows), "words")
@@ -418,8 +419,8 @@ def judge(docs: DataFrame, *, order: int = 5, rough_order: int = 3, trim: float
     bands = docs.sparkSession.createDataFrame(
         [(lang, m, d) for lang, (m, d) in centres(scored.where("not base_failed")).items()] or [("", 0.0, 0.0)],
         "lang string, middle double, deviation double").coalesce(1)
-    half = F.col("deviation") * width * F.sqrt(1 + F.lit(short) / F.greatest("size", F.lit(1)))
+    unit = F.col("deviation") * F.sqrt(1 + F.lit(short) / F.greatest("size", F.lit(1)))
     return scored.join(bands, "lang", "left").select(
         "doc_id", *NAMES, "base_failed", "log_ppl",
-        (F.col("middle") - half).alias("low"), (F.col("middle") + half).alias("high"),
+        (F.col("middle") - unit * below).alias("low"), (F.col("middle") + unit * width).alias("high"),
     ).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(False)))

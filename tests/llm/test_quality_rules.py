@@ -105,3 +105,19 @@ def test_garbage_of_letters_and_lower_case_teaches_nothing(spark, rows, prose):
     assert not kept & {i for i, _, _ in planted}
     assert len(kept & set(range(300))) >= 297
     assert sum(not r.base_failed for r in got if (r.doc_id or 0) >= 1000) >= 12
+
+
+def test_unusually_predictable_text_goes(spark):
+    """Texts of the commonest words only, in no repeated order."""
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    rows = [(i, " ".join(r.choices(words, weights, k=400)), "en") for i in range(150)]
+    rows += [(1000 + i, " ".join(r.choices(words[:15], k=300)), "en") for i in range(4)]
+    got = {x.doc_id: x for x in qr.judge(frame(spark, rows)).collect()}
+    assert sum(got[i].kept for i in range(150)) >= 147
+    for i in range(1000, 1004):
+        x = got[i]
+        assert x.log_ppl < x.low and not x.kept and not x.base_failed
+        middle = x.low + (x.high - x.low) / 3
+        assert x.log_ppl > 2 * middle - x.high  # a lower side as wide as the upper one would keep it
