@@ -3,13 +3,14 @@
 A small reader turns the markup into elements, tolerating what is not closed. Elements
 that are never article text are left out by their kind, class, id or role. Site templates are
 found by counting: the subtree of every element is hashed, Spark counts on how many
-pages of a host each hash occurs, and subtrees that recur on at least ``share`` of a host's
-pages, and on ``least`` pages, are deleted. Running text inside an article (paragraphs,
+pages of a host each hash occurs. Subtrees are deleted that recur on at least ``share`` of a
+host's pages, and on ``few`` pages, or that lie outside an article on ``many`` pages, however
+many the host has. Running text inside an article (paragraphs,
 headings, list items and the like) is never deleted for recurring, as articles may quote
 each other; where a page marks its article, only that is kept.
 
-At most (subtrees of a page on average) / ``share`` hashes of a host can recur that often, so
-each host's list is short however many pages it has.
+The templates of all hosts are one table of 64-bit hashes of (host, subtree), saved in the
+shared folder and mapped by workers, so pages join nothing and no host has a list.
 
 Defined results: a null or empty page has no text; a page without an article or main
 element gives all that is left of it; repeated rows count as pages; pages without a host
@@ -27,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafclock.llm.common import over_batches
+from leafclock.llm.common import over_batches, pair
+from leafclock.llm.tables import Table, part_bits, reader, saved
 from leafclock.llm.url_filter import host_and_path
 from leafclock.sources.scratch import staged
 
@@ -192,43 +194,59 @@ def _pages(batch: pa.RecordBatch) -> list[Page]:
     return [Page(h or "") for h in batch.column("html").to_pylist()]
 
 
-def templates(pages: DataFrame, share: float = 0.3, least: int = 10) -> DataFrame:
-    """(host, hashes): subtrees that recur on many pages of the host. ``pages`` is (host, html)."""
+def templates(pages: DataFrame, share: float = 0.3, few: int = 4, many: int = 50) -> DataFrame:
+    """(host, hash): subtrees that recur on many pages of the host. ``pages`` is (host, html)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        hosts, found = [], []
+        hosts, found, outside = [], [], []
         for host, page in zip(batch.column("host").to_pylist(), _pages(batch)):
-            own = set(page.subtrees(*page.states()).values())
+            out, inside = page.states()
+            own: dict[int, bool] = {}
+            for i, h in page.subtrees(out, inside).items():
+                own[h] = own.get(h, False) or not inside[i]
             hosts += [host] * len(own)
             found += own
-        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "hash"])
+            outside += own.values()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(outside, pa.bool_())], ["host", "hash", "outside"])
 
     named = pages.where("host <> ''")
-    seen = over_batches(named, run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    seen = over_batches(named, run, "host string, hash long, outside boolean").groupBy("host", "hash").agg(
+        F.count("*").alias("n"), F.count_if("outside").alias("outside"))
     size = named.groupBy("host").agg(F.count("*").alias("pages"))
-    many = seen.where(F.col("n") >= least).join(size, "host").where(F.col("n") >= share * F.col("pages"))
-    return many.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    often = (F.col("n") >= share * F.col("pages")) | (F.col("outside") >= many)
+    return seen.where((F.col("n") >= few) | (F.col("outside") >= many)).join(size, "host").where(often).select("host", "hash")
+
+
+def _keys(hosts: list[str], hashes: list[int]) -> np.ndarray:
+    of = {h: xxhash.xxh3_64_intdigest(h.encode()) for h in set(hosts)}
+    return pair(np.array([of[h] for h in hosts], np.uint64), np.array(hashes, np.int64).view(np.uint64))
+
+
+def _saved_templates(found: DataFrame) -> Table:
+    def keyed(batch: pa.RecordBatch):
+        return _keys(batch.column("host").to_pylist(), batch.column("hash").to_pylist()), np.ones(batch.num_rows)
+
+    return saved(found, keyed, part_bits(found.count()))
 
 
 def extract(pages: DataFrame, **how) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     host, _ = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    # Written, so that its size is known: broadcast if short, else joined with hot hosts split.
-    known = staged(templates(rows.select("host", "html"), **how), "templates")
-    joined = rows.join(known, "host", "left")
-    kept: dict[tuple, frozenset] = {}
+    known = _saved_templates(staged(templates(rows.select("host", "html"), **how), "templates"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for page, host, hashes in zip(_pages(batch), batch.column("host").to_pylist(), batch.column("hashes").to_pylist()):
-            if host not in kept:
-                if len(kept) > 1000:
-                    kept.clear()
-                kept[host] = frozenset(hashes or ())
-            out.append(page.text(kept[host]))
+        pages, hosts = _pages(batch), batch.column("host").to_pylist()
+        own = [list(set(p.subtrees(*p.states()).values())) if host else [] for p, host in zip(pages, hosts)]
+        at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        hashes = [h for x in own for h in x]
+        hit: list[set[int]] = [set() for _ in own]
+        for i in np.flatnonzero(reader(known).get(_keys([hosts[k] for k in at], hashes), 0.0) > 0).tolist():
+            hit[at[i]].add(hashes[i])
+        out = [page.text(frozenset(x)) for page, x in zip(pages, hit)]
         return pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
             ["page_id", "url", "text", "n_chars"])
 
-    return over_batches(joined, run, "page_id long, url string, text string, n_chars long")
+    return over_batches(rows, run, "page_id long, url string, text string, n_chars long")

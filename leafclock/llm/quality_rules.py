@@ -34,7 +34,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -43,10 +42,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafclock.llm.arrays import by_part, find, load, save, summed
+from leafclock.llm.arrays import by_part, summed
 from leafclock.llm.common import map_batches, mix, over_batches, pair, slices, texts
-from leafclock.llm.ngram_lm import discounts, top
-from leafclock.sources.scratch import scratch_dir, staged
+from leafclock.llm.ngram_lm import discounts
+from leafclock.llm.tables import Reader, Table, part_bits, reader, saved
+from leafclock.sources.scratch import staged
 
 #: Symbols that the base rules count.
 SYMBOLS = b"#*$%&|<>"
@@ -169,70 +169,6 @@ def grams(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code, np.cumsum(lengths)
 
 
-@dataclass(frozen=True)
-class Table:
-    """Saved sorted hash arrays: keys and values in 2 ** bits parts."""
-
-    folder: str
-    bits: int
-    sizes: tuple[int, ...]
-
-
-class _Reader:
-    """Maps a table."""
-
-    def __init__(self, t: Table):
-        self.bits = t.bits
-        self.parts = [
-            (load(f"{t.folder}/key-{p}", np.uint64), load(f"{t.folder}/value-{p}", np.float32)) if n else None
-            for p, n in enumerate(t.sizes)]
-
-    def get(self, keys: np.ndarray, missing: float) -> np.ndarray:
-        out = np.full(len(keys), missing)
-        for p, i in by_part(top(keys, self.bits)):
-            if self.parts[p] is not None:
-                held, values = self.parts[p]
-                at, known = find(held, keys[i])
-                out[i[known]] = values[at[known]]
-        return out
-
-
-_readers: dict[str, _Reader] = {}
-
-
-def _reader(t: Table) -> _Reader:
-    """A few tables stay open in a worker."""
-    if t.folder not in _readers:
-        if len(_readers) > 3:
-            _readers.clear()
-        _readers[t.folder] = _Reader(t)
-    return _readers[t.folder]
-
-
-def _saved(rows: DataFrame, keyed, bits: int, gather: int = 200_000) -> Table:
-    """Saves (key, value) that ``keyed`` makes of every batch of rows."""
-    folder = scratch_dir(rows.sparkSession, "table")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, values = keyed(batch)
-        return pa.RecordBatch.from_arrays([
-            pa.array(top(keys, bits).astype(np.int32)), pa.array(keys.view(np.int64)),
-            pa.array(values.astype(np.float32))], ["part", "key", "value"])
-
-    def store(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, values = table["key"].to_numpy().view(np.uint64), table["value"].to_numpy()
-        order, part = np.argsort(keys), key[0].as_py()
-        save(f"{folder}/key-{part}", keys[order])
-        save(f"{folder}/value-{part}", values[order])
-        return pa.table({"part": pa.array([part], pa.int32()), "n": [len(keys)]})
-
-    got = over_batches(rows, run, "part int, key long, value float", gather=gather).groupBy("part").applyInArrow(store, "part int, n long").collect()
-    sizes = [0] * (1 << bits)
-    for r in got:
-        sizes[r.part] = r.n
-    return Table(folder, bits, tuple(sizes))
-
-
 def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
     """(language, positions) of each language of a batch."""
     names = batch.column("lang").dictionary_encode()
@@ -296,16 +232,16 @@ def fit(words: DataFrame, order: int, pool: bool, bits: int = 4) -> Table:
                 keys[i] = _gram_keys(lang, "context" if x % 2 else "share", x // 2, code[i])
         return keys, batch.column("value").to_numpy()
 
-    return _saved(rows, keyed, bits)
+    return saved(rows, keyed, bits)
 
 
-def _word_scores(reader: _Reader, lang: str, code: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
+def _word_scores(own: Reader, lang: str, code: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
     """Log probabilities of words given by their grams."""
     distinct, at = np.unique(code, return_inverse=True)
     p = np.full(len(distinct), 1 / 257)
     for k in range(1, order + 1):
         gram = distinct & np.uint64((1 << 8 * k) - 1)
-        p = reader.get(_gram_keys(lang, "share", k, gram), 0.0) + reader.get(
+        p = own.get(_gram_keys(lang, "share", k, gram), 0.0) + own.get(
             _gram_keys(lang, "context", k, gram >> np.uint64(8)), 1.0) * p
     return np.add.reduceat(np.log(p)[at], np.concatenate([[0], ends[:-1]]))
 
@@ -318,15 +254,14 @@ def word_table(words: DataFrame, model: Table, order: int, pool: bool, foreign:
         keys, values = np.empty(len(words), np.uint64), np.empty(len(words))
         for lang, own in _by_lang(batch):
             code, ends = grams(words[own].tolist(), order)
-            v = _word_scores(_reader(model), lang, code, ends, order)
+            v = _word_scores(reader(model), lang, code, ends, order)
             if pool:
-                v = np.maximum(v, _word_scores(_reader(model), POOL, code, ends, order) - foreign)
+                v = np.maximum(v, _word_scores(reader(model), POOL, code, ends, order) - foreign)
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words[own]), np.uint64, len(own))
             keys[own], values[own] = mix(hashes ^ _seed(lang)), v
         return keys, values
 
-    # About a quarter of a million words a part.
-    return _saved(words.select("lang", "word"), keyed, max(0, (words.count() >> 18).bit_length()))
+    return saved(words.select("lang", "word"), keyed, part_bits(words.count()))
 
 
 def _chars(words: list[bytes]) -> int:
@@ -351,7 +286,7 @@ class Perplexity:
             at = [i for i, x in enumerate(langs) if x == lang]
             fresh = list(set().union(*(lists[i] for i in at)).difference(known))
             keys = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
-            values = _reader(self.table).get(mix(keys ^ _seed(lang)), np.nan)
+            values = reader(self.table).get(mix(keys ^ _seed(lang)), np.nan)
             if np.isnan(values).any():
                 raise ValueError("a word that the table was not made of")
             known.update(zip(fresh, values.tolist()))

@@ -70,5 +70,18 @@ def test_prose_in_an_article_is_never_a_template(spark):
     assert {r.text for r in got} == {f"All rights reserved.\ntext {i}" for i in range(30)}
 
 
+def test_templates_of_small_hosts_and_of_a_section(spark):
+    rows = [(i, f"http://small.example/{i}", f"<div>Our shop</div><div>text {i}</div>") for i in range(5)]
+    for i in range(300):  # a side column on a quarter of the pages of a host
+        side = "<div>Andere Seiten</div>" if i % 4 == 0 else ""
+        quote = "<div>a quote</div>" if i % 4 == 1 else ""
+        rows.append((1000 + i, f"http://big.example/{i}", f"<div>text {i}</div>{side}<article><p>own {i}</p>{quote}</article>" if i % 4 == 1
+                     else f"<div>text {i}</div>{side}"))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == [f"text {i}" for i in range(5)]
+    for i in range(300):
+        assert got[1000 + i] == (f"own {i}\na quote" if i % 4 == 1 else f"text {i}")
+
+
 def test_no_pages(pages):
     assert html_extract.extract(pages.limit(0)).count() == 0
