@@ -9,8 +9,9 @@ its whole weight down. The verdict is taken from the difference of the log likel
 character, calibrated by a logistic regression, with both classes weighing the same, on a
 fifth of the ruled urls that the models do not see.
 
-Contexts and their continuations are counted in ``2 ** bits`` hashed cells for each class,
-so what is broadcast is bounded by 6 * 2 ** bits numbers, whatever the input.
+Contexts and their continuations are counted exactly: a code holds the characters
+themselves, and its scrambled form is one to one. The counts are sorted arrays in the shared
+folder, as many as there are different ones, which workers map; nothing is broadcast.
 
 Defined results: a url that is null or without ``://`` has an empty host and path and fits
 no rule; an empty text after ``://`` has difference 0; where all ruled urls
@@ -25,15 +26,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafclock.llm.arrays import by_part
 from leafclock.llm.common import fold, mix, over_batches, texts
+from leafclock.llm.tables import Table, part_bits, reader, saved
+from leafclock.sources.scratch import staged
 
 #: Characters of context at most.
 ORDER = 5
 _PAD = 1
-_BASE = np.uint64(0x100000001B3)
+#: Codes that keep every bit: exact counts.
+_BITS = 64
 
 
 @dataclass(frozen=True)
@@ -77,7 +83,10 @@ def decide(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colum
 
 
 def cells(batch: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of grams and of their contexts, a row for each order from 0 to ORDER, and the texts' lengths."""
+    """Cells of grams and of their contexts, a row for each order from 0 to ORDER, and the texts' lengths.
+
+    With 64 bits no two grams, and no two contexts, share one.
+    """
     pad = bytes([_PAD]) * ORDER
     data = np.frombuffer(b"".join(pad + t for t in batch), np.uint8).astype(np.uint64)
     lengths = np.array([len(t) for t in batch], np.int64)
@@ -87,28 +96,57 @@ def cells(batch: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.nda
     context = np.zeros(len(at), np.uint64)
     for k in range(ORDER + 1):
         if k:
-            context = context * _BASE + data[at - k] + np.uint64(1)
-        c = mix(context ^ np.uint64(k << 56))
-        contexts.append((c >> np.uint64(64 - bits)).astype(np.int64))
-        grams.append((mix(c + data[at] + np.uint64(1)) >> np.uint64(64 - bits)).astype(np.int64))
+            context = (context << np.uint64(8)) | data[at - k]
+        tag = np.uint64(k << 56)
+        contexts.append((mix(context | tag) >> np.uint64(64 - bits)).astype(np.int64))
+        grams.append((mix((context << np.uint64(8)) | data[at] | tag) >> np.uint64(64 - bits)).astype(np.int64))
     return np.array(grams), np.array(contexts), lengths
 
 
 @dataclass(frozen=True)
 class Model:
-    bits: int
-    tables: np.ndarray | None  # class x (gram count, context count, continuations) x cells
+    counts: Table | None
     weights: tuple[float, float]
     default: str
 
 
+#: What is counted for each class.
+_KINDS = ("gram", "context", "continuations")
+
+
+def _keys(code: np.ndarray, y: int, kind: str) -> np.ndarray:
+    """One to one for a class and kind."""
+    return mix(code.view(np.uint64) ^ np.uint64(xxhash.xxh3_64_intdigest(f"{y} {kind}".encode())))
+
+
+@dataclass(frozen=True)
+class _Counts:
+    """Saved counts of a class and kind, read by code as an array would be."""
+
+    table: Table
+    y: int
+    kind: str
+
+    def __getitem__(self, code: np.ndarray) -> np.ndarray:
+        distinct, at = np.unique(code, return_inverse=True)
+        return reader(self.table).get(_keys(distinct, self.y, self.kind), 0.0)[at]
+
+
+def _tables(counts: Table) -> list[list[_Counts]]:
+    """Allowed first."""
+    return [[_Counts(counts, y, kind) for kind in _KINDS] for y in (1, 0)]
+
+
 def _text(df: DataFrame) -> DataFrame:
     return df.withColumn("text", F.translate(
         F.coalesce(rest(F.col("url")), F.lit("")), string.ascii_uppercase, string.ascii_lowercase))
 
 
-def differences(batch: list[bytes], tables: np.ndarray, bits: int) -> np.ndarray:
-    """Log likelihood of allowed minus that of blocked text, per character; 0 for an empty text."""
+def differences(batch: list[bytes], tables, bits: int) -> np.ndarray:
+    """Log likelihood of allowed minus that of blocked text, per character; 0 for an empty text.
+
+    ``tables`` gives gram counts, context counts and continuations of either class by cell.
+    """
     grams, contexts, lengths = cells(batch, bits)
     logs = []
     for table in tables:
@@ -123,7 +161,7 @@ def differences(batch: list[bytes], tables: np.ndarray, bits: int) -> np.ndarray
     return (ends[upto] - ends[upto - lengths]) / np.maximum(lengths, 1)
 
 
-def fit(ruled: DataFrame, bits: int = 18) -> Model:
+def fit(ruled: DataFrame) -> Model:
     """The models of rows (page_id, text, verdict) with verdict allow or block."""
     rows = ruled.withColumn("y", (F.col("verdict") == "allow").cast("int")).withColumn("part", fold("page_id", 5))
 
@@ -133,36 +171,37 @@ def fit(ruled: DataFrame, bits: int = 18) -> Model:
         for y in (0, 1):
             own = [x for x, k in zip(t, ys) if k == y]
             if own:
-                grams, contexts, _ = cells(own, bits)
-                codes, n = np.unique((contexts.ravel() << bits) | grams.ravel(), return_counts=True)
-                out.append((np.full(len(codes), y), codes, n))
+                grams, contexts, _ = cells(own, _BITS)
+                codes, first, n = np.unique(grams.ravel(), return_index=True, return_counts=True)
+                out.append((np.full(len(codes), y), codes, contexts.ravel()[first], n))
         if not out:
             return None
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(x)) for x in zip(*out)], ["y", "code", "n"])
-
-    counts = over_batches(rows.where("part > 0").select("text", "y"), count, "y long, code long, n long")
-    counts = counts.groupBy("y", "code").agg(F.sum("n").alias("n"))
-    gram, context = F.col("code").bitwiseAND((1 << bits) - 1), F.shiftrightunsigned("code", bits)
-    # At most 2 ** bits cells for each class and table reach the driver.
-    by_gram = counts.groupBy("y", gram.alias("cell")).agg(F.sum("n").alias("n")).toArrow()
-    by_context = counts.groupBy("y", context.alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
-    tables = np.zeros((2, 3, 1 << bits), np.float32)
-    for table, columns in ((by_gram, ("n",)), (by_context, ("n", "kinds"))):
-        y, cell = table["y"].to_numpy().astype(int), table["cell"].to_numpy().astype(int)
-        first = 0 if table is by_gram else 1
-        for k, name in enumerate(columns):
-            tables[1 - y, first + k, cell] = table[name].to_numpy()  # allowed first
+            [pa.array(np.concatenate(x)) for x in zip(*out)], ["y", "gram", "context", "n"])
+
+    counts = over_batches(rows.where("part > 0").select("text", "y"), count, "y long, gram long, context long, n long")
+    counts = staged(counts.groupBy("y", "gram", "context").agg(F.sum("n").alias("n")), "grams")
+    contexts = staged(counts.groupBy("y", "context").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")), "contexts")
+    entries = counts.select("y", F.lit(0).alias("kind"), F.col("gram").alias("code"), "n").union(
+        contexts.select("y", F.lit(1), "context", "n")).union(contexts.select("y", F.lit(2), "context", "kinds"))
+
+    def keyed(batch: pa.RecordBatch):
+        y, kind, code = (batch.column(c).to_numpy() for c in ("y", "kind", "code"))
+        keys = np.empty(len(code), np.uint64)
+        for which, i in by_part(3 * y + kind):
+            keys[i] = _keys(code[i], which // 3, _KINDS[which % 3])
+        return keys, batch.column("n").to_numpy()
+
     classes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(classes) < 2:
-        return Model(bits, None, (1.0, 0.0), "block" if classes and 0 in classes else "allow")
+        return Model(None, (1.0, 0.0), "block" if classes and 0 in classes else "allow")
+    table = saved(entries, keyed, part_bits(entries.count()), kind="float64")
     held = rows.where("part = 0")
     if held.groupBy("y").count().count() < 2:
         held = rows  # too few urls to set any aside
-    shared = held.sparkSession.sparkContext.broadcast(tables)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        d = differences(texts(batch), shared.value, bits)
+        d = differences(texts(batch), _tables(table), _BITS)
         return pa.RecordBatch.from_arrays(
             [batch.column("y"), pa.array(np.round(np.clip(d, -10, 10) * 1000).astype(np.int64))], ["y", "bin"])
 
@@ -170,7 +209,7 @@ def fit(ruled: DataFrame, bits: int = 18) -> Model:
     got = over_batches(held.select("text", "y"), measure, "y int, bin long").groupBy("y", "bin").count().orderBy("y", "bin").collect()
     y, x, n = (np.array([r[k] for r in got], float) for k in range(3))
     n = n / np.where(y == 1, n[y == 1].sum(), n[y == 0].sum())
-    return Model(bits, tables, _calibrated(x / 1000, y, n), "allow")
+    return Model(table, _calibrated(x / 1000, y, n), "allow")
 
 
 def _calibrated(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -198,11 +237,10 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     name, verdict = decide(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", name).withColumn("verdict", verdict)
     model = fit(rows.where("verdict is not null").select("page_id", "text", "verdict"))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m, t = shared.value, texts(batch)
-        d = differences(t, m.tables, m.bits) if m.tables is not None else np.zeros(len(t))
+        t = texts(batch)
+        d = differences(t, _tables(model.counts), _BITS) if model.counts is not None else np.zeros(len(t))
         keep = [batch.column(c) for c in ("page_id", "host", "path", "rule", "verdict")]
         return pa.RecordBatch.from_arrays(
             [*keep, pa.array(d)], ["page_id", "host", "path", "rule", "verdict", "difference"])
@@ -210,7 +248,7 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     scored = over_batches(rows, run, "page_id long, host string, path string, rule string, verdict string, difference double")
     a, b = model.weights
     chance = 1 / (1 + F.exp(-(F.col("difference") * a + b)))
-    own = F.when(chance >= 0.5, "allow").otherwise("block") if model.tables is not None else F.lit(model.default)
+    own = F.when(chance >= 0.5, "allow").otherwise("block") if model.counts is not None else F.lit(model.default)
     return scored.select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "difference",
         F.when(F.col("verdict").isNull(), chance).alias("probability"))

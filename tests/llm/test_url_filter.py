@@ -108,3 +108,25 @@ def test_one_sided_rules_and_no_rows(spark):
     assert verdicts([allow]) == ["allow", "allow"]
     assert verdicts([]) == ["allow", "allow"]
     assert url_filter.judge(df.limit(0), [block]).count() == 0
+
+
+def test_counts_stay_exact_beyond_any_fixed_number_of_cells(spark):
+    """Twenty thousand urls of random slugs have more grams than 2 ** 18."""
+    r = random.Random(5)
+    slug = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20))
+    rows = [(i, f"a.{'org/fr' if i % 2 else 'net'}/{slug()}", "allow" if i % 2 else "block") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "page_id long, text string, verdict string")
+    model = url_filter.fit(df)
+    taught = df.withColumn("part", url_filter.fold("page_id", 5)).where("part > 0").collect()
+    contexts = [Counter(), Counter()]
+    for x in taught:
+        s = b"\x01" * url_filter.ORDER + x.text.encode()
+        for i in range(url_filter.ORDER, len(s)):
+            contexts[x.verdict == "allow"][s[i - url_filter.ORDER:i]] += 1
+    assert sum(map(len, contexts)) > 1 << 18
+    asked = [b"a.org/fr/" + slug().encode() for _ in range(200)]
+    _, cells, _ = url_filter.cells(asked, url_filter._BITS)
+    for y, table in zip((1, 0), url_filter._tables(model.counts)):
+        got = table[1][cells[url_filter.ORDER]]
+        want = [contexts[y][(b"\x01" * url_filter.ORDER + x)[i:i + url_filter.ORDER]] for x in asked for i in range(len(x))]
+        assert got.tolist() == want
