@@ -7,12 +7,16 @@ import public_tokenizers
 from leafclock.llm import (
     ann,
     bpe,
+    chat,
     html_extract,
+    merkle,
     minhash,
     mixing,
     ngram_lm,
     quality_classifier,
     quality_rules,
+    spelling,
+    sql,
     toxicity,
     url_filter,
 )
@@ -100,3 +104,26 @@ def op7_url_filter(spark, sf_dir):
 def op3_cross_polytope(spark, sf_dir):
     """The ten nearest of every hundredth vector, among all vectors."""
     return ann.search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
+@query
+def op11_chat_template(spark, sf_dir):
+    """Digests of all conversations, formatted and read back."""
+    return chat.digests(chat.with_planted(table(spark, sf_dir, "conversations"))).drop("formatted_sha256")
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    """Words of all documents with their near words and the form that each is grouped under."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_merkle_manifest(spark, sf_dir):
+    """Proofs of all documents, checked after some were tampered with."""
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_chat_template"] = sql.CHAT
+ORACLE["op12_spelling_variants"] = sql.SPELLING
+ORACLE["op13_merkle_manifest"] = sql.MERKLE
