@@ -3,11 +3,14 @@
 The cache is a folder of batches, each written once by one refresh and never
 changed. A batch counts once its job has left the ``_SUCCESS`` mark, so a refresh
 that dies half way leaves nothing behind that a reader would see, and the next run
-computes the same rows again.
+computes the same rows again. As every refresh adds a batch, ``compact_cache`` merges
+the short ones into one from time to time, while readers go on (``sources/versions.py``).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,27 +19,51 @@ from leafclock.operators.clean import clean_observations
 from leafclock.operators.fill import fill_elevation, fill_state
 from leafclock.params import Params
 from leafclock.sources.scratch import staged
+from leafclock.sources.versions import MERGED, Batches
 
 LAYOUT = ["pheno_class_id", "year"]
 
 
-def _batches(spark: SparkSession, path: str) -> list[str]:
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    marks = fs.globStatus(hadoop.Path(root, "batch=*/_SUCCESS"))
-    return sorted(m.getPath().getParent().toString() for m in (marks or []))
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """All batches that count now; class and year are partition columns."""
+    batches = Batches(spark, path)
+    return _read(spark, path, [batches.folder(b) for b in batches.live()])
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """All finished batches; class and year are partition columns."""
-    batches = _batches(spark, path)
-    if not batches:
+def _read(spark: SparkSession, path: str, folders: list[str]) -> DataFrame:
+    if not folders:
         return spark.createDataFrame([], schemas.PLANTS)
-    df = spark.read.schema(schemas.PLANTS).option("basePath", path).parquet(*batches)
+    df = spark.read.schema(schemas.PLANTS).option("basePath", path).parquet(*folders)
     return df.select(*schemas.PLANTS.fieldNames())
 
 
+def _write(df: DataFrame, target: str) -> None:
+    # Group rows by partition folder; AQE splits folders that hold many rows.
+    df = df.hint("rebalance", *LAYOUT)
+    df.write.mode("overwrite").partitionBy(*LAYOUT).parquet(target)
+
+
+def compact_cache(
+    spark: SparkSession, path: str, least: int = 4, full_bytes: int = 64 << 30
+) -> DataFrame:
+    """Merge the batches shorter than ``full_bytes`` into one, if there are ``least`` of them.
+
+    Batches that have reached ``full_bytes`` are left alone, so a row is rewritten a few
+    times at most, and a reader opens few folders however long refreshes go on. Batches that are
+    added meanwhile stay as they are. If another compaction was first, its result stands and
+    this one's folder is left to ``Batches.vacuum``.
+    """
+    batches = Batches(spark, path)
+    base = batches.version()
+    short = [b for b in batches.live(base) if batches.size(b) < full_bytes]
+    if len(short) >= max(least, 2):
+        merged = f"{MERGED}{uuid.uuid4().hex}"
+        _write(_read(spark, path, [batches.folder(b) for b in short]), batches.folder(merged))
+        batches.commit(base, {
+            **{b: merged for b in short}, **{b: merged for b, into in base.replaced.items() if into in short}})
+    return read_cache(spark, path)
+
+
 def cache_state(cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Last cached year per class, and the species known per class."""
     last = cache.groupBy("pheno_class_id").agg(F.max("year").alias("last_year"))
@@ -93,10 +120,8 @@ def refresh_prior(
     ``batch`` names the run; repeating a finished run's name changes nothing, and an
     unfinished one of that name is replaced.
     """
-    target = f"{path}/batch={batch}"
-    if not any(b.rstrip("/").endswith(f"batch={batch}") for b in _batches(spark, path)):
+    batches = Batches(spark, path)
+    if not batches.finished(batch):
         new = missing_rows(source, read_cache(spark, path), cur, edges, site_elev, p)
-        # Group rows by partition folder; AQE splits folders that hold many rows.
-        new = new.hint("rebalance", *LAYOUT)
-        new.write.mode("overwrite").partitionBy(*LAYOUT).parquet(target)
+        _write(new, batches.folder(batch))
     return read_cache(spark, path)

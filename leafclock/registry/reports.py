@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from leafclock.operators import anomaly, clean, summary
-from leafclock.operators.refresh import refresh_prior
+from leafclock.operators.refresh import compact_cache, read_cache, refresh_prior
 from leafclock.params import FUNC_TYPE_CODES
 from leafclock.plans import anomalies, groundhog, spring_index
 from leafclock.operators.raster import coverage
@@ -21,6 +21,7 @@ from leafclock.registry.standin import (
 )
 from leafclock.registry.grids import CLASS_SQL
 from leafclock.sources.scratch import scratch_dir, staged
+from leafclock.sources.versions import Batches
 
 
 @query("g1_radius_report", TABLE + "SELECT * FROM eo")
@@ -319,15 +320,17 @@ def groundhog_classes(spark, sf_dir):
     return groundhog.class_frequency(anomaly_cells(spark, sf_dir))
 
 
-@query(
-    "r1_refresh_prior",
+CACHE_SQL = (
     chain(CLEAN_SQL, OBS_SQL, FILLED_SQL, gaps=True)
     + f"""SELECT {PLANT_COLUMNS.replace(" elev,", "")},
   coalesce(elev, round_even(s_acctbal, 0)) AS elev
   FROM filled LEFT JOIN supplier ON s_suppkey = site_id WHERE "year" BETWEEN 1995 AND 2000
   AND (species_id, pheno_class_id) IN (SELECT (species_id, pheno_class_id) FROM filled
-    WHERE "year" = 2001)""",
+    WHERE "year" = 2001)"""
 )
+
+
+@query("r1_refresh_prior", CACHE_SQL)
 def refresh(spark, sf_dir):
     """Builds the cache as of two years earlier for some species, then tops it up."""
     path = scratch_dir(spark, "cache")
@@ -338,3 +341,19 @@ def refresh(spark, sf_dir):
     then = P.with_(year=1999)
     refresh_prior(spark, source, path, some, shapes, elev, then, "first")
     return refresh_prior(spark, source, path, cur, shapes, elev, P, "second")
+
+
+@query("r1_compacted_cache", CACHE_SQL)
+def compacted(spark, sf_dir):
+    """Five yearly refreshes, merged twice; what was replaced is deleted before reading."""
+    path = scratch_dir(spark, "cache")
+    source = raw(spark, sf_dir, gaps=True)
+    shapes, elev = edges(spark, sf_dir), site_elevation(spark, sf_dir)
+    cur = staged(anomalies.prepare(source, shapes, elev, P, years=[P.year]), "current")
+    for year in range(P.year - 4, P.year + 1):
+        some = cur if year > 1998 else cur.where("species_id <= 4")
+        refresh_prior(spark, source, path, some, shapes, elev, P.with_(year=year), str(year))
+        if year >= P.year - 1:
+            compact_cache(spark, path, least=2)
+    Batches(spark, path).vacuum(hours=0)
+    return read_cache(spark, path)
