@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -215,3 +216,54 @@ def test_geometric_joins_place_no_exchange_by_hand(spark):
     points = spark.createDataFrame([(0.5, 0.5)], "x double, y double")
     plan = locate.locate_points(points, edges_of(spark, square("A", 0, 0)))
     assert "REPARTITION" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_deep_inside_meet_no_edges(spark):
+    """Only points in cells that edges touch are compared, and only with the edges near them."""
+    rnd = random.Random(4)
+    n = 400
+    ring = [("A", 0, i, 10 + (3 + 0.02 * rnd.random()) * math.cos(2 * math.pi * i / n),
+             10 + (3 + 0.02 * rnd.random()) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    island = [("A", k, i, 10 + 0.3 * (k - 3) + dx, 10.003 + dy) for k in range(1, 6)
+              for i, (dx, dy) in enumerate(((0, 0), (0.01, 0), (0.01, 0.01), (0, 0.01)))]
+    edges = polygon_edges(spark.createDataFrame(ring + island, V))
+    pts = [(rnd.uniform(6, 14), rnd.uniform(6, 14)) for _ in range(1500)]
+    pts += [(10 + 0.3 * (k - 3) + 0.005, 10.008) for k in range(1, 6)] + [(10.1, 10.008), (10.1, 11.0)]
+    points = spark.createDataFrame(pts, "x double, y double")
+    cover = locate.region_cover(edges)
+    placed = locate.place_points(points, cover)
+    rim = placed.where("run IS NOT NULL")
+    compared = rim.join(cover.pieces, ["poly_id", "row", "run"]).count()
+    deep = [p for p in pts if math.dist(p, (10, 10)) < 2.8 and abs(p[1] - 10) > 0.2]
+    done = {(r.x, r.y) for r in placed.where("run IS NULL").collect()}
+    assert len(deep) > 500 and done >= set(deep)
+    assert rim.count() < 0.15 * len(pts) and compared < 25 * rim.count()
+    got = {(r.x, r.y) for r in locate.locate_points(points, edges, cover).collect()}
+    lines = [tuple(e)[2:] for e in edges.collect()]
+
+    def inside(x, y):
+        return sum(min(b, d) <= y < max(b, d) and x < a + (y - b) * (c - a) / (d - b) for a, b, c, d in lines) % 2
+
+    assert got == {p for p in pts if inside(*p)}
+
+
+def test_cover_of_touching_slanted_and_flat_edges(spark):
+    """Edges on the lines of the cells, flat ones, and one region within another's hole."""
+    rnd = random.Random(8)
+    shapes = [square("A", 0, 0, 1.0), square("A", 0.25, 0.25, 0.5, ring=1), square("B", 0.25, 0.25, 0.5),
+              [("C", 0, i, x, y) for i, (x, y) in enumerate(((1.0, 0.0), (1.55, 0.0), (1.3, 0.35), (1.0, 0.1)))],
+              [("D", 0, i, x, y) for i, (x, y) in enumerate(((-1.0, -1.0), (3.0, -0.9), (-1.0, -0.8)))]]
+    edges = edges_of(spark, *shapes)
+    pts = [(round(rnd.uniform(-1, 2), 2), round(rnd.uniform(-1, 1), 2)) for _ in range(1500)]
+    pts += [(x, y) for x in (0.0, 0.25, 0.5, 0.75, 1.0) for y in (0.0, 0.25, 0.5, 0.75, 1.0)]
+    got = {(r.x, r.y, r.poly_id) for r in locate.locate_points(
+        spark.createDataFrame(pts, "x double, y double"), edges).collect()}
+    want = set()
+    lines = [tuple(e) for e in edges.collect()]
+    for x, y in pts:
+        for poly in "ABCD":
+            n = sum(p == poly and min(b, d) <= y < max(b, d) and x < a + (y - b) * (c - a) / (d - b)
+                    for p, _, a, b, c, d in lines)
+            if n % 2:
+                want.add((x, y, poly))
+    assert got == want
