@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafclock.params import ANOMALY_CLASSES
+from leafclock.sources.scratch import staged
 
 
 @dataclass(frozen=True)
@@ -36,35 +37,80 @@ class CellGrid:
         return F.col("row").between(0, self.rows - 1) & F.col("col").between(0, self.cols - 1)
 
 
-def _ring_signs(edges: DataFrame) -> DataFrame:
+#: Lines of latitude by level: ``16 ** -level`` degrees apart, off the round numbers that vertices like.
+_STEP, _OFF = 16, 0.3819660113
+
+
+def _line_of(y: Column, level: Column) -> Column:
+    """Number of the first line of a level at or above a latitude."""
+    return F.ceil(y * F.pow(F.lit(float(_STEP)), level) - F.lit(_OFF)).cast("long")
+
+
+def _nodes(first: Column, end: Column) -> Column:
+    """The fewest dyadic intervals (j, node) that make up the line numbers [first, end).
+
+    ``node`` at j holds the lines with ``line >> j = node``; there are two of each j at most.
+    """
+    def at(j):
+        low = F.call_function("shiftright", first + F.call_function("shiftleft", F.lit(1).cast("long"), j) - 1, j)
+        high = F.call_function("shiftright", end, j)
+        some = low < high
+        return F.array(
+            F.when(some & (low % 2 != 0), F.struct(j.alias("j"), low.alias("node"))),
+            F.when(some & (high % 2 != 0), F.struct(j.alias("j"), (high - 1).alias("node"))))
+
+    most = F.ceil(F.log2(F.greatest(end - first, F.lit(1)).cast("double"))).cast("int") + 1
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), most), at)))
+
+
+def _ring_signs(edges: DataFrame, close: float = 1e-9) -> DataFrame:
     """+1 or -1 per ring: what turns its signed area into land, or into a hole of it.
 
-    A ring is a hole if an odd number of the other rings of its polygon lie around it.
-    One point of each ring is compared with the edges in its latitude band.
+    A ring is a hole if an odd number of the other rings of its polygon lie around it. Every
+    ring is tested on one line of latitude, of a level whose lines are less than half its height apart, just
+    right of where the line first meets the ring: one sweep along the line counts the
+    edges met so far. Edges find the lines in use by dyadic intervals, so an edge meets only lines
+    that cross it, and rings of like size share lines: the work is linear in the edges but for a logarithm.
+    Edges that meet the line within ``close`` of one another count as met together.
     """
     area = F.sum(F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))
-    # The midpoint of one edge: rings may touch in a vertex.
-    at = F.min(F.struct(
-        ((F.col("x1") + F.col("x2")) / 2).alias("x"), ((F.col("y1") + F.col("y2")) / 2).alias("y")))
     rings = edges.where("x1 <> x2 OR y1 <> y2").groupBy("poly_id", "ring_id").agg(
-        area.alias("area"), at.alias("at")).where("area <> 0")
-    band = lambda c: F.floor(c / 0.05).cast("int")
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    around = edges.where("y1 <> y2").select(
-        "poly_id", F.col("ring_id").alias("other"), "x1", "y1", "x2", "y2", low.alias("low"), high.alias("high"),
-        F.explode(F.sequence(band(low), band(high))).alias("band"))
-    across = F.col("x1") + (F.col("at.y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    holders = (
-        rings.withColumn("band", band(F.col("at.y"))).join(around, ["poly_id", "band"])
-        .where("ring_id <> other AND at.y >= low AND at.y < high").where(F.col("at.x") < across)
-        .groupBy("poly_id", "ring_id", "other").agg((F.count(F.lit(1)) % 2).alias("inside"))
-        .groupBy("poly_id", "ring_id").agg(F.sum("inside").alias("depth"))
-    )
-    hole = F.coalesce(F.col("depth"), F.lit(0)) % 2 == 1
-    return rings.join(holders, ["poly_id", "ring_id"], "left").select(
+        area.alias("area"), F.min(F.least("y1", "y2")).alias("low"), F.max(F.greatest("y1", "y2")).alias("high"),
+    ).where("area <> 0")
+    rings = staged(rings.withColumn("others", F.count("*").over(Window.partitionBy("poly_id")) - 1), "rings")
+    level = F.greatest(F.ceil(-F.log(float(_STEP), (F.col("high") - F.col("low")) / 2)), F.lit(0)).cast("int")
+    # The only ring of a polygon lies in no other.
+    tested = rings.where("others > 0").withColumn("level", level)
+    tested = tested.select("poly_id", "ring_id", "level", _line_of(F.col("low"), F.col("level")).alias("line"))
+    crossings = _crossings(edges, tested)
+    crossings = crossings.withColumn("at", F.round(F.col("x") / close).cast("long"))
+    line = Window.partitionBy("poly_id", "level", "line").orderBy("at")
+    own = Window.partitionBy("poly_id", "level", "line", "ring_id").orderBy("at")
+    met = F.count("*").over(line.rangeBetween(Window.unboundedPreceding, 1))
+    mine = F.count("*").over(own.rangeBetween(Window.unboundedPreceding, 1))
+    first = F.row_number().over(own)
+    depth = crossings.withColumns({"around": met - mine, "nth": first}).where("nth = 1").join(
+        tested, ["poly_id", "ring_id", "level", "line"], "left_semi").select("poly_id", "ring_id", "around")
+    hole = F.coalesce(F.col("around"), F.lit(0)) % 2 == 1
+    return rings.join(depth, ["poly_id", "ring_id"], "left").select(
         "poly_id", "ring_id", (F.signum("area") * F.when(hole, -1).otherwise(1)).alias("sign"))
 
 
+def _crossings(edges: DataFrame, tested: DataFrame) -> DataFrame:
+    """(poly_id, ring_id, level, line, x) where edges cross the lines that rings are tested on."""
+    lines = tested.select("poly_id", "level", "line").distinct()
+    up = lines.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(40)))).withColumn(
+        "node", F.call_function("shiftright", F.col("line"), F.col("j")))
+    levels = lines.select("poly_id", "level").distinct()
+    begin, end = (_line_of(f("y1", "y2"), F.col("level")) for f in (F.least, F.greatest))
+    cut = edges.where("y1 <> y2").join(levels, "poly_id").withColumns({"begin": begin, "end": end}).where("begin < end")
+    cut = cut.select("poly_id", "ring_id", "level", "x1", "y1", "x2", "y2", F.inline(_nodes(F.col("begin"), F.col("end"))))
+    y = (F.col("line") + F.lit(_OFF)) / F.pow(F.lit(float(_STEP)), F.col("level"))
+    share = F.least(F.greatest((y - F.col("y1")) / (F.col("y2") - F.col("y1")), F.lit(0.0)), F.lit(1.0))
+    return cut.join(up, ["poly_id", "level", "j", "node"]).select(
+        "poly_id", "ring_id", "level", "line", (F.col("x1") + share * (F.col("x2") - F.col("x1"))).alias("x"))
+
+
 def coverage(edges: DataFrame, grid: CellGrid, least: float = 1e-9) -> DataFrame:
     """Exact share of each cell inside each region: (poly_id, row, col, frac).
 

@@ -267,3 +267,50 @@ def test_cover_of_touching_slanted_and_flat_edges(spark):
             if n % 2:
                 want.add((x, y, poly))
     assert got == want
+
+
+def nested(spark, n, seed=2):
+    """One outline with n islands' lakes in a band of latitude, some lakes with an isle."""
+    rnd = random.Random(seed)
+    rings = [("A", 0, [(0, 0), (n, 0), (n, 1), (0, 1)])]
+    for i in range(n):
+        size = 0.9 * 10 ** rnd.uniform(-4, 0)
+        x, y = i + 0.05, 0.5 + rnd.uniform(-0.01, 0.01) - size / 2
+        lake = [(x, y), (x + size, y + size / 9), (x + size / 2, y + size)]
+        rings.append(("A", 2 * i + 1, lake[::rnd.choice((1, -1))]))
+        if i % 3 == 0:
+            cx, cy = (sum(c) / 3 for c in zip(*lake))
+            rings.append(("A", 2 * i + 2, [(cx + (a - cx) / 4, cy + (b - cy) / 4) for a, b in lake][::rnd.choice((1, -1))]))
+    rows = [(p, r, i, float(a), float(b)) for p, r, ring in rings for i, (a, b) in enumerate(ring)]
+    return rings, polygon_edges(spark.createDataFrame(rows, V))
+
+
+def test_nested_rings_by_a_sweep(spark):
+    rings, edges = nested(spark, 300)
+    area = lambda p: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:] + p[:1]))
+    got = {r.ring_id: r.sign for r in raster._ring_signs(edges).collect()}
+    want = {r: (1 if area(p) > 0 else -1) * (-1 if r and r % 2 else 1) for _, r, p in rings}
+    assert got == want
+    # Rings that meet in a vertex, and rings of one shape side by side.
+    touching = edges_of(spark, square("T", 0, 0, 3.0), square("T", 0, 1, 1.0, ring=1), square("T", 1, 2, 1.0, ring=2),
+                        square("U", 0, 0), square("U", 1, 0, ring=1), square("U", 2, 0, ring=2))
+    assert {(r.poly_id, r.ring_id): r.sign for r in raster._ring_signs(touching).collect()} == {
+        ("T", 0): 1, ("T", 1): -1, ("T", 2): -1, ("U", 0): 1, ("U", 1): 1, ("U", 2): 1}
+
+
+def test_islands_of_one_band_are_linear_work(spark):
+    """Edges meet few lines: 20,000 islands in one band of latitude, not 20,000 times their edges."""
+    n = 20_000
+    i = spark.range(n).withColumns({"x": F.col("id") % 2000 * 0.01, "y": F.floor(F.col("id") / 2000) * 0.004})
+    corners = [(0, 0), (0.006, 0.0005), (0.006, 0.003), (0.001, 0.0035)]
+    edges = None
+    for k, (a, b) in enumerate(corners):
+        c, d = corners[(k + 1) % 4]
+        part = i.select(F.lit("A").alias("poly_id"), F.col("id").cast("int").alias("ring_id"), (F.col("x") + a).alias("x1"),
+                        (F.col("y") + b).alias("y1"), (F.col("x") + c).alias("x2"), (F.col("y") + d).alias("y2"))
+        edges = part if edges is None else edges.unionByName(part)
+    rings = edges.groupBy("poly_id", "ring_id").agg(F.min("y1").alias("low"))
+    level = F.lit(3)
+    tested = rings.select("poly_id", "ring_id", level.alias("level"), raster._line_of(F.col("low"), level).alias("line"))
+    assert raster._crossings(edges, tested).count() < 4 * n
+    assert raster._ring_signs(edges).groupBy("sign").count().collect()[0][:] == (1.0, n)
