@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafclock.functions import stats
+from leafclock.operators.quantiles import quantile_table
 from leafclock.sources.scratch import staged
 
 
@@ -139,17 +140,19 @@ def panel_counts(panels: DataFrame, key: str = "pheno_class_id") -> DataFrame:
     )
 
 
-def five_numbers(df: DataFrame, column: str, keys=()) -> DataFrame:
-    """Minimum, quartiles, mean and maximum."""
-    q = stats.quantiles(column, [0.25, 0.5, 0.75])
-    return (
-        df.groupBy(*keys)
-        .agg(
-            F.min(column).alias("min"), q.alias("q"),
-            F.avg(column).alias("mean"), F.max(column).alias("max"),
-        )
-        .select(
-            *keys, "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), "mean",
-            F.col("q")[2].alias("q75"), "max",
-        )
-    )
+def five_numbers(df: DataFrame, column: str, keys=(), short: bool = False) -> DataFrame:
+    """Minimum, quartiles, mean and maximum.
+
+    Groups may have any number of different values; ``short`` ones, known to have few, need
+    one aggregation only.
+    """
+    keys, probs = list(keys), {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    ends = F.min(column).alias("min"), F.avg(column).alias("mean"), F.max(column).alias("max")
+    if short:
+        q = stats.quantiles(column, list(probs.values()))
+        out = df.groupBy(*keys).agg(*ends, q.alias("q")).select("*", *[F.col("q")[i].alias(n) for i, n in enumerate(probs)])
+    else:
+        a, b = df.groupBy(*keys).agg(*ends).alias("a"), quantile_table(df, keys, column, probs).alias("b")
+        same = reduce(and_, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], F.lit(True))
+        out = a.join(b, same, "left").select("a.*", *probs)
+    return out.select(*keys, "min", "q25", "median", "mean", "q75", "max")

@@ -80,7 +80,7 @@ def point_history(
         F.count_if(F.col("value") > F.col("currentyr")).alias("n_later"),
         F.count_if(F.col("value") < F.col("currentyr")).alias("n_earlier"),
     )
-    five = summary.five_numbers(rows, "value", by)
+    five = summary.five_numbers(rows, "value", by, short=True)
     return counts.join(five, by).withColumns({
         "return_late": county.return_interval("n_later", n),
         "return_early": county.return_interval("n_earlier", n),

@@ -11,7 +11,7 @@ from leafclock.registry.flags import TABLE, eo_table
 from leafclock.registry.joins import compared, flags_and_prior
 from leafclock.registry.standin import (
     BASE, CLEAN_SQL, OBS_SQL, P, POOL, PROJECTED_SQL, SITE_YEARS_SQL, chain, cur_prior,
-    observations, raw, raw_sql, site_years,
+    observations, raw, raw_sql, site_years, table,
 )
 
 OBS = chain(CLEAN_SQL, OBS_SQL)
@@ -189,6 +189,34 @@ def five(spark, sf_dir):
     return summary.five_numbers(rows, "doy", ["COUNTYFP"])
 
 
+UNIT_PRICE = "l_extendedprice / (l_quantity + l_discount + l_tax)"
+
+
+@query(
+    "a18_continuous_groups",
+    f"""SELECT l_returnflag, round(min(v), 6) AS "min", round(quantile_cont(v, 0.25), 6) AS q25,
+  round(quantile_cont(v, 0.5), 6) AS median, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.75), 6) AS q75,
+  round(max(v), 6) AS "max" FROM (SELECT l_returnflag, CASE WHEN l_partkey % 11 > 0 THEN {UNIT_PRICE} END AS v
+  FROM lineitem) GROUP BY 1""",
+)
+def five_of_groups(spark, sf_dir):
+    """Three groups with nearly as many different values as rows."""
+    price = F.expr(f"CASE WHEN l_partkey % 11 > 0 THEN {UNIT_PRICE} END")
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", price.alias("v"))
+    return summary.five_numbers(rows, "v", ["l_returnflag"])
+
+
+@query(
+    "a18_continuous_whole",
+    f"""SELECT round(min(v), 6) AS "min", round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS median,
+  round(avg(v), 6) AS mean, round(quantile_cont(v, 0.75), 6) AS q75, round(max(v), 6) AS "max"
+  FROM (SELECT {UNIT_PRICE} AS v FROM lineitem)""",
+)
+def five_of_all(spark, sf_dir):
+    """The whole table as one group."""
+    return summary.five_numbers(table(spark, sf_dir, "lineitem").select(F.expr(UNIT_PRICE).alias("v")), "v")
+
+
 @query("a17_panel_marks", POOL + "SELECT pheno_class_id, panel, first_yes, eo FROM flags")
 def marks(spark, sf_dir):
     p = P.with_(outliers_in_histogram=True)
