@@ -15,11 +15,9 @@ def scoped(raw: DataFrame, p: Params, years=None) -> DataFrame:
 
     Empty lists and no period mean no limit.
     """
-    rows = scan_observations(
-        raw, years if years is not None else [*p.prior_years, p.year],
-        p.pheno_class_ids or None, p.phenophase_ids or None,
-    )
-    return in_period(rows, *p.period) if p.period else rows
+    years = years if years is not None else [*p.prior_years, p.year]
+    rows = scan_observations(raw, years, p.pheno_class_ids or None, p.phenophase_ids or None)
+    return in_period(rows, *p.period, years=years) if p.period else rows
 
 
 def prepare(

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from calendar import isleap
+from datetime import date, timedelta
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafclock import schemas
-from leafclock.functions.labels import month_day
 
 
 def read_observations(spark: SparkSession, path: str, kind: str = "plants") -> DataFrame:
@@ -56,15 +61,49 @@ def scan_observations(
     return df
 
 
+def _period_days(start_mmdd: str, end_mmdd: str, leap: bool) -> list[tuple[int, int]]:
+    """First and last day of year of a calendar period: one range, or two if it turns over new year."""
+    first = date(2024 if leap else 2023, 1, 1)
+    days = [(first + timedelta(days=i)).strftime("%m-%d") for i in range(366 if leap else 365)]
+    start, end = bisect_left(days, start_mmdd) + 1, bisect_right(days, end_mmdd)
+    whole = [(start, end)] if start_mmdd <= end_mmdd else [(1, end), (start, len(days))]
+    return [(a, b) for a, b in whole if a <= b]
+
+
 def in_period(
     df: DataFrame,
     start_mmdd: str,
     end_mmdd: str,
     year: str = "first_yes_year",
     doy: str = "first_yes_doy",
+    years=None,
 ) -> DataFrame:
-    """Rows whose day falls in a calendar period of its own year."""
-    return df.where(month_day(year, doy).between(start_mmdd, end_mmdd))
+    """Rows whose day falls in a calendar period of its own year, which may turn over new year.
+
+    The period is a range of days of common years and one of leap years, a day apart after
+    February. The days of either kind are plain comparisons, which Spark pushes into the scan; with
+    ``years`` given, so is the choice between them, as lists of years.
+    """
+    day = F.col(doy)
+
+    def within(leap):
+        ranges = [day.between(a, b) for a, b in _period_days(start_mmdd, end_mmdd, leap)]
+        return reduce(or_, ranges, F.lit(False))
+
+    either = F.lit(False)
+    if years is not None:
+        for leap in (True, False):
+            own = [y for y in years if isleap(y) == leap]
+            either = either | (F.col(year).isin(*own) & within(leap)) if own else either
+        return df.where(either)
+    common, leap = (_period_days(start_mmdd, end_mmdd, kind) for kind in (False, True))
+    # What either kind of year allows reaches the scan; the exact test is left to the rows it returns.
+    loose = reduce(or_, [day.between(min(a, c), max(b, d)) for (a, b), (c, d) in zip(common, leap)], F.lit(False))
+    if len(common) != len(leap):
+        loose = within(True) | within(False)
+    y = F.col(year)
+    is_leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    return df.where(loose).where((is_leap & within(True)) | (~is_leap & within(False)))
 
 
 def from_day(df: DataFrame, first_doy: int = 180, doy: str = "first_yes_doy") -> DataFrame:

@@ -143,3 +143,40 @@ def test_reference_shaped_file(spark, tmp_path):
     )
     got = read_observations(spark, str(tmp_path / "a.csv")).first()
     assert got.elev is None and got.common_name == "made-up shrub" and got.first_yes == 77
+
+
+@pytest.mark.parametrize("start, end", [
+    ("07-01", "12-31"), ("02-20", "03-05"), ("02-29", "02-29"), ("02-29", "06-30"), ("01-01", "02-29"), ("11-15", "03-01"),
+    ("12-31", "01-01"), ("03-01", "02-28"), ("01-01", "12-31")])
+def test_period_of_leap_and_common_years(spark, rows, start, end):
+    from datetime import date, timedelta
+
+    days = [(y, d) for y in (1900, 2000, 2023, 2024) for d in range(0, 368)] + [(None, 5), (2024, None)]
+    df = spark.createDataFrame(days, "first_yes_year int, first_yes_doy int")
+
+    def inside(y, d):
+        at = date(y, 1, 1) + timedelta(days=d - 1)
+        mmdd = at.strftime("%m-%d")
+        return at.year == y and (start <= mmdd <= end if start <= end else mmdd >= start or mmdd <= end)
+
+    want = sorted((y, d) for y, d in days if y and d is not None and inside(y, d))
+    assert rows(in_period(df, start, end)) == want
+    assert rows(in_period(df, start, end, years=[2000, 2023, 1999])) == [x for x in want if x[0] in (2000, 2023)]
+
+
+def test_period_is_pushed_into_the_scan(spark, tmp_path):
+    path = str(tmp_path / "obs")
+    spark.createDataFrame([(2024, 180, 1)], "first_yes_year int, first_yes_doy int, v int").write.parquet(path)
+    df = spark.read.parquet(path)
+
+    def pushed(out):
+        spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+        return plan.split("PushedFilters: [")[1].split("ReadSchema")[0]
+
+    plain = pushed(in_period(df, "07-01", "12-31"))
+    assert "GreaterThanOrEqual(first_yes_doy,182)" in plain and "LessThanOrEqual(first_yes_doy,366)" in plain
+    assert "Or(" in pushed(in_period(df, "11-15", "03-01"))
+    by_year = pushed(in_period(df, "07-01", "12-31", years=[2023, 2024]))
+    assert "first_yes_year" in by_year and "GreaterThanOrEqual(first_yes_doy,183)" in by_year
