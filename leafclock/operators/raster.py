@@ -164,20 +164,22 @@ def coverage(edges: DataFrame, grid: CellGrid, least: float = 1e-9) -> DataFrame
     return own.unionByName(between).withColumn("frac", frac).where((F.col("col") >= 0) & (F.col("frac") > least))
 
 
+def zonal_sums(cells: DataFrame, cov: DataFrame) -> DataFrame:
+    """Coverage-weighted sum of values and sum of coverage per region, index and year."""
+    w, v = F.col("frac"), F.col("value")
+    return cells.join(cov, ["row", "col"]).groupBy("poly_id", "index", "year").agg(
+        F.sum(v * w).alias("vw"), F.coalesce(F.sum(F.when(v.isNotNull(), w)), F.lit(0.0)).alias("count"))
+
+
+def zonal_means(sums: DataFrame) -> DataFrame:
+    mean = F.when(F.col("count") > 0, F.col("vw") / F.col("count"))
+    return sums.select("poly_id", "index", "year", mean.alias("mean"), "count")
+
+
 def zonal(cells: DataFrame, cov: DataFrame) -> DataFrame:
     """Coverage-weighted mean and coverage sum per region, index and year, over
     cells that have a value."""
-    w, v = F.col("frac"), F.col("value")
-    used = F.when(v.isNotNull(), w)
-    return (
-        cells.join(cov, ["row", "col"])
-        .groupBy("poly_id", "index", "year")
-        .agg(F.sum(v * w).alias("vw"), F.sum(used).alias("count"))
-        .select(
-            "poly_id", "index", "year", (F.col("vw") / F.col("count")).alias("mean"),
-            F.coalesce("count", F.lit(0.0)).alias("count"),
-        )
-    )
+    return zonal_means(zonal_sums(cells, cov))
 
 
 def mask_incomplete(z: DataFrame, year: int, min_prop: float = 0.90) -> DataFrame:

@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafclock.operators import county, raster, summary
+from leafclock.operators import county, raster, summary, zonal_store
 from leafclock.sources.scratch import staged
 
 
 def county_long(
-    cells: DataFrame, cov: DataFrame, counties: DataFrame, year: int, min_prop: float = 0.90
+    cells: DataFrame, cov: DataFrame, counties: DataFrame, year: int, min_prop: float = 0.90,
+    store: str | None = None, years=(), indices=("leaf", "bloom"),
 ) -> DataFrame:
     """One row per county, index and year; the current year only where it is complete.
 
     ``counties`` maps ``poly_id`` to the county columns. The zonal means are small
     and read by every later step, so they are written once; so is the coverage, which
-    depends on the grid only.
+    depends on the grid only. With a ``store`` the prior ``years`` come from there, and only
+    those that it lacks are computed.
     """
-    z = staged(raster.zonal(cells, staged(cov, "coverage")), "zonal")
+    cov = staged(cov, "coverage")
+    if store is None:
+        z = raster.zonal(cells, cov)
+    else:
+        prior = [(i, y) for i in indices for y in years if y != year]
+        z = zonal_store.zonal_years(cells, cov, store, prior, fresh=[(i, year) for i in indices])
+    z = staged(z, "zonal")
     z = raster.mask_incomplete(z, year, min_prop)
     return counties.join(z, "poly_id").select(
         "poly_id", *county.COUNTY, "index", "year", F.col("mean").alias("doy")

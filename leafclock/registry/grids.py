@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from leafclock import schemas
 from leafclock.operators import clean, county, raster
+from leafclock.operators.zonal_store import zonal_years
 from leafclock.params import BREAKS_GROUNDHOG
 from leafclock.registry.base import query
 from leafclock.registry.joins import ANOM_SQL
@@ -13,7 +14,7 @@ from leafclock.registry.standin import (
     inside_sql, nation_years, site_years, table, yearly_cells,
 )
 from leafclock.sources.grids import read_cells, read_county_index, store_cells
-from leafclock.sources.scratch import scratch_dir
+from leafclock.sources.scratch import scratch_dir, staged
 from leafclock.sources.sinks import write_table
 
 KEYS = "STATEFP, COUNTYFP, state, county"
@@ -281,6 +282,21 @@ def zonal(spark, sf_dir):
     return zonal_of(spark, sf_dir, yearly_cells(spark, sf_dir))
 
 
+@query(
+    "z2_zonal_incremental",
+    f"""WITH {CELLS_SQL}, {COVERAGE_SQL}, {ZONAL_SQL} SELECT poly_id, "index", "year",
+  round(mean, 6) AS mean, round("count", 6) AS "count" FROM zonal""",
+)
+def zonal_incremental(spark, sf_dir):
+    """A store of zonal sums filled in two steps, and the current year computed anew."""
+    path = scratch_dir(spark, "zonal-store")
+    cells = store_cells(yearly_cells(spark, sf_dir), scratch_dir(spark, "cells"))
+    cov = staged(raster.coverage(edges(spark, sf_dir), GRID), "coverage")
+    keys = [(i, y) for i in ("leaf", "bloom") for y in range(1990, 2001)]
+    zonal_years(cells, cov, path, [k for k in keys if k[1] < 1998])
+    return zonal_years(cells, cov, path, keys, fresh=[("leaf", 2001), ("bloom", 2001)])
+
+
 def _bilinear_sql(source: str, name: str, grid=COARSE, target=GRID) -> str:
     return f"""{name} AS (SELECT "index", "year", "row", col, lon, lat,
   sum(v * wx * wy) / sum(wx * wy) AS "value" FROM (

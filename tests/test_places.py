@@ -314,3 +314,38 @@ def test_islands_of_one_band_are_linear_work(spark):
     tested = rings.select("poly_id", "ring_id", level.alias("level"), raster._line_of(F.col("low"), level).alias("line"))
     assert raster._crossings(edges, tested).count() < 4 * n
     assert raster._ring_signs(edges).groupBy("sign").count().collect()[0][:] == (1.0, n)
+
+
+def test_zonal_years_are_computed_once(spark, rows, tmp_path):
+    import shutil
+
+    from leafclock.operators.zonal_store import coverage_version, zonal_years
+    from leafclock.sources.grids import store_cells
+
+    edges = edges_of(spark, square("A", 0.5, 1.0, 2.0), square("B", 2.5, 1.0, 1.2))
+    cov = raster.coverage(edges, GRID)
+    values = [cell_rows(all_cells(lambda r, c: None if (r + c + y) % 5 == 0 else r * 4.0 + c + y), 2020 + y) for y in range(5)]
+    folder, store = str(tmp_path / "cells"), str(tmp_path / "store")
+    cells = store_cells(spark.createDataFrame([x for v in values for x in v], C), folder)
+    whole = rows(raster.zonal(cells, cov))
+    past, now = [("leaf", 2020 + y) for y in range(4)], [("leaf", 2024)]
+    some = zonal_years(cells, cov, store, past[:2])
+    assert rows(some) == [r for r in whole if r[2] < 2022]
+    assert rows(zonal_years(cells, cov, store, past, now)) == whole
+    other = raster.coverage(edges_of(spark, square("A", 0.5, 1.0, 2.0), square("B", 2.5, 1.0, 1.3)), GRID)
+    changed = rows(raster.zonal(cells, other))
+    # Cells of past years are gone: whoever opens them fails, or lacks rows.
+    kept = {y: str(tmp_path / f"kept-{y}") for y in range(2020, 2024)}
+    for y, to in kept.items():
+        shutil.move(f"{folder}/index=leaf/year={y}", to)
+    left = spark.read.schema(cells.schema).parquet(folder)
+    again = zonal_years(left, cov, store, past, now)
+    assert rows(again) == whole
+    stored = zonal_years(left, cov, store, past)
+    assert "/cells" not in "".join(stored.inputFiles())
+    # Another coverage is another version: all its years are computed.
+    assert coverage_version(cov) == coverage_version(cov.repartition(3)) != coverage_version(other)
+    for y, to in kept.items():
+        shutil.move(to, f"{folder}/index=leaf/year={y}")
+    assert rows(zonal_years(store_cells(cells, str(tmp_path / "again")), other, store, past, now)) == changed
+    assert rows(zonal_years(cells, cov, store, past, now)) == whole
