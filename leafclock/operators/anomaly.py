@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leafclock.functions import labels, stats
 from leafclock.operators.clean import flagged, sufficient
-from leafclock.operators.pool import PLACE, neighbour_pool, pool_days, pool_sizes
+from leafclock.operators.pool import PLACE, PoolIndex, neighbour_pool, pool_days, pool_rows, pool_sizes
 from leafclock.params import Params
 
 
@@ -89,6 +89,23 @@ def panel_pool(flags: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def read_panels(index: PoolIndex, flags: DataFrame, prior: DataFrame, p: Params, panels=None) -> DataFrame:
+    """``panel_pool`` out of a stored index, of all panels or of those named.
+
+    What is stored does not grow with the pools; the rows of a panel are found when it is read.
+    """
+    key = [*p.group_keys, *PLACE]
+    if panels is not None:
+        flags = flags.where(F.col("panel").isin(*panels))
+    phase = ["phenophase_id", "phenophase"] if p.phase_key == "phenophase" else [p.phase_key]
+    named = flags.select(*key, "indiv", "panel").join(index.keys.select("pool", *key), key).select("pool", "indiv", "panel")
+    rows = pool_rows(index, prior, p, of=flags if panels is not None else None)
+    return named.join(rows, "pool").select(
+        "common_name", "func_type", *phase, "site_id", "lat", "lon", "elev", "state",
+        "year", "first_yes", "indiv", "panel",
+    )
+
+
 def panel_days(flags: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
     """Prior records behind each panel, by day: what its histogram needs."""
     key = [*p.group_keys, *PLACE]

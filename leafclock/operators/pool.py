@@ -12,12 +12,15 @@ every point of another, the whole cell counts at once, shared by all keys of the
 first cell; the number of such cells is bounded by the map, not by the records.
 Only cells on the rim of the radius or band are compared location by location.
 
-``neighbour_pool`` lists the records of each pool, for the few rows that need it.
+``neighbour_pool`` lists the records of each pool, for the few rows that need it; ``pool_index`` keeps
+pools as intervals of whole cells and places of the rim, to list a pool's records when they are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafclock.functions import stats
@@ -366,6 +369,72 @@ def neighbour_pool(cur: DataFrame, prior: DataFrame, p: Params, carry=()) -> Dat
     )
 
 
+@dataclass(frozen=True)
+class PoolIndex:
+    """Pools as places, not rows: each pool is a set of runs of whole cells and of single places.
+
+    ``keys`` (pool, keys, place, cell) are the pools; ``cells`` (keys, cell, u_t_row, u_t_col, low, high) the
+    prior cells that lie wholly within reach of a pool cell, neighbours in elevation as one
+    interval; ``places`` (pool, keys, site_id, lat, lon, elev) the prior places of the rim that are within reach,
+    and all those of moved sites, which ``moved`` lists. All are written tables, whose
+    size follows the map and its sites, not the records.
+    """
+
+    keys: DataFrame
+    cells: DataFrame
+    places: DataFrame
+    moved: DataFrame | None
+
+
+def pool_index(cur: DataFrame, prior: DataFrame, p: Params) -> PoolIndex:
+    """The pools of the current rows' keys, encoded by cells and places."""
+    on, u_cell = p.group_keys, [f"u_{c}" for c in CELL]
+    keys = _pool_keys(cur, p)
+    known = prior_of(prior, p).select(*on, "site_id", *PLACE).distinct()
+    sites = staged(_with_cell(known, p), "pool-sites")
+    near, moved = _near_cells(keys, sites, p), _moved_sites(sites, p)
+    still = sites if moved is None else sites.join(moved, [*on, "site_id"], "left_anti")
+
+    run = Window.partitionBy(*on, *CELL, "u_t_row", "u_t_col").orderBy("u_t_elev")
+    cells = near.where("whole").withColumn("run", F.col("u_t_elev") - F.row_number().over(run)).groupBy(
+        *on, *CELL, "u_t_row", "u_t_col", "run").agg(F.min("u_t_elev").alias("low"), F.max("u_t_elev").alias("high"))
+
+    left = keys.select("pool", *on, *CELL, *PLACE, "beta", "lam")
+    right = _as_other(still, [*CELL, *PLACE, "beta", "lam"])
+    rim = left.join(near.where("NOT whole").drop("whole"), [*on, *CELL]).join(right, [*on, *u_cell]).where(_in_band(p))
+    columns = ["pool", *on, "site_id", *[F.col(f"u_{c}").alias(c) for c in PLACE]]
+    places = _in_radius(rim, p).select(*columns)
+    if moved is not None:
+        some = sites.join(moved, [*on, "site_id"], "left_semi")
+        reached = keys.select("pool", *on, *PLACE).join(_near_sites(keys, some, p), [*on, "lat", "lon"])
+        theirs = _as_other(some.select(*on, "site_id", *PLACE), PLACE)
+        places = places.unionByName(reached.join(theirs, [*on, "site_id"]).where(_in_band(p)).select(*columns))
+    return PoolIndex(keys, staged(cells.drop("run"), "pool-cells"), staged(places, "pool-places"), moved)
+
+
+def pool_rows(index: PoolIndex, prior: DataFrame, p: Params, of: DataFrame | None = None) -> DataFrame:
+    """The prior rows of each pool: (pool, prior row); with ``of``, only of the pools of its rows.
+
+    A whole cell meets its rows by cell, a place of the rim by place; no distance is computed again.
+    """
+    on, keys, places = p.group_keys, index.keys, index.places
+    if of is not None:
+        wanted = staged(of.select(*on, *PLACE).distinct(), "wanted")
+        keys = staged(keys.join(wanted, [*on, *PLACE], "left_semi"), "wanted-pools")
+        places = places.join(keys.select("pool"), "pool", "left_semi")
+    rows = prior_of(prior, p).where(F.col("elev").isNotNull())
+    columns = rows.columns
+    celled = _with_cell(rows, p).drop("beta", "lam")
+    if index.moved is not None:
+        celled = celled.join(index.moved, [*on, "site_id"], "left_anti")
+    # Cells first: pools of one cell share them.
+    cells = keys.select("pool", *on, *CELL).join(index.cells, [*on, *CELL]).drop(*CELL)
+    celled = celled.withColumnsRenamed({"t_row": "u_t_row", "t_col": "u_t_col", "t_elev": "u_t_elev"})
+    inside = cells.join(celled, [*on, "u_t_row", "u_t_col"]).where("u_t_elev BETWEEN low AND high")
+    rim = places.join(rows, [*on, "site_id", *PLACE])
+    return inside.select("pool", *columns).unionByName(rim.select("pool", *columns))
+
+
 def restrict_to_current(prior: DataFrame, cur: DataFrame, keys) -> DataFrame:
     """Prior rows whose key occurs in the current year.
 

@@ -11,6 +11,7 @@ from leafclock.registry.standin import (
     inside_sql, lambert_sql, nation_years, observations, raw, site_elevation, table, vertices,
 )
 from leafclock.operators import county
+from leafclock.operators.pool import pool_index
 from leafclock.sources.scratch import staged
 
 GAPS = chain(CLEAN_SQL, OBS_SQL, gaps=True)
@@ -258,6 +259,26 @@ def panels(spark, sf_dir):
     return anomaly.panel_pool(flags, prior, P)
 
 
+PANEL_SQL = POOL + """SELECT f.common_name, f.func_type, f.pheno_class_id, q.p_site AS site_id,
+  q.p_lat AS lat, q.p_lon AS lon, q.p_elev AS elev, q.p_state AS state, q.py AS "year",
+  q.pf AS first_yes, f.indiv, f.panel FROM flags f JOIN pool q USING (id, pheno_class_id)"""
+
+
+@query("j14_stored_panels", PANEL_SQL)
+def stored_panels(spark, sf_dir):
+    """All panels out of pools that are stored as cells and places."""
+    flags, prior = flags_and_prior(spark, sf_dir)
+    return anomaly.read_panels(pool_index(flags, prior, P), flags, prior, P)
+
+
+@query("j14_one_panel", PANEL_SQL + " WHERE f.panel = (SELECT min(panel) FROM flags)")
+def one_panel(spark, sf_dir):
+    """The first panel, read out of the stored pools of all."""
+    flags, prior = flags_and_prior(spark, sf_dir)
+    first = flags.agg(F.min("panel")).first()[0]
+    return anomaly.read_panels(pool_index(flags, prior, P), flags, prior, P, panels=[first])
+
+
 STATE_SQL = """skept AS (SELECT * FROM prior p JOIN (
     SELECT state, common_name, pheno_class_id, count(*) AS s_obs, count(DISTINCT "year") AS s_yrs
     FROM prior WHERE (state, common_name, pheno_class_id) IN

@@ -199,3 +199,36 @@ def test_flags_and_thresholds(spark):
     assert {r.id: r.outlier for r in strict.collect()} == {1: 0, 3: 1}
     for r in got.values():
         assert not r.early or r.first_yes < r.qearly
+
+
+@pytest.mark.parametrize("case", sorted(CASES))
+def test_stored_pools_expand_to_the_same_rows(spark, case):
+    p = PLANTS
+    prior_rows = make(3, 300, **CASES[case])
+    cur = [(*r[:7], i, r[8], 2025, r[10]) for i, r in enumerate(make(4, 25, **CASES[case]))]
+    prior = spark.createDataFrame(prior_rows, COLUMNS)
+    now = spark.createDataFrame(cur, COLUMNS)
+    index = pool.pool_index(now, prior, p)
+    key = [*p.group_keys, *pool.PLACE]
+    named = now.select(*key, F.col("id").alias("cid")).join(index.keys.select("pool", *key), key).select("pool", "cid")
+
+    def listed(df):
+        return sorted((r.cid, r.site_id, r.year, r.first_yes, r.lat, r.elev) for r in df.collect())
+
+    want = sorted((c[7], w[0], w[9], w[10], w[1], w[3]) for c in cur for w in brute_pool(c, prior_rows, p)[1])
+    assert listed(named.join(pool.pool_rows(index, prior, p), "pool")) == want
+    some = now.where("id IN (1, 4)")
+    places = {(c[1], c[2], c[3]) for c in cur if c[7] in (1, 4)}
+    own = {c[7] for c in cur if (c[1], c[2], c[3]) in places}
+    got = listed(named.join(pool.pool_rows(index, prior, p, of=some), "pool"))
+    assert [r for r in got if r[0] in (1, 4)] == [r for r in want if r[0] in (1, 4)] and {r[0] for r in got} <= own
+
+
+def test_stored_pools_do_not_grow_with_the_records(spark):
+    p = PLANTS
+    rows = make(5, 200, **CASES["equator"])
+    cur = spark.createDataFrame([(*r[:7], i, r[8], 2025, r[10]) for i, r in enumerate(make(6, 15, **CASES["equator"]))], COLUMNS)
+    few = spark.createDataFrame(rows, COLUMNS)
+    many = few.join(spark.range(50).withColumnRenamed("id", "k")).withColumn("first_yes", F.col("first_yes") + F.col("k") % 7).drop("k")
+    sizes = [(i.cells.count(), i.places.count()) for i in (pool.pool_index(cur, df, p) for df in (few, many))]
+    assert sizes[0] == sizes[1]
