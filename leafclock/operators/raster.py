@@ -206,41 +206,50 @@ def mask_incomplete(z: DataFrame, year: int, min_prop: float = 0.90) -> DataFram
     )
 
 
-def resample(cells: DataFrame, source: CellGrid, target: CellGrid) -> DataFrame:
-    """Bilinear values at the centres of another grid.
+def _tiled(cells: DataFrame, source: CellGrid, target: CellGrid, tile: int) -> DataFrame:
+    """Source cells with a value, once for each tile of target cells that they can touch.
 
-    Every source cell sends its value to the target cells it can touch; weights
-    are renormalised over neighbours that have a value.
+    (index, year, t_row, t_col, value, sx, sy, r0, r1, c0, c1), with the target rows and columns within
+    the tile. Only cells near the border of a tile go to several: its halo.
     """
     reach = source.res
-
-    def span(low, high, last):
-        # One cell of slack each way; cells without weight are dropped below.
-        return F.explode(
-            F.sequence(
-                F.greatest(F.lit(0), low - 1), F.least(F.lit(last), F.greatest(low - 1, high + 1))
-            )
-        )
-
     v = cells.where(F.col("value").isNotNull()).select(
         "index", "year", "value",
         source.lon(F.col("col")).alias("sx"), source.lat(F.col("row")).alias("sy"),
     )
+    # A hair of slack each way for rounding; cells without weight are dropped below.
+    hair = target.res * 1e-6
+    v = v.withColumns({
+        "r0": F.greatest(target.row(F.col("sy") + reach + hair), F.lit(0)),
+        "r1": F.least(target.row(F.col("sy") - reach - hair), F.lit(target.rows - 1)),
+        "c0": F.greatest(target.col(F.col("sx") - reach - hair), F.lit(0)),
+        "c1": F.least(target.col(F.col("sx") + reach + hair), F.lit(target.cols - 1)),
+    }).where("r0 <= r1 AND c0 <= c1")
+
+    def tiles(low, high):
+        at = lambda c: F.floor(F.col(c) / tile).cast("int")
+        return F.explode(F.sequence(at(low), at(high)))
+
+    v = v.withColumn("t_row", tiles("r0", "r1")).withColumn("t_col", tiles("c0", "c1"))
+    inside = {}
+    for low, high, t in (("r0", "r1", "t_row"), ("c0", "c1", "t_col")):
+        inside[low] = F.greatest(F.col(low), F.col(t) * tile)
+        inside[high] = F.least(F.col(high), (F.col(t) + 1) * tile - 1)
+    return v.withColumns(inside)
+
+
+def resample(cells: DataFrame, source: CellGrid, target: CellGrid, tile: int = 64) -> DataFrame:
+    """Bilinear values at the centres of another grid.
+
+    The target is cut into tiles. Each source cell goes to its tile, and cells of a tile's halo
+    to both sides, in one exchange; a tile's task then spreads them over its target cells and
+    sums, so nothing else is moved. A tile holds a bounded number of cells. Weights are renormalised over
+    neighbours that have a value.
+    """
+    tiled = _tiled(cells, source, target, tile).repartition("index", "year", "t_row", "t_col")
     spread = (
-        v.where(
-            (target.row(F.col("sy") + reach) - 1 <= target.rows - 1)
-            & (target.row(F.col("sy") - reach) + 1 >= 0)
-            & (target.col(F.col("sx") - reach) - 1 <= target.cols - 1)
-            & (target.col(F.col("sx") + reach) + 1 >= 0)
-        )
-        .withColumn(
-            "row",
-            span(target.row(F.col("sy") + reach), target.row(F.col("sy") - reach), target.rows - 1),
-        )
-        .withColumn(
-            "col",
-            span(target.col(F.col("sx") - reach), target.col(F.col("sx") + reach), target.cols - 1),
-        )
+        tiled.withColumn("row", F.explode(F.sequence("r0", "r1")))
+        .withColumn("col", F.explode(F.sequence("c0", "c1")))
         .withColumns({"lon": target.lon(F.col("col")), "lat": target.lat(F.col("row"))})
     )
     wx = 1 - F.abs(F.col("lon") - F.col("sx")) / source.res
@@ -253,7 +262,8 @@ def resample(cells: DataFrame, source: CellGrid, target: CellGrid) -> DataFrame:
             source.row(F.col("lat")).between(0, source.rows - 1)
             & source.col(F.col("lon")).between(0, source.cols - 1)
         )
-        .groupBy("index", "year", "row", "col")
+        # By tile first: the rows are already together.
+        .groupBy("index", "year", "t_row", "t_col", "row", "col")
         .agg(
             F.sum(F.col("value") * F.col("wx") * F.col("wy")).alias("vw"),
             F.sum(F.col("wx") * F.col("wy")).alias("w"),

@@ -349,3 +349,24 @@ def test_zonal_years_are_computed_once(spark, rows, tmp_path):
         shutil.move(to, f"{folder}/index=leaf/year={y}")
     assert rows(zonal_years(store_cells(cells, str(tmp_path / "again")), other, store, past, now)) == changed
     assert rows(zonal_years(cells, cov, store, past, now)) == whole
+
+
+def test_resampling_moves_cells_and_halos_only(spark, tmp_path):
+    source = CellGrid(0.0, 40.0, 0.1, 400, 400)
+    target = CellGrid(0.0, 40.0, 0.08, 500, 500)
+    cells = spark.range(160_000).select(
+        F.lit("leaf").alias("index"), F.lit(2024).alias("year"), F.floor(F.col("id") / 400).cast("int").alias("row"),
+        (F.col("id") % 400).cast("int").alias("col"), (F.col("id") % 400 * 2.0 + F.floor(F.col("id") / 400) * 3.0).alias("value"))
+    cells.write.parquet(str(tmp_path / "cells"))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    moved = raster._tiled(cells, source, target, 64).count()
+    assert moved < 160_000 * 1.12
+    out = raster.resample(cells, source, target)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    wrong = F.abs(F.col("value") - ((F.col("col") + 0.5) * 0.8 - 0.5) * 2 - ((F.col("row") + 0.5) * 0.8 - 0.5) * 3) > 1e-6
+    inner = F.col("row").between(1, 498) & F.col("col").between(1, 498)
+    assert out.where(inner & wrong).isEmpty() and out.count() == 250_000
+    whole = {tuple(r) for r in out.where("row < 70 AND col < 70").select("row", "col", F.round("value", 6)).collect()}
+    small = raster.resample(cells, source, target, tile=7).where("row < 70 AND col < 70")
+    assert whole == {tuple(r) for r in small.select("row", "col", F.round("value", 6)).collect()}
