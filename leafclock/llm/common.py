@@ -87,6 +87,19 @@ def with_column(df: DataFrame, name: str, kind: str, fn: Callable[[list[bytes]],
     return over_batches(df, run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as make it differ from all columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, also those whose names hold a dot."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Short batches put together to about ``rows`` rows."""
     held, n = [], 0

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafclock.llm.common import WordHashes, map_batches, over_batches, texts, with_column
+from leafclock.llm.common import WordHashes, columns_of, fresh, map_batches, over_batches, texts, with_column
 from leafclock.llm.components import components
 from leafclock.llm.shingles import MinHash, least_matches, sequential, set_id, shingle_set
 from leafclock.sources.scratch import staged
@@ -81,11 +81,20 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             ["cid", "sig", "words"])
         return out.filter(pa.compute.fill_null(same, False))
 
-    w, d = wanted.alias("w"), docs.select("doc_id", "text").alias("d")
-    both = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.text", "w.cid", "w.sig")
+    w, d = wanted.where("doc_id is not null").alias("w"), docs.select("doc_id", "text").alias("d")
+    both = d.join(w, F.col("d.doc_id") == F.col("w.doc_id")).select("d.text", "w.cid", "w.sig")
     found = over_batches(both, run, "cid long, sig binary, words binary")
+
+    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [s for s in (shingle_set(t, width, hashes) for t in texts(batch)) if len(s)]
+        return pa.RecordBatch.from_arrays([
+            pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "words"])
+
+    # Classes without any id are found by their set, each row once.
+    rows = over_batches(docs.where("doc_id is null").select("text"), named, "cid long, words binary")
+    nameless = rows.join(wanted.where("doc_id is null").select("cid", "sig"), "cid").select("cid", "sig", "words")
     # An id may have several rows; one of those with the class's text is enough.
-    return found.groupBy("cid").agg(F.first("sig").alias("sig"), F.first("words").alias("words"))
+    return found.unionByName(nameless).groupBy("cid").agg(F.first("sig").alias("sig"), F.first("words").alias("words"))
 
 
 class _Rows:
@@ -267,26 +276,31 @@ def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int =
              batch: int = 16, miss: float = 1e-6, block: int = 512) -> DataFrame:
     """The rows of ``docs``, all columns, but one of each group of near duplicates.
 
-    The row with the group's smallest id stays. Of several rows with one id, one stays: a
-    row of the group if there is one. Rows without an id stay if they have no shingles; of
-    a group in which no row has an id, one stays.
+    The row with the group's smallest id stays; rows without an id come after all others, and of
+    rows with one id the one whose set has the least hash. A repeated id whose
+    texts are unlike keeps one row of each. Rows without shingles all stay.
     """
     signed, classes = _classes(docs, width, percent, bands, rows, batch, miss, block)
     hashes = WordHashes()
     cid = lambda ts: np.array([set_id(s) if len(s) else 0 for s in (shingle_set(t, width, hashes) for t in ts)], np.int64)
-    placed = signed.where("doc_id is not null").select("doc_id", "cid").join(classes, "cid", "left")
-    kept = placed.where("cid is null or doc_id = component_id").groupBy("doc_id").agg(F.min("cid").alias("_cid"))
-    named = docs.where("doc_id is not null").join(kept, "doc_id")
-    # A row with a repeated id is told by its text: hash it only where the id is repeated.
-    repeated = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    single = named.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    several = with_column(named.join(repeated, "doc_id", "left_semi"), "_own", "long", cid)
-    first = Window.partitionBy("doc_id").orderBy((F.col("_own") != F.coalesce("_cid", F.lit(0))).cast("int"), F.xxhash64("text"))
-    several = several.withColumn("_place", F.row_number().over(first)).where("_place = 1").select(docs.columns)
-
-    nameless = with_column(docs.where("doc_id is null"), "_own", "long", cid)
-    c = classes.where("component_id is null").select(F.col("cid").alias("_own"), F.col("root").alias("_root"))
-    grouped = nameless.join(c, "_own").withColumn(
-        "_place", F.row_number().over(Window.partitionBy("_root").orderBy("_own"))).where("_place = 1")
-    return single.unionByName(several).unionByName(
-        nameless.where("_own = 0").select(docs.columns)).unionByName(grouped.select(docs.columns))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "cid")
+    winners = signed.select("doc_id", "cid").join(classes.select("cid", "root"), "cid").groupBy("root").agg(
+        F.min(order).alias("at"))
+    winners = staged(winners.select("at.doc_id", "at.cid"), "winners")
+    own, key, place = [fresh(docs, name) for name in ("_own", "_key", "_place")]
+    here = columns_of(docs)
+
+    # An id of one row tells the row; others are told by their texts, hashed again.
+    ids = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("cid").alias("cid"))
+    stay = ids.where("n = 1 and cid is null").select("doc_id").union(winners.join(
+        ids.where("n = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id"))
+    single = docs.join(stay.withColumnRenamed("doc_id", key), F.col("doc_id") == F.col(key), "left_semi")
+    repeated = ids.where("n > 1").select(F.col("doc_id").alias(key))
+    several = docs.join(repeated, F.col("doc_id") == F.col(key), "left_semi").unionByName(docs.where("doc_id is null"))
+    several = with_column(several, own, "long", cid)
+    w = winners.select(F.col("doc_id").alias(key), F.col("cid").alias(place))
+    first = Window.partitionBy("doc_id", own).orderBy(F.xxhash64(*here))
+    chosen = several.join(w, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(place)), "left_semi").withColumn(
+        place, F.row_number().over(first)).where(F.col(place) == 1)
+    empty = several.where(F.col(own) == 0)
+    return single.select(*here).unionByName(chosen.select(*here)).unionByName(empty.select(*here))

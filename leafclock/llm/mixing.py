@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafclock.llm.common import WORD
+from leafclock.llm.common import WORD, columns_of, fresh
 from leafclock.sources.scratch import staged
 
 
@@ -190,14 +190,16 @@ def _repaired(rows: DataFrame, cap: int) -> DataFrame:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    key = ["doc_id", "source", "_size"]
-    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    size, nth, copy = (fresh(docs, name) for name in ("_size", "_nth", "_copy"))
+    key = ["doc_id", "source", size]
+    sized = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     # Rows with the same id, source and size are told apart by their place.
-    nth = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(order))
-    sized = sized.withColumn("_nth", nth(F.xxhash64("text")))
+    place = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(order))
+    sized = sized.withColumn(nth, place(F.xxhash64("text")))
     taken = mix(docs, keep_source=True, **how).select(
-        "doc_id", "source", F.col("size").alias("_size"), "copies").withColumn("_nth", nth("copies"))
+        "doc_id", "source", F.col("size").alias(size), "copies").withColumn(nth, place("copies"))
     a, b = sized.alias("a"), taken.where("copies > 0").alias("b")
     both = a.join(b, _same(F.col("a.doc_id"), F.col("b.doc_id")) & _same(F.col("a.source"), F.col("b.source"))
-                  & (F.col("a._size") == F.col("b._size")) & (F.col("a._nth") == F.col("b._nth")))
-    return both.select(*(f"a.`{c}`" for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("b.copies").cast("int"))).alias("_copy")).drop("_copy")
+                  & (F.col(f"a.{size}") == F.col(f"b.{size}")) & (F.col(f"a.{nth}") == F.col(f"b.{nth}")))
+    times = F.explode(F.array_repeat(F.lit(0), F.col("b.copies").cast("int"))).alias(copy)
+    return both.select("a.*", times).select(*columns_of(docs))

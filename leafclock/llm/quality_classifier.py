@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafclock.llm.common import fold, labelled_sample, logistic, over_batches, texts, with_column
+from leafclock.llm.common import fold, fresh, labelled_sample, logistic, over_batches, texts, with_column
 
 #: Bytes added to sizes, so that very short texts stay near the middle.
 SMOOTH = 64
@@ -157,4 +157,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, all columns."""
-    return score(docs, fit(docs, labels), "_score").where(F.col("_score") >= threshold).drop("_score")
+    name = fresh(docs, "_score")
+    return score(docs, fit(docs, labels), name).where(F.col(name) >= threshold).drop(name)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafclock.llm.common import WordHashes, fold, labelled_sample, map_batches, mix, pair, texts, with_column
+from leafclock.llm.common import WordHashes, fold, fresh, labelled_sample, map_batches, mix, pair, texts, with_column
 
 #: ASCII letters and digits, lower-cased, and all bytes of other characters; else a space.
 _LETTERS = bytes(
@@ -131,4 +131,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score stays below ``threshold``, all columns."""
-    return score(docs, fit(docs, labels), "_score").where(F.col("_score") < threshold).drop("_score")
+    name = fresh(docs, "_score")
+    return score(docs, fit(docs, labels), name).where(F.col(name) < threshold).drop(name)

@@ -73,4 +73,4 @@ def test_run_and_contract(spark, folder):
     n = corpus_pipeline.run(spark, folder).count()
     assert 0 < n
     names = {q.split("_")[0] for q in __spark_entry__.queries() if q.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
