@@ -310,8 +310,9 @@ def audit(docs: DataFrame, columns: Sequence[str] = ("doc_id", "source", "lang",
     plain = [F.col(c) for c in columns]
     more = [(F.col(c).cast("decimal(20,0)") + 1).cast("decimal(20,0)") if c == count else F.col(c) for c in columns]
     hit = F.crc32(F.col(order).cast("string").cast("binary")) % every == 0
-    leaves = docs.select(F.col(order), F.col(group), leaf(*plain).alias("leaf"),
-                         F.when(hit, leaf(*more)).alias("tampered"))
+    # Written, as the sort reads its input twice: once to find the ranges.
+    leaves = staged(docs.select(F.col(order), F.col(group), leaf(*plain).alias("leaf"),
+                                F.when(hit, leaf(*more)).alias("tampered")), "digests")
     checked = manifest(leaves, group, order, **how)
     root = folded(F.coalesce("tampered", "leaf"), "proof")
     return checked.select(order, "leaf", "subroot", "root", "proof", root.alias("folded_root")).withColumn(
