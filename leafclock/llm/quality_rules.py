@@ -18,11 +18,16 @@ A document is kept if its log perplexity lies at most ``width`` deviations above
 times 1.4826. Foreign and rare words lengthen the upper side only, so the lower one is
 narrower. For texts of few characters the band is wider, by sqrt(1 + short / characters).
 
+Texts are read once. Their words are numbered and written as bags: a row has the different
+words of many texts of a language, and for every text its measures and its words' numbers
+in order. Both counts and both sets of perplexities come from the bags, where a text is
+a run of numbers and its score a sum of look-ups.
+
 The models are rows (language, gram, value) made by joins and aggregations, dealt by hash
-and saved as sorted hash arrays in the shared folder: a value is the discounted share of a
-gram, or the weight that a context leaves to shorter ones. With either set of models every
-distinct word of the corpus is scored once, and saved in the same form. Workers map the arrays into memory;
-a document is a sum of look-ups.
+and saved as sorted hash arrays in the shared folder, in as many parts as they have grams
+for: a value is the discounted share of a gram, or the weight that a context leaves to
+shorter ones. With either set of models every distinct word of the corpus is scored once,
+and saved in the same form. Workers map the arrays into memory.
 
 Defined results: a null text has no words; without words or with too few the base rule fails; a
 null language is a language of its own; repeated rows are judged alike; a language none of
@@ -32,18 +37,19 @@ ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafclock.llm.arrays import by_part, summed
-from leafclock.llm.common import map_batches, mix, over_batches, pair, slices, texts
+from leafclock.llm.arrays import by_part, pack, summed, unpack
+from leafclock.llm.common import map_batches, mix, over_batches, slices, texts
 from leafclock.llm.ngram_lm import discounts
 from leafclock.llm.tables import Reader, Table, part_bits, reader, saved
 from leafclock.sources.scratch import staged
@@ -58,8 +64,11 @@ START, END = b"\t", b"\n"
 _WINDOW = 5
 
 
-#: Every byte but those that continue a UTF-8 character.
-_STARTS = bytes(b for b in range(256) if b & 0xC0 != 0x80)
+#: Bytes that start no character of a word: white space, and what continues a UTF-8 character.
+_WHITE = b" \t\n\v\f\r"
+_NO_STARTS = _WHITE + bytes(b for b in range(256) if b & 0xC0 == 0x80)
+#: Odd, so that no word of a window is lost in its hash.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Numbers(dict):
@@ -70,16 +79,17 @@ class _Numbers(dict):
         return n
 
 
-def repeated_words(lists: list[list[bytes]]) -> list[int]:
-    """Of each text, the words in windows of five that it has twice or more, the first included."""
-    number = _Numbers()
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    h = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.uint64, int(n.sum()))
-    code = mix(h[:max(0, len(h) - _WINDOW + 1)])
+def repeated_words(numbers: np.ndarray, sizes: np.ndarray) -> list[int]:
+    """Of each text, the words in windows of five that it has twice or more, the first included.
+
+    ``numbers`` are the words' numbers, text after text, ``sizes`` the words of each.
+    """
+    h = mix(numbers.astype(np.uint64))
+    code = h[:max(0, len(h) - _WINDOW + 1)]
     for k in range(1, _WINDOW):
-        code = pair(code, h[k:k + len(code)])
+        code = code * _STEP + h[k:k + len(code)]
     out, start = [], 0
-    for size in n.tolist():
+    for size in sizes.tolist():
         own = code[start:start + max(0, size - _WINDOW + 1)]
         start += size
         ranked = np.sort(own)
@@ -100,12 +110,11 @@ def _dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def measures(batch: list[bytes], lists: list[list[bytes]]) -> np.ndarray:
+def measures(batch: list[bytes], numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of whole texts, a row each."""
     rows = [
-        (len(words), sum(map(len, words)) - len(text.translate(None, _STARTS)), len(text.translate(None, _OTHERS)),
-         _dup_lines(text), repeats)
-        for text, words, repeats in zip(batch, lists, repeated_words(lists))
+        (size, len(text.translate(None, _NO_STARTS)), len(text.translate(None, _OTHERS)), _dup_lines(text), repeats)
+        for text, size, repeats in zip(batch, sizes.tolist(), repeated_words(numbers, sizes))
     ]
     return np.array(rows, np.int64).reshape(-1, 5)
 
@@ -126,30 +135,105 @@ def _lang() -> Column:
     return F.coalesce(F.concat(F.lit("="), "lang"), F.lit("?"))
 
 
-def word_counts(rows: DataFrame, chosen: Callable[[list[str], list[list[bytes]]], np.ndarray] | None = None,
-                keep: int = 200_000) -> DataFrame:
-    """(lang, word, n) over rows (lang, text), or over those of a slice that ``chosen`` marks."""
+class _Bag:
+    """Texts of one language, their words numbered in the order of their coming."""
+
+    def __init__(self):
+        self.number, self.words = _Numbers(), 0
+        self.doc_ids: list[pa.Array] = []
+        self.numbers: list[np.ndarray] = []
+        self.columns: list[np.ndarray] = []
+
+    def add(self, doc_ids: pa.Array, batch: list[bytes]) -> None:
+        lists = [t.split() for t in batch]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.uint32, int(sizes.sum()))
+        size = [n + len(t.translate(None, _WHITE)) for n, t in zip(sizes.tolist(), batch)]
+        self.doc_ids.append(doc_ids)
+        self.columns.append(np.column_stack([np.array(size, np.int64), measures(batch, numbers, sizes)]))
+        text = np.repeat(np.arange(len(lists), dtype=np.uint64), sizes) << np.uint64(32)
+        self.numbers.append(np.sort(text | numbers).astype(np.uint32))
+        self.words += len(numbers)
+
+    def row(self, lang: str) -> pa.RecordBatch:
+        words = zstandard.ZstdCompressor(level=1).compress(b"\n".join(self.number))
+        numbers = pack(np.concatenate(self.numbers), rising=True)
+        columns = [pa.concat_arrays(self.doc_ids), *(pa.array(c) for c in np.concatenate(self.columns).T)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang]), pa.array([words], pa.binary()), pa.array([numbers], pa.binary()),
+             *(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns)],
+            ["lang", "words", "numbers", "doc_id", "size", *NAMES])
+
+
+def bags(rows: DataFrame, keep: int = 200_000, most: int = 4_000_000) -> DataFrame:
+    """Bags of whole texts (doc_id, text, lang): a row has many texts of a language.
+
+    ``words`` are its different words, ``numbers`` those of each text in order; ``size`` is in
+    bytes that a model scores, which are the words' and one end mark each. A task writes its
+    rows whenever it holds ``keep`` different words or ``most`` words, after a whole slice.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
+        held: dict[str, _Bag] = {}
+        for part in slices(batches):
+            t = texts(part)
+            for lang, own in _by_lang(part):
+                held.setdefault(lang, _Bag()).add(part.column("doc_id").take(pa.array(own)), [t[i] for i in own.tolist()])
+            if sum(len(b.number) for b in held.values()) > keep or sum(b.words for b in held.values()) > most:
+                yield from (bag.row(lang) for lang, bag in held.items())
+                held.clear()
+        yield from (bag.row(lang) for lang, bag in held.items())
 
-        def emit():
-            langs = pa.array([lang for lang, d in held.items() for _ in d], pa.string())
-            words = pa.array([w for d in held.values() for w in d], pa.binary())
-            n = pa.array([n for d in held.values() for n in d.values()], pa.int64())
-            held.clear()
-            return pa.RecordBatch.from_arrays([langs, words, n], ["lang", "word", "n"])
+    numbers = "".join(f", {n} array<long>" for n in ("doc_id", "size", *NAMES))
+    return map_batches(rows.select("doc_id", "text", "lang"), run, f"lang string, words binary, numbers binary{numbers}")
 
-        for part in slices(batches):
-            langs, lists = part.column("lang").to_pylist(), [t.split() for t in texts(part)]
-            for i in range(len(lists)) if chosen is None else np.flatnonzero(chosen(langs, lists)).tolist():
-                held.setdefault(langs[i], Counter()).update(lists[i])
-                if sum(map(len, held.values())) > keep:
-                    yield emit()
-        if any(held.values()):
-            yield emit()
-
-    counted = map_batches(rows.select("lang", "text"), run, "lang string, word binary, n long")
+
+@dataclass
+class Block:
+    """A row of ``bags``, opened."""
+
+    lang: str
+    words: list[bytes]
+    numbers: np.ndarray
+    columns: dict[str, pa.Array]
+
+    @property
+    def n_words(self) -> np.ndarray:
+        return self.columns["n_words"].to_numpy()
+
+    def log_perplexities(self, perplexity: Perplexity) -> np.ndarray:
+        """The negative log probability of a byte of each text, nan without words."""
+        n, size = self.n_words, self.columns["size"].to_numpy()
+        values = perplexity.words(self.lang, self.words)
+        total = np.bincount(np.repeat(np.arange(len(n)), n), values[self.numbers], len(n))
+        return np.where(size > 0, -total / np.maximum(size, 1), np.nan)
+
+
+def _over_blocks(blocks: DataFrame, fn: Callable[[Block], pa.RecordBatch], schema: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                yield fn(Block(
+                    row.column("lang")[0].as_py(), zstandard.ZstdDecompressor().decompress(row.column("words")[0].as_py()).split(),
+                    unpack(row.column("numbers")[0].as_py(), np.uint32, rising=True),
+                    {n: row.column(n).flatten() for n in ("doc_id", "size", *NAMES)}))
+
+    return map_batches(blocks, run, schema)
+
+
+def word_counts(blocks: DataFrame, chosen: Callable[[Block], np.ndarray] | None = None) -> DataFrame:
+    """(lang, word, n) over the bags, or over those of their texts that ``chosen`` marks."""
+
+    def run(block: Block) -> pa.RecordBatch:
+        numbers = block.numbers if chosen is None else block.numbers[np.repeat(chosen(block), block.n_words)]
+        count = np.bincount(numbers, minlength=len(block.words)).astype(np.int64)
+        at = np.flatnonzero(count)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block.lang] * len(at), pa.string()), pa.array([block.words[i] for i in at.tolist()], pa.binary()),
+             pa.array(count[at])], ["lang", "word", "n"])
+
+    counted = _over_blocks(blocks, run, "lang string, word binary, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -180,7 +264,7 @@ def _gram_keys(lang: str, kind: str, k: int, code: np.ndarray) -> np.ndarray:
     return mix(code ^ _seed(lang, kind, k))
 
 
-def fit(words: DataFrame, order: int, pool: bool, bits: int = 4) -> Table:
+def fit(words: DataFrame, order: int, pool: bool) -> Table:
     """Character models from (lang, word, n), one for each language and with ``pool`` one for all.
 
     Highest-order grams count by the words' counts, shorter ones by the different
@@ -202,12 +286,14 @@ def fit(words: DataFrame, order: int, pool: bool, bits: int = 4) -> Table:
     if pool:
         full = full.union(full.select(F.lit(POOL), "gram", "n"))
     level = staged(full.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    entries = []
+    entries, size = [], 0
     for k in range(order, 0, -1):
         if k < order:
             level = staged(level.groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(
                 F.count("*").alias("n")), "grams")
-        of = level.groupBy("lang").agg(*(F.count_if(F.col("n") == i).alias(f"k{i}") for i in (1, 2, 3, 4))).collect()
+        of = level.groupBy("lang").agg(
+            F.count("*").alias("grams"), *(F.count_if(F.col("n") == i).alias(f"k{i}") for i in (1, 2, 3, 4))).collect()
+        size += 2 * sum(r.grams for r in of)  # there are no more contexts than grams
         # One row of three numbers for each language.
         d = spark.createDataFrame(
             [(r.lang, *discounts([r.k1, r.k2, r.k3, r.k4])) for r in of] or [("", 0.0, 0.0, 0.0)],
@@ -232,7 +318,7 @@ def fit(words: DataFrame, order: int, pool: bool, bits: int = 4) -> Table:
                 keys[i] = _gram_keys(lang, "context" if x % 2 else "share", x // 2, code[i])
         return keys, batch.column("value").to_numpy()
 
-    return saved(rows, keyed, bits)
+    return saved(rows, keyed, part_bits(size))
 
 
 def _word_scores(own: Reader, lang: str, code: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
@@ -264,55 +350,42 @@ def word_table(words: DataFrame, model: Table, order: int, pool: bool, foreign:
     return saved(words.select("lang", "word"), keyed, part_bits(words.count()))
 
 
-def _chars(words: list[bytes]) -> int:
-    """Bytes of the words and their end marks: what the model scores."""
-    return sum(map(len, words)) + len(words)
-
-
 class Perplexity:
-    """Log perplexities of slices by a word table; all their words are in it."""
+    """Log probabilities by a word table, of words that it was made of."""
+
+    def __init__(self, table: Table):
+        self.table = table
 
-    def __init__(self, table: Table, keep: int = 200_000):
-        self.table, self.keep, self.known = table, keep, {}
+    def words(self, lang: str, words: list[bytes]) -> np.ndarray:
+        """The log probability of each word."""
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        values = reader(self.table).get(mix(keys ^ _seed(lang)), np.nan)
+        if np.isnan(values).any():
+            raise ValueError("a word that the table was not made of")
+        return values
 
     def of(self, langs: list[str], lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes scored, and the negative log probability of a byte (nan without words), of each text."""
-        sizes = np.fromiter(map(_chars, lists), np.int64, len(lists))
-        total = np.zeros(len(lists))
-        for lang in set(langs):
-            known = self.known.setdefault(lang, {})
-            if len(known) > self.keep:
-                known.clear()
-            at = [i for i, x in enumerate(langs) if x == lang]
-            fresh = list(set().union(*(lists[i] for i in at)).difference(known))
-            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, fresh), np.uint64, len(fresh))
-            values = reader(self.table).get(mix(keys ^ _seed(lang)), np.nan)
-            if np.isnan(values).any():
-                raise ValueError("a word that the table was not made of")
-            known.update(zip(fresh, values.tolist()))
-            total[at] = [sum(map(known.__getitem__, lists[i])) for i in at]
+        """Bytes scored, and the negative log probability of a byte (nan without words), of each list of words."""
+        sizes = np.array([sum(map(len, words)) + len(words) for words in lists], np.int64)
+        total = np.array([self.words(lang, words).sum() for lang, words in zip(langs, lists)])
         return sizes, np.where(sizes > 0, -total / np.maximum(sizes, 1), np.nan)
 
 
-def log_perplexities(docs: DataFrame, table: Table, measured: bool) -> DataFrame:
-    """(doc_id, lang, size, log_ppl) of every row (doc_id, text, lang), ``measured`` with the five measures.
+def log_perplexities(blocks: DataFrame, table: Table) -> DataFrame:
+    """(doc_id, lang, size, log_ppl, five measures) of every text of the bags.
 
-    ``size`` is in bytes; ``log_ppl`` is the negative log probability of a byte, null without words.
+    ``log_ppl`` is the negative log probability of a byte, null without words.
     """
     perplexity = Perplexity(table)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, t = batch.column("lang").to_pylist(), texts(batch)
-        lists = [x.split() for x in t]
-        sizes, values = perplexity.of(langs, lists)
-        columns = [batch.column("doc_id"), batch.column("lang"), pa.array(sizes), pa.array(values, from_pandas=True)]
-        if measured:
-            m = measures(t, lists)
-            columns += [pa.array(m[:, k]) for k in range(5)]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "size", "log_ppl", *NAMES][:len(columns)])
+    def run(block: Block) -> pa.RecordBatch:
+        values = pa.array(block.log_perplexities(perplexity), from_pandas=True)
+        columns = [block.columns["doc_id"], pa.array([block.lang] * len(values), pa.string()), block.columns["size"], values]
+        return pa.RecordBatch.from_arrays(
+            columns + [block.columns[n] for n in NAMES], ["doc_id", "lang", "size", "log_ppl", *NAMES])
 
-    schema = "doc_id long, lang string, size long, log_ppl double" + "".join(f", {n} long" for n in NAMES) * measured
-    return over_batches(docs, run, schema)
+    return _over_blocks(
+        blocks, run, "doc_id long, lang string, size long, log_ppl double" + "".join(f", {n} long" for n in NAMES))
 
 
 def centres(rows: DataFrame, step: float = 1e-4) -> dict[str, tuple[float, float]]:
@@ -338,19 +411,18 @@ def centres(rows: DataFrame, step: float = 1e-4) -> dict[str, tuple[float, float
 def judge(docs: DataFrame, *, order: int = 5, rough_order: int = 3, trim: float = 1.0, foreign: float = 1.0, width: float = 12.0,
           below: float = 6.0, short: float = 300.0) -> DataFrame:
     """(doc_id, five measures, base_failed, log_ppl, low, high, kept) of every row."""
-    rows = _languages(docs)
-    words = staged(word_counts(rows), "words")
+    blocks = staged(bags(_languages(docs)), "bags")
+    words = staged(word_counts(blocks), "words")
     rough = word_table(words, fit(words, rough_order, False), rough_order, False, foreign)
-    middle = centres(log_perplexities(rows, rough, False))
+    middle = centres(log_perplexities(blocks, rough))
     perplexity = Perplexity(rough)
 
-    def ordinary(langs: list[str], lists: list[list[bytes]]) -> np.ndarray:
-        sizes, values = perplexity.of(langs, lists)
-        m, deviation = (np.array([middle.get(x, (0.0, 0.0))[k] for x in langs]) for k in (0, 1))
-        return (sizes > 0) & (np.abs(values - m) <= trim * deviation)
+    def ordinary(block: Block) -> np.ndarray:
+        m, deviation = middle.get(block.lang, (0.0, 0.0))
+        return np.abs(block.log_perplexities(perplexity) - m) <= trim * deviation
 
-    table = word_table(words, fit(word_counts(rows, ordinary), order, True), order, True, foreign)
-    scored = staged(log_perplexities(rows, table, True), "perplexities").withColumn("base_failed", _failed())
+    table = word_table(words, fit(word_counts(blocks, ordinary), order, True), order, True, foreign)
+    scored = staged(log_perplexities(blocks, table), "perplexities").withColumn("base_failed", _failed())
     bands = docs.sparkSession.createDataFrame(
         [(lang, m, d) for lang, (m, d) in centres(scored.where("not base_failed")).items()] or [("", 0.0, 0.0)],
         "lang string, middle double, deviation double").coalesce(1)

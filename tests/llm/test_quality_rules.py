@@ -91,6 +91,37 @@ def test_word_scores_equal_brute_force(spark, prose):
         assert -value[0] * n[0] == pytest.approx(brute_word(counts, 3, w), rel=1e-5)
 
 
+def test_bags_hold_every_word_of_every_text(spark, rows):
+    """Whatever the bags' bounds: counts, measures and scores are those of the texts taken one by one."""
+    docs = qr._languages(frame(spark, rows))
+    table = None
+    for bounds in ({}, {"keep": 1}, {"most": 1}):
+        blocks = qr.bags(docs.repartition(2), **bounds).cache()
+        want = Counter((f"={x}" if x else "?", w) for _, t, x in rows for w in re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        words = qr.word_counts(blocks)
+        assert {(r.lang, bytes(r.word).decode()): r.n for r in words.collect()} == want
+        table = table or qr.word_table(words, qr.fit(words, 3, False), 3, False, 0.5)
+        p = qr.Perplexity(table)
+        got = sorted((r.doc_id is None, r.doc_id or 0, r.lang, r.size, r.log_ppl, *(r[n] for n in qr.NAMES))
+                     for r in qr.log_perplexities(blocks, table).where("log_ppl is not null").collect())
+        expected = []
+        for i, t, x in rows:
+            lang = f"={x}" if x else "?"
+            size, value = p.of([lang], [(t or "").encode().split()])
+            if size[0]:
+                expected.append((i is None, i or 0, lang, int(size[0]), pytest.approx(value[0], rel=1e-9), *brute_measures(t)))
+        assert got == sorted(expected, key=lambda r: r[:4])
+        assert qr.log_perplexities(blocks, table).where("log_ppl is null").count() == 3
+        blocks.unpersist()
+
+
+def test_only_chosen_texts_are_counted(spark):
+    docs = spark.createDataFrame([(1, "a b a", "=en"), (2, "a c", "=en"), (3, "", "=en"), (4, "d", "=de")], "doc_id long, text string, lang string")
+    odd = lambda block: np.array(block.columns["doc_id"].to_numpy()) % 2 == 1
+    got = qr.word_counts(qr.bags(docs.coalesce(1)), odd).collect()
+    assert {(r.lang, bytes(r.word), r.n) for r in got} == {("=en", b"a", 2), ("=en", b"b", 1)}
+
+
 def test_no_rows(spark, rows):
     assert qr.judge(frame(spark, rows).limit(0)).count() == 0
     got = qr.judge(frame(spark, [(1, None, None), (2, "", "en")])).collect()
