@@ -1,19 +1,21 @@
 """Main text of web pages, with the templates of their sites removed.
 
-A small reader turns the markup into elements, tolerating what is not closed. Elements
-that are never article text are left out by their kind, class, id or role. Site templates are
-found by counting: the subtree of every element is hashed, Spark counts on how many
-pages of a host each hash occurs. Subtrees are deleted that recur on at least ``share`` of a
-host's pages, and on ``few`` pages, or that lie outside an article on ``many`` pages, however
-many the host has. Running text inside an article (paragraphs,
-headings, list items and the like) is never deleted for recurring, as articles may quote
-each other; where a page marks its article, only that is kept.
+A small reader turns the markup into elements, tolerating what is not closed. Site templates
+are found by counting: every element gets a hash from its tag, attributes and children,
+bottom up, and Spark counts on how many different pages of a host each hash occurs. Subtrees
+are deleted that recur on at least ``share`` of a host's pages, and on ``few`` pages, or that
+lie outside an article on ``many`` pages, however many the host has. Articles may quote each
+other: running text inside an article (paragraphs, headings, list items and the like) is
+deleted only if it recurs in different articles on at least ``notice`` of the host's pages,
+and only on pages whose article keeps more text than it loses. In addition, elements that are
+never article text are left out by their kind, class, id or role; where a page marks its
+article, only that is kept.
 
 The templates of all hosts are one table of 64-bit hashes of (host, subtree), saved in the
 shared folder and mapped by workers, so pages join nothing and no host has a list.
 
 Defined results: a null or empty page has no text; a page without an article or main
-element gives all that is left of it; repeated rows count as pages; pages without a host
+element gives all that is left of it; pages of equal content count once; pages without a host
 share no templates. Unknown references stay as written. Other columns are ignored.
 """
 
@@ -56,6 +58,10 @@ HINTS = frozenset(
     "notice notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets "
     "related recommended trending share sharing social breadcrumb breadcrumbs menu nav navbar navigation footer comment comments "
     "commentlist disqus respond replies reply pagination pager toolbar masthead search skip skiplink copyright".split())
+#: Of these, what an article or main element may not have: readers write it.
+COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
+#: Of these, what running text inside an article may have.
+MODEST = frozenset("alert menu navigation related recommended search share sharing social trending".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 MAIN = frozenset(("article", "main"))
 #: An opening tag of these closes an open one of the sets.
@@ -66,6 +72,11 @@ CLOSES = {
 _SCOPES = frozenset("ul ol dl table div article section main body aside nav form".split())
 
 
+def pair_of(h: int) -> int:
+    """Another hash for each hash."""
+    return xxhash.xxh3_64_intdigest(h.to_bytes(8, "little"))
+
+
 class Page:
     """Elements (tag, parent, start, end, attributes) and texts (element, start, end) of a page."""
 
@@ -74,19 +85,22 @@ class Page:
         self.elements: list[list] = [["", -1, 0, len(source), ""]]
         self.texts: list[tuple[int, int, int]] = []
         stack, at, i = [0], 0, 0
+        places: dict[str, list[int]] = {}  # of the open elements of each tag, in the stack
 
         def close(n: int, end: int) -> None:
             while len(stack) > n:
-                self.elements[stack.pop()][3] = end
+                element = self.elements[stack.pop()]
+                element[3] = end
+                if element[0]:
+                    places[element[0]].pop()
+
+        def last(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
         def close_open(tags, end: int, scopes) -> None:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = self.elements[stack[k]][0]
-                if tag in tags:
-                    close(k, end)
-                    return
-                if tag in scopes:
-                    return
+            k = last(tags)
+            if k and k >= last(scopes):
+                close(k, end)
 
         while m := _MARKUP.search(source, i):
             start, i = m.span()
@@ -97,8 +111,7 @@ class Page:
             if not tag:
                 continue
             if m[1] or m[4]:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if self.elements[stack[k]][0] == tag), 0)
-                if depth:
+                if depth := last((tag,)):
                     close(depth, i)
                 continue
             if tag not in INLINE and tag not in VOID and tag not in RAW or tag == "hr":
@@ -114,20 +127,25 @@ class Page:
                 i = at = end.end() if end else len(source)
                 self.elements[-1][3] = i
             else:
+                places.setdefault(tag, []).append(len(stack))
                 stack.append(len(self.elements) - 1)
         if at < len(source):
             self.texts.append((stack[-1], at, len(source)))
         close(0, len(source))
 
-    def unwanted(self, i: int) -> bool:
-        tag, _, _, _, attributes = self.elements[i]
+    def attributes(self, i: int) -> list[tuple[str, str]]:
+        return [(name.lower(), a or b or c) for name, a, b, c in _ATTRIBUTE.findall(self.elements[i][4])]
+
+    def unwanted(self, i: int, inside: bool) -> bool:
+        tag = self.elements[i][0]
         if tag in DROPPED:
             return True
-        if not attributes or tag in ("html", "body"):
+        if not self.elements[i][4] or tag in ("html", "body"):
             return False
-        for name, a, b, c in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), (a or b or c).lower()
-            if name in ("class", "id") and tag not in MAIN and HINTS.intersection(re.split(r"[^a-z0-9]+", value)):
+        hints = COMMENTS if tag in MAIN else HINTS - MODEST if inside and tag in PROSE else HINTS
+        for name, value in self.attributes(i):
+            value = value.lower()
+            if name in ("class", "id") and hints.intersection(re.split(r"[^a-z0-9]+", value)):
                 return True
             if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
@@ -138,25 +156,60 @@ class Page:
         out, inside = [False], [False]
         for i in range(1, len(self.elements)):
             tag, parent = self.elements[i][:2]
-            out.append(out[parent] or self.unwanted(i) or tag == "header" and not inside[parent])
+            out.append(out[parent] or self.unwanted(i, inside[parent]) or tag == "header" and not inside[parent])
             inside.append(inside[parent] or tag in MAIN and not out[i])
         return out, inside
 
-    def subtrees(self, out: list[bool], inside: list[bool]) -> dict[int, int]:
-        """Hash of each element's subtree that may be deleted."""
-        return {
-            i: xxhash.xxh3_64_intdigest(self.source[s:e].encode()) - (1 << 63)
-            for i, (tag, _, s, e, _) in enumerate(self.elements)
-            if i and not out[i] and tag not in ("html", "body") and tag not in INLINE and tag not in VOID
-            and tag not in MAIN and not (inside[i] and tag in PROSE)
-        }
+    def digests(self) -> list[int]:
+        """A hash of each element, from its tag, attributes in order, and children; white space does not tell."""
+        parts: list[list[tuple[int, str]]] = [[] for _ in self.elements]
+        for element, start, end in self.texts:
+            if words := self.source[start:end].split():
+                parts[element].append((start, " ".join(words)))
+        out = [0] * len(parts)
+        for i in range(len(parts) - 1, -1, -1):
+            tag, parent, start = self.elements[i][:3]
+            own = [tag, *sorted(f"{n}={v}" for n, v in self.attributes(i)), *(x for _, x in sorted(parts[i]))]
+            out[i] = xxhash.xxh3_64_intdigest("\0".join(own).encode())
+            if i:
+                parts[parent].append((start, f"<{out[i]:x}>"))
+        return out
+
+    def subtrees(self, inside: list[bool]) -> list[tuple[int, int, int]]:
+        """(element, hash, hash of its article or page) of what may be a template.
+
+        Running text in an article has other hashes than elsewhere.
+        """
+        own, found = self.digests(), []
+        article, holds = [0] * len(own), [e[0] in MAIN for e in self.elements]
+        for i in range(len(own) - 1, 0, -1):
+            holds[self.elements[i][1]] |= holds[i]
+        for i in range(1, len(own)):
+            tag, parent = self.elements[i][:2]
+            article[i] = article[parent] or (i if tag in MAIN else 0)
+            if not holds[i] and tag not in ("html", "body") and tag not in INLINE and tag not in VOID:
+                h = pair_of(own[i]) if inside[i] and tag in PROSE else own[i]
+                found.append((i, h - (1 << 63), own[article[i]] - (1 << 63)))
+        return found
+
+    def deleted(self, templates: frozenset[int], out: list[bool], inside: list[bool]) -> list[bool]:
+        """``out`` and what recurs; running text of an article only if more of the article stays."""
+        prose, other = [False] * len(out), list(out)
+        hit = {i for i, h, _ in self.subtrees(inside) if h in templates}
+        for i in range(1, len(out)):
+            tag, parent = self.elements[i][:2]
+            mild = inside[i] and tag in PROSE
+            other[i] = other[i] or other[parent] or i in hit and not mild
+            prose[i] = prose[parent] or i in hit and mild
+        left = [(prose[e], len(" ".join(self.source[s:t].split()))) for e, s, t in self.texts if inside[e] and not other[e]]
+        if 2 * sum(n for lost, n in left if lost) >= sum(n for _, n in left):
+            return other
+        return [a or b for a, b in zip(prose, other)]
 
     def text(self, templates: frozenset[int]) -> str:
         out, inside = self.states()
         if templates:
-            hit = {i for i, h in self.subtrees(out, inside).items() if h in templates}
-            for i in range(1, len(self.elements)):
-                out[i] = out[i] or i in hit or out[self.elements[i][1]]
+            out = self.deleted(templates, out, inside)
         marked = any(x and not o for x, o in zip(inside, out))
         blocks: list[str] = []
         part: list[str] = []
@@ -194,28 +247,33 @@ def _pages(batch: pa.RecordBatch) -> list[Page]:
     return [Page(h or "") for h in batch.column("html").to_pylist()]
 
 
-def templates(pages: DataFrame, share: float = 0.3, few: int = 4, many: int = 50) -> DataFrame:
+def templates(pages: DataFrame, share: float = 0.3, few: int = 4, many: int = 50, notice: float = 0.8) -> DataFrame:
     """(host, hash): subtrees that recur on many pages of the host. ``pages`` is (host, html)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        hosts, found, outside = [], [], []
+        hosts, found = [], []
         for host, page in zip(batch.column("host").to_pylist(), _pages(batch)):
-            out, inside = page.states()
-            own: dict[int, bool] = {}
-            for i, h in page.subtrees(out, inside).items():
-                own[h] = own.get(h, False) or not inside[i]
-            hosts += [host] * len(own)
-            found += own
-            outside += own.values()
+            _, inside = page.states()
+            own: dict[int, tuple] = {}
+            for i, h, whole in page.subtrees(inside):
+                prose = inside[i] and page.elements[i][0] in PROSE
+                own[h] = (h, whole, prose, not inside[i] or h in own and own[h][3])
+            whole = page.digests()[0] - (1 << 63)
+            found += [*own.values(), (None, whole, False, False)]
+            hosts += [host] * (len(own) + 1)
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
         return pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(outside, pa.bool_())], ["host", "hash", "outside"])
+            [pa.array(hosts, pa.string()), *(pa.array(c, k) for c, k in zip(zip(*found), kinds))],
+            ["host", "hash", "whole", "prose", "outside"]) if found else None
 
-    named = pages.where("host <> ''")
-    seen = over_batches(named, run, "host string, hash long, outside boolean").groupBy("host", "hash").agg(
-        F.count("*").alias("n"), F.count_if("outside").alias("outside"))
-    size = named.groupBy("host").agg(F.count("*").alias("pages"))
-    often = (F.col("n") >= share * F.col("pages")) | (F.col("outside") >= many)
-    return seen.where((F.col("n") >= few) | (F.col("outside") >= many)).join(size, "host").where(often).select("host", "hash")
+    rows = over_batches(pages.where("host <> ''"), run, "host string, hash long, whole long, prose boolean, outside boolean")
+    seen = staged(rows.groupBy("host", "hash", "whole").agg(F.max("prose").alias("prose"), F.max("outside").alias("outside")).groupBy(
+        "host", "hash").agg(F.count("*").alias("n"), F.count_if("outside").alias("outside"), F.max("prose").alias("prose")), "subtrees")
+    # The row without a hash counts the host's different pages.
+    size = seen.where("hash is null").select("host", F.col("n").alias("pages"))
+    part = F.when(F.col("prose"), notice).otherwise(share)
+    often = (F.col("n") >= few) & (F.col("n") >= part * F.col("pages")) | (F.col("outside") >= many)
+    return seen.where("hash is not null").join(size, "host").where(often).select("host", "hash")
 
 
 def _keys(hosts: list[str], hashes: list[int]) -> np.ndarray:
@@ -238,7 +296,7 @@ def extract(pages: DataFrame, **how) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         pages, hosts = _pages(batch), batch.column("host").to_pylist()
-        own = [list(set(p.subtrees(*p.states()).values())) if host else [] for p, host in zip(pages, hosts)]
+        own = [list({h for _, h, _ in p.subtrees(p.states()[1])}) if host else [] for p, host in zip(pages, hosts)]
         at = np.repeat(np.arange(len(own)), [len(x) for x in own])
         hashes = [h for x in own for h in x]
         hit: list[set[int]] = [set() for _ in own]

@@ -1,3 +1,6 @@
+import time
+from collections import defaultdict
+
 import pytest
 
 from leafclock.llm import html_extract
@@ -26,6 +29,9 @@ def text(source):
     ("<div role=navigation>n</div><div hidden>h</div><p>x</p>", "x"),
     ("</div></p>stray<b>x", "strayx"),
     ("<article class='ad share'>stays</article>", "stays"),
+    ("<article><p>Main text.</p><article class=comment><p>First!</p></article></article>", "Main text."),
+    ("<article><p class='share'>Shares fell.</p><p class=ad>Buy</p></article>", "Shares fell."),
+    ("<dd>a<ul><i><dt>b</dt><dt>c", "a\nb\nc"),
     ("<P>UP</P><ArTiClE>in</aRtIcLe>", "in"),
 ])
 def test_single_pages(source, want):
@@ -83,5 +89,56 @@ def test_templates_of_small_hosts_and_of_a_section(spark):
         assert got[1000 + i] == (f"own {i}\na quote" if i % 4 == 1 else f"text {i}")
 
 
+def test_unmatched_end_tags_take_linear_time():
+    n = 1_000_000 // 12
+    start = time.perf_counter()
+    assert text("<div>" * n + "</span>" * n + "x") == "x"
+    assert text("<dd><ul>" + "<i>" * n + "<dt></dt>" * n + "x") == "x"
+    assert time.perf_counter() - start < 20
+
+
+def test_counts_alone_remove_templates(spark):
+    """No listed tag, class or role: menus, footers and notices go, in articles too; a quote stays."""
+    rows = []
+    for i in range(40):
+        quote = "<p>To be or not to be, that is the question.</p>" if i % 3 else ""
+        rows.append((i, f"http://h.example/{i}", f"<div><div  class='x'  id=y>Home Shop</div><article><p>Own story of page {i}, told at some length.</p>"
+                     f"{quote}<p>All  rights reserved.</p></article><div>Imprint</div></div>"))
+        rows.append((100 + i, f"http://k.example/{i}", f"<div><div id=y class='x'>Home</div><div>Story {i}</div><div>Imprint</div></div>"))
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(docs).collect()}
+    for i in range(40):
+        quote = "To be or not to be, that is the question.\n" if i % 3 else ""
+        assert got[i] == f"Own story of page {i}, told at some length.\n{quote}".strip()
+        assert got[100 + i] == f"Story {i}"
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    story = "<div><p>One story.</p></div>"
+    rows = [(i, f"http://h.example/{i}", story) for i in range(80)]
+    rows += [(100 + i, f"http://n.example/{i}", f"<article><p>A long story, told at length.</p><p>And its end.</p><p>{i}</p></article>") for i in range(80)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "One story." for i in range(80))
+    assert all(got[100 + i] == f"A long story, told at length.\nAnd its end.\n{i}" for i in range(80))
+
+
+def test_templates_equal_a_recount(spark, pages):
+    rows = pages.selectExpr("lower(regexp_extract(url, '://([^/]*)', 1)) host", "html")
+    seen, size = defaultdict(set), defaultdict(set)
+    outside = defaultdict(set)
+    for r in rows.where("host <> ''").collect():
+        page = html_extract.Page(r.html or "")
+        _, inside = page.states()
+        size[r.host].add(page.digests()[0])
+        for i, h, whole in page.subtrees(inside):
+            seen[r.host, h, inside[i] and page.elements[i][0] in html_extract.PROSE].add(whole)
+            if not inside[i]:
+                outside[r.host, h].add(whole)
+    want = {(host, h) for (host, h, prose), x in seen.items()
+            if len(x) >= 4 and len(x) >= (0.8 if prose else 0.3) * len(size[host]) or len(outside[host, h]) >= 50}
+    got = {tuple(r) for r in html_extract.templates(rows).collect()}
+    assert got == want and got
+
+
 def test_no_pages(pages):
     assert html_extract.extract(pages.limit(0)).count() == 0
