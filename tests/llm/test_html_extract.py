@@ -71,6 +71,7 @@ def test_templates_of_a_host_go(pages):
 
 
 def test_prose_in_an_article_is_never_a_template(spark):
+    """Where it is more than the rest of the article; shorter notices go, see ``test_counts_alone_remove_templates``."""
     rows = [(i, f"http://h.example/{i}", f"<article><p>All rights reserved.</p><div>Follow us</div><p>text {i}</p></article>") for i in range(30)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {f"All rights reserved.\ntext {i}" for i in range(30)}
