@@ -12,7 +12,8 @@ from leafclock.registry.standin import (
 )
 from leafclock.operators import county
 from leafclock.operators.pool import pool_index
-from leafclock.sources.scratch import staged
+from leafclock.sources import regions
+from leafclock.sources.scratch import scratch_dir, staged
 
 GAPS = chain(CLEAN_SQL, OBS_SQL, gaps=True)
 FILLED_SQL = f"""{EDGE_SQL},
@@ -39,6 +40,13 @@ def polygon_vertices(spark, sf_dir):
     return vertices(spark, sf_dir)
 
 
+@query("s8_region_files", f"WITH {VERTEX_SQL} SELECT * EXCLUDE (n_nationkey) FROM vertex")
+def region_files(spark, sf_dir):
+    path = scratch_dir(spark, "regions")
+    regions.write_regions(regions.regions_of(vertices(spark, sf_dir)), path)
+    return regions.region_vertices(regions.read_regions(spark, path, records=4), "poly_id")
+
+
 @query(
     "j1_locate_points",
     f"""WITH {EDGE_SQL},
