@@ -24,9 +24,10 @@ def fold(doc_id: str | Column, parts: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
     """(doc_id, text, y, draw) of at most ``max_rows`` labelled documents outside fold 0 of 5.
 
-    The rows are those with the smallest hashes of their ids, so reruns agree. As the
-    sample is bounded, its ids (16 bytes a row) can be broadcast and no text is
-    shuffled. An id that is labelled twice counts as 1 if any of its labels is 1.
+    The rows are those with the smallest hashes of their ids, so reruns agree. The
+    sample is bounded: its ids (28 bytes a row) are broadcast up to a million rows, so that
+    no text is shuffled; a larger sample is joined as Spark finds best. An id that is
+    labelled twice counts as 1 if any of its labels is 1.
     """
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
@@ -35,7 +36,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         .withColumn("draw", F.xxhash64("doc_id", F.lit(17)))
         .orderBy("draw", "doc_id").limit(max_rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen) if max_rows <= 1_000_000 else chosen, "doc_id")
 
 
 def map_batches(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafclock.llm.common import fold, fresh, labelled_sample, logistic, over_batches, texts, with_column
+from leafclock.sources.scratch import staged
 
 #: Bytes added to sizes, so that very short texts stay near the middle.
 SMOOTH = 64
@@ -48,6 +49,24 @@ def _dictionary(pieces: list[bytes], size: int) -> bytes:
         return b"".join(pieces)[-size:]
 
 
+def _smallest(pieces: DataFrame, wanted: int, total: int) -> list[bytes]:
+    """The ``wanted`` pieces of smallest draws, of about ``total``.
+
+    Draws spread evenly over 64 bits, so a bound on them holds back nearly all other pieces
+    before the tasks send theirs; where it leaves too few (ids that repeat), it is lifted.
+    """
+
+    def take(some: DataFrame) -> list[bytes]:
+        return [bytes(r.piece) for r in some.orderBy("draw", "piece").limit(wanted).collect()]
+
+    share = 2 * wanted / total if total else 1.0
+    if share < 1:
+        found = take(pieces.where(F.col("draw") < int(2 ** 64 * share) - 2 ** 63))
+        if len(found) == wanted:
+            return found
+    return take(pieces)
+
+
 class _Sizes:
     """Compressed sizes of whole texts with both dictionaries."""
 
@@ -75,9 +94,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, max_rows:
     """Dictionaries and calibration from labelled rows outside fold 0 of 5.
 
     A third of the sample's rows calibrate, the others give pieces to the dictionaries
-    (those with the smallest hashes, of every part of every text).
+    (those with the smallest hashes, of every part of every text). The sample is written once
+    and read four times.
     """
-    rows = labelled_sample(docs, labels, label, max_rows)
+    rows = staged(labelled_sample(docs, labels, label, max_rows), "labelled")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -92,12 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", *, max_rows:
             ["y", "draw", "piece"])
 
     pieces = over_batches(rows.where("part <> 0"), cut, "y int, draw long, piece binary")
-    got = {
-        y: [bytes(r.piece) for r in pieces.where(F.col("y") == y).orderBy("draw", "piece").limit(max_pieces).collect()]
-        for y in (0, 1)
-    }
-    n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    share = n.get(1, 0) / sum(n.values()) if n else 0.5
+    taught = F.when(F.col("part") != 0, F.ceil(F.octet_length("text") / piece))
+    n = {r.y: r for r in rows.groupBy("y").agg(F.count("*").alias("rows"), F.sum(taught).alias("pieces")).collect()}
+    share = n[1].rows / sum(r.rows for r in n.values()) if 1 in n else 0.0 if n else 0.5
+    got = {y: _smallest(pieces.where(F.col("y") == y), max_pieces, (n[y].pieces or 0) if y in n else 0) for y in (0, 1)}
     model = Model(b"", b"", (), share, piece, level)
     if not (got[0] and got[1]):
         return model
