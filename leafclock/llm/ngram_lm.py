@@ -207,7 +207,7 @@ def fit(docs: DataFrame, *, part_tokens: int = 4_000_000, flush: int = 3_000_000
         keys, counts = _merged(table)
         part = key[0].as_py()
         save(f"{folder}/pair-{part}", keys)
-        save(f"{folder}/pairs-{part}", counts.astype(np.uint32))
+        save(f"{folder}/pairs-{part}", counts.astype(np.uint32) if counts.max(initial=0) >> np.uint64(32) == 0 else counts)
         kinds = [(counts == k).astype(np.uint32) for k in (1, 2, 3, 4)]
         ones, twos, more = kinds[0], kinds[1], (counts > 2).astype(np.uint32)
         zero = np.zeros(0, np.uint32)
@@ -262,7 +262,9 @@ class _Scorer:
             if p not in self.pairs:
                 f = self.m.folder
                 try:
-                    self.pairs[p] = load(f"{f}/pair-{p}", np.uint64), load(f"{f}/pairs-{p}", np.uint32)
+                    keys_of, raw = load(f"{f}/pair-{p}", np.uint64), load(f"{f}/pairs-{p}", np.uint8)
+                    # Four bytes a count, or eight where one of the part needs them.
+                    self.pairs[p] = keys_of, raw.view(f"u{len(raw) // max(len(keys_of), 1) or 4}")
                 except FileNotFoundError:  # no pair fell into this part
                     self.pairs[p] = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
             held, counts = self.pairs[p]

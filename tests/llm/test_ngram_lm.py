@@ -47,6 +47,18 @@ def test_equals_brute_force(frame, prose, how):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
 
 
+def test_counts_beyond_32_bits_keep_their_width(frame, prose):
+    """A part whose counts need eight bytes is read with eight, others with four."""
+    model = ngram_lm.fit(frame([(i, prose(i, 30)) for i in range(20)]))
+    keys = arrays.load(f"{model.folder}/pair-0", np.uint64)
+    counts = arrays.load(f"{model.folder}/pairs-0", np.uint32).astype(np.uint64)
+    assert len(keys) == len(counts) > 10 and model.pair_bits == 0
+    assert ngram_lm._Scorer(model).pair_counts(keys).tolist() == counts.tolist()
+    counts[3] = 5 << 32
+    arrays.save(f"{model.folder}/pairs-0", counts)
+    assert ngram_lm._Scorer(model).pair_counts(keys).tolist() == counts.tolist()
+
+
 def test_probabilities_sum_to_one(frame, prose):
     """Over all words and the unknown one, after any word."""
     rows = [(i, prose(i, 30)) for i in range(30)]
