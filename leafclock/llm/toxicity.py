@@ -8,8 +8,8 @@ is broadcast: at most ``2 ** bits`` pairs of 12 bytes, in practice some thousand
 
 The fit uses at most ``max_rows`` labelled rows, chosen and ordered by hashes of their
 ids, in one pass of one FTRL stream: online learning is sequential, and averaging several
-streams made rare words too weak in trials. The stream holds one Arrow batch and its
-state (16 MB), never the sample.
+streams made rare words too weak in trials. All tasks turn texts to coordinates; the stream
+only updates, and holds one Arrow batch and its state (16 MB), never the sample.
 
 Defined results: a null or empty text has no features and gets the intercept's score;
 repeated rows get one score each; without labelled rows every score is 0.5. Other columns
@@ -26,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafclock.llm.common import WordHashes, fold, fresh, labelled_sample, map_batches, mix, pair, texts, with_column
+from leafclock.llm.common import (
+    WordHashes, fold, fresh, labelled_sample, map_batches, mix, over_batches, pair, texts, with_column,
+)
 
 #: ASCII letters and digits, lower-cased, and all bytes of other characters; else a space.
 _LETTERS = bytes(
@@ -84,17 +86,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, max_rows: i
     """Weights from at most ``max_rows`` labelled rows outside fold 0 of 5."""
     rows = labelled_sample(docs, labels, label, max_rows)
 
+    def coordinates(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(features(text, hashes, bits)).astype(np.int32).tobytes() for text in texts(batch)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("draw"), batch.column("doc_id"), batch.column("y"), pa.array(found, pa.binary())],
+            ["draw", "doc_id", "y", "at"])
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, state = WordHashes(), Ftrl(bits, alpha, beta, l1, l2)
+        state = Ftrl(bits, alpha, beta, l1, l2)
         for batch in batches:
-            for text, y in zip(texts(batch), batch.column("y").to_pylist()):
-                state.learn(np.unique(features(text, hashes, bits)), y)
+            for at, y in zip(batch.column("at").to_pylist(), batch.column("y").to_pylist()):
+                state.learn(np.frombuffer(at, np.int32), y)
         w = state.weights(slice(None))
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(w[at], state.bias()))], ["i", "w"])
 
-    stream = rows.repartition(1).sortWithinPartitions("draw", "doc_id", "text")
+    hashes = WordHashes()
+    stream = over_batches(rows, coordinates, "draw long, doc_id long, y int, at binary").repartition(1)
+    stream = stream.sortWithinPartitions("draw", "doc_id", "at")
     got = map_batches(stream, learn, "i long, w double").toArrow()
     i, w = got["i"].to_numpy(), got["w"].to_numpy()
     return Model(i[i >= 0], w[i >= 0], float(w[i < 0].sum()), bits)

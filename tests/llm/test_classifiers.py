@@ -1,8 +1,11 @@
+import math
 import zlib
+from collections import defaultdict
 
 import pytest
+import zstandard
 
-from leafclock.llm import quality_classifier, toxicity
+from leafclock.llm import common, quality_classifier, toxicity
 
 HELD = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
 
@@ -69,3 +72,61 @@ def test_nothing_to_learn_from(frame, spark, module):
     assert [r.score for r in module.classify(docs, none).collect()] == [0.5, 0.5]
     assert module.classify(docs, one).count() == 2
     assert module.classify(docs.limit(0), one).count() == 0
+
+
+def test_weights_equal_a_plain_ftrl(corpus):
+    """One coordinate at a time, in a dict, over the rows in the order of the stream."""
+    docs, labels, _ = corpus
+    bits, alpha, beta, l1 = 20, 2.0, 1.0, 3.0
+    rows = sorted(common.labelled_sample(docs, labels, "toxic", 250).collect(), key=lambda r: (r.draw, r.doc_id))
+    assert len(rows) in (250, 251), "the id that occurs twice has two rows"
+    hashes, z, n, bias = common.WordHashes(), defaultdict(float), defaultdict(float), [0.0, 0.0]
+
+    def weight(z, n):
+        return 0.0 if abs(z) <= l1 else (math.copysign(l1, z) - z) / ((beta + math.sqrt(n)) / alpha)
+
+    for r in rows:
+        at = {int(i) for i in toxicity.features((r.text or "").encode(), hashes, bits)}
+        w = {i: weight(z[i], n[i]) for i in at}
+        b = -bias[0] / ((beta + math.sqrt(bias[1])) / alpha)
+        g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()) + b)))) - r.y
+        for i in at:
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+            n[i] += g * g
+        bias = [bias[0] + g - (math.sqrt(bias[1] + g * g) - math.sqrt(bias[1])) / alpha * b, bias[1] + g * g]
+    want = {i: weight(z[i], n[i]) for i in z if weight(z[i], n[i])}
+    model = toxicity.fit(docs, labels, max_rows=250)
+    assert sorted(model.index.tolist()) == sorted(want) and len(want) > 10
+    assert all(math.isclose(want[i], w, rel_tol=1e-6) for i, w in zip(model.index.tolist(), model.weight))
+    assert math.isclose(model.bias, -bias[0] / ((beta + math.sqrt(bias[1])) / alpha), rel_tol=1e-6)
+
+
+def test_scores_equal_plain_compression(corpus):
+    docs, labels, _ = corpus
+    model = quality_classifier.fit(docs, labels, piece=100)
+    assert model.good and model.bad and len(model.weights) == 3
+
+    def size(text, data):
+        packer = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(data),
+                                          write_checksum=False, write_content_size=False, write_dict_id=False)
+        return sum(len(packer.compress(text[i:i + 100])) for i in range(0, len(text), 100))
+
+    got = quality_classifier.score(docs.where("doc_id < 40 or doc_id >= 900"), model).collect()
+    assert len(got) > 40
+    for r in got:
+        text, (a, b, c) = (r.text or "").encode(), model.weights
+        d = ratio = 0.0
+        if text:
+            bad, good = size(text, model.bad), size(text, model.good)
+            least = min(bad, good)
+            d, ratio = (bad - good) / (least + 64), math.log((least + 64) / (len(text) + 128))
+        assert math.isclose(r.score, 1 / (1 + math.exp(-(a * d + b * ratio + c))), rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("draws", ["xxhash64(id)", "cast(9000000000000000000 as bigint)"])
+@pytest.mark.parametrize("wanted", [1, 7, 100, 5_000])
+def test_the_smallest_draws_are_taken(spark, draws, wanted):
+    """Also where all draws are one large number, so that the bound leaves nothing."""
+    pieces = spark.range(1000).selectExpr(f"{draws} as draw", "encode(cast(id as string), 'utf-8') as piece")
+    want = [bytes(r.piece) for r in sorted(pieces.collect(), key=lambda r: (r.draw, bytes(r.piece)))[:wanted]]
+    assert quality_classifier._smallest(pieces, wanted, 1000) == want
