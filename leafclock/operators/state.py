@@ -70,10 +70,12 @@ def state_panels(prior: DataFrame, flags: DataFrame, p: Params) -> DataFrame:
     """Per flagged state and species: rows of the whole range and of the state."""
     columns = ["common_name", "state", "func_type", p.phase_key, "year", "first_yes"]
     panels = flags.select(*state_keys(p), "panel").distinct()
-    rows = prior.select(*columns)
+    # Labels are made once per row, not once per row and panel.
+    rows = with_state_labels(prior.select(*columns), p)
     whole = rows.join(panels.drop("state"), p.group_keys).withColumn("group", F.lit("All"))
     own = rows.join(panels, state_keys(p)).withColumn("group", F.lit("State"))
-    return with_state_labels(whole.unionByName(own), p)
+    return whole.unionByName(own).select(
+        *p.group_keys, *[c for c in columns if c not in p.group_keys], "panel", "group", "state_spp", "state_spp_ph")
 
 
 def state_panel_days(prior: DataFrame, flags: DataFrame, p: Params) -> DataFrame:
