@@ -216,7 +216,8 @@ FROM flags f LEFT JOIN sized s ON concat(s.common_name, '_', s.id) = f.indiv
 )
 def details(spark, sf_dir):
     cur, prior = cur_prior(spark, sf_dir)
-    sized = pool.pool_sizes(cur, prior, P, individuals=False)
+    # Read on both sides of the join.
+    sized = staged(pool.pool_sizes(cur, prior, P, individuals=False), "sized")
     flags = anomaly.flagged_rows(
         anomaly.flag(anomaly.with_thresholds(clean.sufficient(sized, P.min_obs, P.min_yrs)))
         .withColumn("indiv", labels.indiv())
