@@ -41,8 +41,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, text_sha256): the ids, and the digest of what they decode to."""
-    encoded = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    """(doc_id, n_tokens, ids, text_sha256): the ids, and the digest of what they decode to.
+
+    The ids are written once, so that a task has one Python worker at a time, not one for each direction.
+    """
+    encoded = staged(bpe.encode(docs, RANKS, public_tokenizers.PATTERN), "encoded")
     decoded = bpe.decode(encoded, RANKS)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                           F.sha2("decoded", 256).alias("text_sha256"))
