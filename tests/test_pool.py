@@ -232,3 +232,29 @@ def test_stored_pools_do_not_grow_with_the_records(spark):
     many = few.join(spark.range(50).withColumnRenamed("id", "k")).withColumn("first_yes", F.col("first_yes") + F.col("k") % 7).drop("k")
     sizes = [(i.cells.count(), i.places.count()) for i in (pool.pool_index(cur, df, p) for df in (few, many))]
     assert sizes[0] == sizes[1]
+
+
+def test_panel_rows_are_moved_by_place_not_by_pair(spark):
+    """Current and prior rows meet where pairs are written: none is moved behind the last join."""
+    p = PLANTS
+    rows = spark.createDataFrame(make(7, 200, **CASES["equator"]), COLUMNS)
+    now = spark.createDataFrame(
+        [(*r[:7], i, r[8], 2025, r[10]) for i, r in enumerate(make(8, 15, **CASES["equator"]))], COLUMNS)
+    flags = now.withColumns({"indiv": F.concat("common_name", F.lit("_"), "id"), "panel": F.col("state")})
+    index = pool.pool_index(flags, rows, p)
+    for df in (anomaly.panel_pool(flags, rows, p), anomaly.read_panels(index, flags, rows, p)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        pairs = [line for line in plan if "Join" in line and "u_elev" in line]
+        assert pairs and all("block" in line for line in pairs)
+        depth = [len(line) - len(line.lstrip(" :+-")) for line in plan if "Join" in line]
+        first = next(line for line in plan if "Join" in line)
+        assert "u_elev" in first and min(depth) == depth[0]
+
+
+def test_site_without_coordinates_in_some_rows_brings_them(spark):
+    p = PLANTS
+    row = lambda i, lat, lon, year: (1, lat, lon, 100.0, "NY", "oak", "Forb", i, 1, year, 90 + i)
+    prior = spark.createDataFrame([row(1, 40.0, -75.0, 2020), row(2, None, None, 2021), row(3, 60.0, -75.0, 2022)], COLUMNS)
+    cur = spark.createDataFrame([row(9, 40.1, -75.0, 2025)], COLUMNS)
+    got = pool.neighbour_pool(cur, prior, p, carry=("id",))
+    assert sorted((r.cur_id, r.id) for r in got.collect()) == [(9, 1), (9, 2), (9, 3)]
