@@ -6,7 +6,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from leafclock.llm import mixing, quality_classifier, toxicity
+from leafclock.llm import common, mixing, quality_classifier, toxicity
 from leafclock.sources.scratch import staged
 
 
@@ -74,3 +74,29 @@ def test_run_and_contract(spark, folder):
     assert 0 < n
     names = {q.split("_")[0] for q in __spark_entry__.queries() if q.startswith("op")}
     assert names == {f"op{i}" for i in range(1, 14)}
+
+
+def test_batches_are_short_and_workers_give_memory_back(spark, monkeypatch):
+    rows = spark.range(0, 400, 1, 1).selectExpr("id", "repeat('x', 40000) AS text")
+
+    def sized(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    n = [r.n for r in common.map_batches(rows, sized, "n long").collect()]
+    assert sum(n) > 400 * 40_000 and max(n) < 3 << 20
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    found = {}
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, fn, schema: found.setdefault("fn", fn))
+    common.map_batches(rows, lambda batches: batches, "n long")
+    assert list(found["fn"](iter([1, 2]))) == [1, 2] and given == [1]
+
+
+def test_a_task_of_the_tokenizer_has_one_worker(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = corpus_pipeline.tokenize(spark, docs, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
