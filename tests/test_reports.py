@@ -242,3 +242,23 @@ def test_group_sizes_plan_has_no_expand(spark):
     df = spark.createDataFrame([("a", 1, 2010)], "k string, id long, year int")
     plan = summary.group_sizes(df, ["k"])._jdf.queryExecution().executedPlan()
     assert "Expand" not in plan.toString()
+
+
+def test_individuals_are_not_broadcast_to_join_the_records(spark, tmp_path):
+    from leafclock.registry.standin import raw
+
+    spark.createDataFrame(
+        [(1, 7, 1, 1, 5.0, "N", "O", "2001-03-01"), (1, 7, 2, 2, 6.0, "N", "O", "2001-03-02"), (2, 8, 1, 1, 7.0, "R", "F", "2001-04-01"),
+         (3, None, 1, 1, 7.0, "R", "F", "2001-04-01")],
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, "
+        "l_linestatus string, l_shipdate string",
+    ).withColumn("l_shipdate", F.to_timestamp("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7, "SMALL"), (8, "LARGE"), (8, "LARGE")], "p_partkey long, p_type string").write.parquet(
+        f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 3, 10.0), (2, 4, 20.0)], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(
+        f"{tmp_path}/supplier.parquet")
+    df = raw(spark, str(tmp_path))
+    got = sorted((r.individual_id, r.site_id, r.common_name, r.state) for r in df.collect())
+    assert got == [(7, 1, "SMALL", "S3"), (7, 2, "SMALL", "S4"), (8, 1, "LARGE", "S3"), (8, 1, "LARGE", "S3")]
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [l_partkey" in plan and "BroadcastHashJoin [l_partkey" not in plan
