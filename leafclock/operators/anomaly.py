@@ -106,12 +106,12 @@ def read_panels(index: PoolIndex, flags: DataFrame, prior: DataFrame, p: Params,
 
 
 def panel_days(flags: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
-    """Prior records behind each panel, by day: what its histogram needs."""
-    key = [*p.group_keys, *PLACE]
-    return (
-        flags.select(*key, "panel").join(pool_days(flags, prior, p), key)
-        .groupBy(p.phase_key, "panel", "first_yes").agg(F.sum("n").alias("n"))
-    )
+    """Prior records behind each panel, by day: what its histogram needs.
+
+    A panel's days are dealt together, so that its histogram moves them no more.
+    """
+    days = pool_days(flags, prior, p, (p.phase_key, "panel")).repartition(p.phase_key, "panel")
+    return days.groupBy(p.phase_key, "panel", "first_yes").agg(F.sum("n").alias("n"))
 
 
 def panel_marks(flags: DataFrame, p: Params) -> DataFrame:

@@ -196,11 +196,13 @@ def _reach(
     return out.unionByName(reached.join(by_site.hint("merge"), [*on, "site_id"]).select(*columns))
 
 
-def _in_groups(keys: DataFrame, reach: DataFrame, of_group, results: list[T.StructField], p: Params) -> DataFrame:
+def _in_groups(
+    keys: DataFrame, reach: DataFrame, of_group, results: list[T.StructField], p: Params, names=None
+) -> DataFrame:
     """``of_group`` of the keys and the rows of each tile and block of elevation.
 
     A row goes to the blocks whose keys may hold it in their band: one or two. It returns the
-    keys it was given (species, phase, place), with ``results``.
+    keys it was given (``names`` of them, else species, phase, place), with ``results``.
     """
     on, band = p.group_keys, p.elev_buffer
 
@@ -211,13 +213,15 @@ def _in_groups(keys: DataFrame, reach: DataFrame, of_group, results: list[T.Stru
     # A little more than the band, for rounding.
     blocks = F.sequence(block(F.col("u_elev") - 1.001 * band), block(F.col("u_elev") + 1.001 * band))
     by = [*on, "t_row", "t_col", "block"]
-    left = keys.select(*on, *PLACE, "t_row", "t_col", block(F.col("elev")).alias("block"))
+    names = names or [*on, *PLACE]
+    left = keys.select(
+        *dict.fromkeys([*names, *on, *PLACE]), "t_row", "t_col", block(F.col("elev")).alias("block"))
     right = reach.withColumn("block", F.explode(blocks))
-    schema = T.StructType([*[left.schema[c] for c in [*on, *PLACE]], *results])
-    names = [*on, *PLACE]
+    schema = T.StructType([*[left.schema[c] for c in names], *results])
+    given, returned = list(dict.fromkeys([*names, *PLACE])), schema.names
 
     def call(_, some: pa.Table, rows: pa.Table) -> pa.Table:
-        return of_group(some.select(names), rows)
+        return of_group(some.select(given), rows).select(returned)
 
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(call, schema)
 
@@ -260,8 +264,12 @@ def _summarize(
     return _in_groups(keys, _counts_of(counts, moved, keys, near, p), of_group, results, p)
 
 
-def pool_days(cur: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
-    """Per pool key: prior records by day, at most 366 rows; no prior row is listed."""
+def pool_days(cur: DataFrame, prior: DataFrame, p: Params, carry=()) -> DataFrame:
+    """Per current row: prior records in its pool by day, (``carry`` of current, first_yes, n), at most 366 rows.
+
+    No prior row is listed. Days are counted once per pool key and meet the current rows by its number;
+    both sides follow the records, and the files of the current rows compress well, so none is broadcast.
+    """
     prior, band = prior_of(prior, p), p.elev_buffer
     keys, counts = _pool_keys(cur, p), _day_counts(prior, p)
     near, moved = _near_areas(keys, counts, p), _moved_sites(counts, p)
@@ -270,7 +278,10 @@ def pool_days(cur: DataFrame, prior: DataFrame, p: Params) -> DataFrame:
         return bands.days(keys, rows, band)
 
     results = [counts.schema["first_yes"], T.StructField("n", T.LongType())]
-    return _in_groups(keys, _counts_of(counts, moved, keys, near, p), of_group, results, p)
+    days = _in_groups(keys, _counts_of(counts, moved, keys, near, p), of_group, results, p, ["pool"])
+    key = [*p.group_keys, *PLACE]
+    left = cur.select(*dict.fromkeys([*key, *carry])).join(keys.select("pool", *key), key)
+    return left.select("pool", *carry).join(days.hint("merge"), "pool").drop("pool")
 
 
 def _pool_individuals(

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from leafclock import PLANTS
 from leafclock.functions.geodesy import RadiusGrid, distance_km
 from leafclock.operators import anomaly, pool
+from leafclock.sources.scratch import staged
 
 COLUMNS = (
     "site_id long, lat double, lon double, elev double, state string, common_name string, "
@@ -258,3 +260,19 @@ def test_site_without_coordinates_in_some_rows_brings_them(spark):
     cur = spark.createDataFrame([row(9, 40.1, -75.0, 2025)], COLUMNS)
     got = pool.neighbour_pool(cur, prior, p, carry=("id",))
     assert sorted((r.cur_id, r.id) for r in got.collect()) == [(9, 1), (9, 2), (9, 3)]
+
+
+def test_days_of_panels_without_broadcast(spark, rows):
+    """Several panels of one place, one panel of two rows, gaps; written flags, as small as their files are."""
+    prior = [r for r in make(3, 400, **CASES["equator"]) if r[5] is not None and r[8] is not None]
+    prior = [(*r[:9], 2015, r[10]) for r in prior]
+    cur = [(*r[:9], 2025, r[10]) for r in prior[:30]]
+    panels = [f"panel {i % 25}" for i in range(30)] + ["twin", None]
+    cur += [cur[0], cur[1]]
+    flags = staged(spark.createDataFrame([(*r, q) for r, q in zip(cur, panels)], COLUMNS + ", panel string"), "flags")
+    df = anomaly.panel_days(flags, spark.createDataFrame(prior, COLUMNS), PLANTS)
+    want = Counter((c[8], q, r[10]) for c, q in zip(cur, panels) for r in brute_pool(c, prior, PLANTS)[1])
+    key = lambda r: str(r)
+    assert sorted(rows(df), key=key) == sorted(((*k, n) for k, n in want.items()), key=key)
+    assert any(n > 1 for n in want.values()) and len({k[1] for k in want}) > 10
+    assert "Broadcast" not in df._jdf.queryExecution().sparkPlan().toString()
