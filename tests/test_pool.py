@@ -253,6 +253,48 @@ def test_panel_rows_are_moved_by_place_not_by_pair(spark):
         assert "u_elev" in first and min(depth) == depth[0]
 
 
+def test_shown_values_are_made_before_rows_are_copied_to_panels(spark, rows):
+    """What replaces columns of prior rows takes no part in the pools, and stands below the join that forms pairs."""
+    p = PLANTS
+    prior_rows = make(9, 300, **CASES["moved_sites"])
+    cur = [(*r[:7], i, r[8], 2025, r[10]) for i, r in enumerate(make(10, 25, **CASES["moved_sites"]))]
+    prior = spark.createDataFrame(prior_rows, COLUMNS)
+    flags = spark.createDataFrame(cur, COLUMNS).withColumns({"indiv": F.col("id").cast("string"), "panel": F.col("state")})
+    shown = {"lat": F.round(F.col("lat"), 1), "elev": -F.col("elev")}
+    want = Counter((str(c[7]), w[0], float(-w[3]), w[9], w[10]) for c in cur for w in brute_pool(c, prior_rows, p)[1])
+    plain = anomaly.panel_pool(flags, prior, p)
+    index = pool.pool_index(flags, prior, p)
+    for df in (anomaly.panel_pool(flags, prior, p, shown), anomaly.read_panels(index, flags, prior, p, shown=shown)):
+        assert df.columns == plain.columns
+        assert Counter(map(tuple, df.select("indiv", "site_id", "elev", "year", "first_yes").collect())) == want and want
+        assert rows(df, *df.columns) == rows(plain.withColumns(shown), *df.columns)
+        plan = df._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+        assert "round(" not in plan[0] and "round(" in plan[1]
+
+
+def test_panel_queries_round_prior_rows_not_pairs(spark, tmp_path):
+    from leafclock.registry import QUERIES
+
+    items = [(part, 0, 1, f"{year}-05-{10 + part:02d}", 10.0, "N", "O") for part in range(6) for year in range(1995, 2001)]
+    items.append((0, 0, 1, "2001-03-01", 10.0, "N", "O"))
+    tables = {
+        "lineitem": (items, "l_partkey long, l_suppkey long, l_linenumber int, l_shipdate string, l_quantity double, "
+                            "l_returnflag string, l_linestatus string"),
+        "part": ([(i, "SMALL") for i in range(6)], "p_partkey long, p_type string"),
+        "supplier": ([(0, 3, 1234.5)], "s_suppkey long, s_nationkey int, s_acctbal double"),
+    }
+    for name, (some, schema) in tables.items():
+        df = spark.createDataFrame(some, schema)
+        if name == "lineitem":
+            df = df.withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp"))
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("j14_panel_pool", "j14_stored_panels", "j14_one_panel"):
+        df = QUERIES[name](spark, str(tmp_path))
+        assert "round(" not in df._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0], name
+        got = df.collect()
+        assert len(got) == 36 and {(r.lat, r.lon, r.elev, r.indiv) for r in got} == {(30.0, -100.0, 1234.0, "SMALL_0")}
+
+
 def test_site_without_coordinates_in_some_rows_brings_them(spark):
     p = PLANTS
     row = lambda i, lat, lon, year: (1, lat, lon, 100.0, "NY", "oak", "Forb", i, 1, year, 90 + i)
